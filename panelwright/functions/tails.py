@@ -1,4 +1,7 @@
-"""Tail probabilities and quantiles as column expressions.
+"""Tail probabilities and quantiles as Spark SQL expressions.
+
+The functions take column names (or other SQL text) and build one SQL
+expression each, so a formula of a few hundred nodes costs one call to the JVM.
 
 The model tables carry integer degrees of freedom, so the Student t tail has
 a finite trigonometric series (Abramowitz & Stegun 26.7.3-4). Above
@@ -14,111 +17,87 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rounding import column
-
 SERIES_LIMIT = 200
 _BISECTIONS = 60
 _NORMAL_TERMS = 120
 
 
-def _counter(last: Column) -> Column:
-    """1..last, empty when last is below one."""
-    return F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-
-
-def _fold_sum(first: Column, last: Column, factor) -> Column:
-    """first + first*f(1) + first*f(1)*f(2) + ... up to f(last)."""
-    start = F.struct(first.alias("term"), first.alias("total"))
+def _running_sum(first: str, last: str, factor: str) -> str:
+    """first + first*f(1) + first*f(1)*f(2) + ... up to f(last); ``factor`` is text in k."""
+    counter = f"CASE WHEN {last} >= 1 THEN sequence(1, {last}) ELSE array() END"
+    term = f"(a.term * ({factor}))"
+    return (
+        f"aggregate({counter}, named_struct('term', {first}, 'total', {first}), "
+        f"(a, k) -> named_struct('term', {term}, 'total', a.total + {term}), a -> a.total)"
+    )
 
-    def step(acc: Column, k: Column) -> Column:
-        term = acc["term"] * factor(k.cast("double"))
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
 
-    return F.aggregate(_counter(last), start, step, lambda acc: acc["total"])
+def _let(name: str, value: str, body: str) -> str:
+    """Bind a value once and use it by name, so that formulas do not multiply when they nest."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def normal_two_sided_p(z: Column | str) -> Column:
-    """P(|Z| > |z|) of a standard normal variable."""
-    z = F.abs(column(z))
-    density = F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
-    series = _fold_sum(z, F.lit(_NORMAL_TERMS), lambda k: z * z / (2 * k + 1))
-    w = F.lit(1.0) / (z * z)
-    far = 2 * density / z * (1 - w * (1 - 3 * w * (1 - 5 * w * (1 - 7 * w))))
-    return F.when(z < 6, F.greatest(1 - 2 * density * series, F.lit(0.0))).otherwise(far)
+def normal_two_sided_sql(size: str) -> str:
+    """P(|Z| > size): Taylor series of the distribution, asymptotic series far out."""
+    series = _running_sum("z", str(_NORMAL_TERMS), "z * z / (2D * k + 1D)")
+    near = f"greatest(1D - 2D * d * {series}, 0D)"
+    far = _let("w", "1D / (z * z)", "2D * d / z * (1D - w * (1D - 3D * w * (1D - 5D * w * (1D - 7D * w))))")
+    density = f"exp(-z * z / 2D) / {math.sqrt(2 * math.pi)!r}D"
+    return _let("z", size, _let("d", density, f"CASE WHEN z < 6D THEN {near} ELSE {far} END"))
 
 
-def _t_series_p(t: Column, df: Column) -> Column:
-    """Two-sided tail for small integer df; t >= 0."""
-    theta = F.atan(t / F.sqrt(df))
-    sine, cosine = F.sin(theta), F.cos(theta)
-    square = cosine * cosine
-    odd = (df % 2) == 1
-    terms = F.when(odd, (df - 3) / 2).otherwise((df - 2) / 2).cast("int")
-    factor = lambda k: F.when(odd, 2 * k / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k)) * square
-    total = _fold_sum(F.lit(1.0), terms, factor)
+def _t_series_sql(size: str, df: str) -> str:
+    """Two-sided tail for small integer df."""
+    odd = f"({df} % 2 = 1)"
+    terms = f"CAST(CASE WHEN {odd} THEN ({df} - 3) / 2 ELSE ({df} - 2) / 2 END AS INT)"
+    factor = f"CASE WHEN {odd} THEN 2D * k / (2D * k + 1D) ELSE (2D * k - 1D) / (2D * k) END * square"
+    total = _let("square", "pow(cos(angle), 2D)", _running_sum("1D", terms, factor))
     inside = (
-        F.when(df == 1, 2 * theta / math.pi)
-        .when(odd, (theta + sine * cosine * total) * (2 / math.pi))
-        .otherwise(sine * total)
+        f"CASE WHEN {df} = 1 THEN {2 / math.pi!r}D * angle "
+        f"WHEN {odd} THEN {2 / math.pi!r}D * (angle + sin(angle) * cos(angle) * {total}) "
+        f"ELSE sin(angle) * {total} END"
     )
-    return F.greatest(1 - inside, F.lit(0.0))
+    return _let("angle", f"atan({size} / sqrt({df}))", f"greatest(1D - ({inside}), 0D)")
 
 
-def _t_normal_score(t: Column, df: Column) -> Column:
+def _t_normal_score_sql(size: str, df: str) -> str:
     """Normal deviate with the tail of t, for large df."""
-    a = df - 0.5
-    b = 48 * a * a
-    y = a * F.log1p(t * t / df)
-    bend = (((-0.4 * y - 3.3) * y - 24.0) * y - 85.5) / (0.8 * y * y + 100.0 + b)
-    return ((bend + y + 3.0) / b + 1.0) * F.sqrt(y)
+    bend = "(((-0.4D * y - 3.3D) * y - 24D) * y - 85.5D) / (0.8D * y * y + 100D + b)"
+    score = f"((({bend}) + y + 3D) / b + 1D) * sqrt(y)"
+    free = f"({df} - 0.5D)"
+    bound = _let("b", f"48D * {free} * {free}", score)
+    return _let("y", f"{free} * log1p({size} * {size} / {df})", bound)
 
 
-def t_two_sided_p(t: Column | str, df: Column | str) -> Column:
+def t_two_sided_sql(t: str, df: str) -> str:
     """P(|T| > |t|) for integer degrees of freedom; null when df < 1."""
-    t, df = F.abs(column(t)), column(df).cast("double")
-    return F.when(
-        t.isNotNull() & (df >= 1),
-        F.when(df <= SERIES_LIMIT, _t_series_p(t, df)).otherwise(normal_two_sided_p(_t_normal_score(t, df))),
+    choice = (
+        f"CASE WHEN t IS NULL OR n < 1D THEN NULL WHEN n <= {SERIES_LIMIT}D THEN {_t_series_sql('t', 'n')} "
+        f"ELSE {normal_two_sided_sql(_t_normal_score_sql('t', 'n'))} END"
     )
+    return _let("t", f"abs({t})", _let("n", f"CAST({df} AS DOUBLE)", choice))
 
 
-def f_upper_p(f: Column | str, df1: int, df2: Column | str) -> Column:
-    """P(F > f) for one or two numerator degrees of freedom."""
-    f, df2 = column(f), column(df2).cast("double")
-    if df1 == 1:
-        return t_two_sided_p(F.sqrt(f), df2)
-    if df1 == 2:
-        return F.when(df2 >= 1, F.pow(1 + 2 * f / df2, -df2 / 2))
-    raise ValueError("only one or two covariates have a tail expression")
-
-
-def t_quantile(level: float, df: Column | str) -> Column:
-    """The t with P(|T| > t) = 1 - level for integer df (0.95 -> the usual 97.5% point)."""
-    df = column(df).cast("double")
+def t_quantile_sql(level: float, df: str) -> str:
+    """The t with P(|T| > t) = 1 - level (0.95 -> the usual 97.5% point)."""
     alpha = 1 - level
-    widest = math.tan(math.pi / 2 * level)
-
-    def halve(acc: Column, _k: Column) -> Column:
-        mid = (acc["lo"] + acc["hi"]) / 2
-        low = _t_series_p(mid, df) > alpha
-        return F.struct(
-            F.when(low, mid).otherwise(acc["lo"]).alias("lo"),
-            F.when(low, acc["hi"]).otherwise(mid).alias("hi"),
-        )
-
-    start = F.struct(F.lit(0.0).alias("lo"), F.lit(widest).alias("hi"))
-    near = F.aggregate(
-        F.sequence(F.lit(1), F.lit(_BISECTIONS)), start, halve, lambda acc: (acc["lo"] + acc["hi"]) / 2
+    step = _let(
+        "mid",
+        "(b.lo + b.hi) / 2D",
+        f"CASE WHEN {_t_series_sql('mid', 'n')} > {alpha!r}D "
+        "THEN named_struct('lo', mid, 'hi', b.hi) ELSE named_struct('lo', b.lo, 'hi', mid) END",
     )
-    x = normal_quantile(F.lit(1 - alpha / 2))
-    x2 = x * x
-    far = (
-        x
-        + x * (x2 + 1) / (4 * df)
-        + x * ((5 * x2 + 16) * x2 + 3) / (96 * df * df)
-        + x * (((3 * x2 + 19) * x2 + 17) * x2 - 15) / (384 * df * df * df)
+    near = (
+        f"aggregate(sequence(1, {_BISECTIONS}), named_struct('lo', 0D, 'hi', {math.tan(math.pi / 2 * level)!r}D), "
+        f"(b, j) -> {step}, b -> (b.lo + b.hi) / 2D)"
     )
-    return F.when(df >= 1, F.when(df <= SERIES_LIMIT, near).otherwise(far))
+    expansion = (
+        "x + x * (x * x + 1D) / (4D * n) + x * ((5D * x * x + 16D) * x * x + 3D) / (96D * n * n) "
+        "+ x * (((3D * x * x + 19D) * x * x + 17D) * x * x - 15D) / (384D * n * n * n)"
+    )
+    far = _let("x", normal_quantile_sql(f"{1 - alpha / 2!r}D"), expansion)
+    choice = f"CASE WHEN n < 1D THEN NULL WHEN n <= {SERIES_LIMIT}D THEN {near} ELSE {far} END"
+    return _let("n", f"CAST({df} AS DOUBLE)", choice)
 
 
 # Wichura's algorithm AS 241 (PPND16), numerator and denominator
@@ -191,24 +170,50 @@ FAR = (
 )
 
 
-def _horner(coefficients: tuple[float, ...], x: Column) -> Column:
-    out = F.lit(coefficients[-1])
+def _polynomial(coefficients: tuple[float, ...], x: str) -> str:
+    out = f"{coefficients[-1]!r}D"
     for c in reversed(coefficients[:-1]):
-        out = out * x + c
+        out = f"({out} * {x} + {c!r}D)"
     return out
 
 
-def _quotient(pair: tuple, x: Column) -> Column:
-    return _horner(pair[0], x) / _horner(pair[1], x)
+def _quotient(pair: tuple, x: str) -> str:
+    return f"({_polynomial(pair[0], x)} / {_polynomial(pair[1], x)})"
 
 
-def normal_quantile(p: Column | str) -> Column:
+def normal_quantile_sql(p: str) -> str:
     """The z with P(Z < z) = p, for 0 < p < 1; null otherwise."""
-    p = column(p)
-    q = p - 0.5
-    tail = F.when(q < 0, p).otherwise(1 - p)
-    r = F.sqrt(-F.ln(tail))
-    size = F.when(r <= 5, _quotient(MIDDLE, r - 1.6)).otherwise(_quotient(FAR, r - 5.0))
-    inner = q * _quotient(CENTRAL, 0.180625 - q * q)
-    value = F.when(F.abs(q) <= 0.425, inner).otherwise(F.when(q < 0, -size).otherwise(size))
-    return F.when((p > 0) & (p < 1), value)
+    # Written out, not bound by name: this one runs on every row and compiles.
+    q = f"(({p}) - 0.5D)"
+    r = f"sqrt(-ln(CASE WHEN {q} < 0D THEN ({p}) ELSE 1D - ({p}) END))"
+    size = f"CASE WHEN {r} <= 5D THEN {_quotient(MIDDLE, f'({r} - 1.6D)')} ELSE {_quotient(FAR, f'({r} - 5D)')} END"
+    inner = f"{q} * {_quotient(CENTRAL, f'(0.180625D - {q} * {q})')}"
+    return (
+        f"CASE WHEN NOT (({p}) > 0D AND ({p}) < 1D) THEN NULL WHEN abs({q}) <= 0.425D THEN {inner} "
+        f"WHEN {q} < 0D THEN -({size}) ELSE {size} END"
+    )
+
+
+def normal_two_sided_p(z: str) -> Column:
+    return F.expr(normal_two_sided_sql(f"abs({z})"))
+
+
+def t_two_sided_p(t: str, df: str) -> Column:
+    return F.expr(t_two_sided_sql(t, df))
+
+
+def t_quantile(level: float, df: str) -> Column:
+    return F.expr(t_quantile_sql(level, df))
+
+
+def normal_quantile(p: str) -> Column:
+    return F.expr(normal_quantile_sql(p))
+
+
+def f_upper_p(f: str, df1: int, df2: str) -> Column:
+    """P(F > f) for one or two numerator degrees of freedom."""
+    if df1 == 1:
+        return F.expr(t_two_sided_sql(f"sqrt({f})", df2))
+    if df1 == 2:
+        return F.expr(f"CASE WHEN ({df2}) >= 1 THEN pow(1D + 2D * ({f}) / ({df2}), -({df2}) / 2D) END")
+    raise ValueError("only one or two covariates have a tail expression")

@@ -9,7 +9,7 @@ from ..functions.arith import ratio
 from ..functions.labels import significance_stars
 from ..functions.nulls import complete, strict_max, strict_mean, strict_sum
 from ..functions.rounding import round_half_even
-from ..functions.tails import t_two_sided_p
+from ..functions.tails import t_two_sided_sql
 from .groups import attach_groups
 
 
@@ -73,11 +73,12 @@ def _correlation(x: Column, y: Column) -> Column:
     return F.when(~F.isnan(r), r)
 
 
-def _correlation_p(r: Column, n: Column) -> Column:
-    spread = F.greatest(1 - r * r, F.lit(0.0))
-    t = F.try_divide(r * F.sqrt(n - 2), F.sqrt(spread))
-    exact = F.when(spread == 0, F.lit(0.0)).otherwise(t_two_sided_p(t, n - 2))
-    return F.when(n > 2, exact)
+def _correlation_p(r: str, n: str) -> Column:
+    """Two-sided p-value of a correlation: 0 for a perfect one, null below three pairs."""
+    t = f"({r} * sqrt({n} - 2) / sqrt(1D - {r} * {r}))"
+    return F.expr(
+        f"CASE WHEN {n} <= 2 THEN NULL WHEN 1D - {r} * {r} <= 0D THEN 0D ELSE {t_two_sided_sql(t, f'({n} - 2)')} END"
+    )
 
 
 def group_corr(df: DataFrame, keys: list[str], x: str, y: str, digits: int | None = 2, name: str = "r") -> DataFrame:
@@ -92,7 +93,7 @@ def corr_test(df: DataFrame, keys: list[str], x: str, y: str, digits: int = 4) -
     base = df.where(complete(x, y)).groupBy(*keys).agg(
         _correlation(F.col(x), F.col(y)).alias("_r"), F.count(F.lit(1)).alias("n")
     )
-    p = round_half_even(_correlation_p(F.col("_r"), F.col("n")), digits)
+    p = round_half_even(_correlation_p("_r", "n"), digits)
     return base.select(*keys, "n", round_half_even("_r", 2).alias("r"), p.alias("p_value")).withColumn(
         "stars", significance_stars("p_value")
     )
@@ -121,13 +122,17 @@ def corr_table(
             r = _correlation(F.when(inside, F.col(c)), F.when(inside, F.col(y)))
             cells.append(r.alias(f"_{w}_{c}"))
     wide = df.where(complete(*needed)).groupBy(*keys).agg(*cells)
+    tests = {
+        f"_{w}_{c}_p": round_half_even(_correlation_p(f"_{w}_{c}", f"_{w}_n"), 4)
+        for w in windows
+        for c in covariates
+    }
+    wide = wide.withColumns(tests)
     entries = []
     for w in windows:
-        n = F.col(f"_{w}_n")
-        parts = [F.lit(w).alias("window"), n.alias("n")]
+        parts = [F.lit(w).alias("window"), F.col(f"_{w}_n").alias("n")]
         for c, label in covariates.items():
-            r = F.col(f"_{w}_{c}")
-            parts.append(round_half_even(r, digits).alias(f"r_{label}"))
-            parts.append(significance_stars(round_half_even(_correlation_p(r, n), 4)).alias(f"sig_{label}"))
+            parts.append(round_half_even(f"_{w}_{c}", digits).alias(f"r_{label}"))
+            parts.append(significance_stars(f"_{w}_{c}_p").alias(f"sig_{label}"))
         entries.append(F.struct(*parts))
     return wide.select(*keys, F.explode(F.array(*entries)).alias("_e")).select(*keys, "_e.*").where("n > 0")

@@ -7,7 +7,9 @@ are pre-aggregated and joined back, row numbers come from a range sort.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
@@ -22,12 +24,8 @@ WINDOW_ROWS = 1_000_000
 """Largest group that a plain window may hold."""
 
 
-def _null_safe(rows: DataFrame, keys: list[str], prefix: str):
-    cond = None
-    for k in keys:
-        same = rows[k].eqNullSafe(F.col(prefix + k))
-        cond = same if cond is None else cond & same
-    return cond
+def _same_keys(keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys])
 
 
 def attach_groups(
@@ -54,18 +52,18 @@ def attach_groups(
     drop = [f"_g_{k}" for k in keys]
 
     if renamed.limit(heavy + 1).count() <= heavy:
-        joined = rows.join(F.broadcast(renamed), _null_safe(rows, keys, "_g_"), how)
+        joined = rows.join(F.broadcast(renamed), _same_keys(keys), how)
         return joined.select(*rows.columns, *payload)
 
     biggest = renamed.orderBy(F.desc(weight), *drop).limit(heavy).select(*drop, F.struct(*columns).alias("_big"))
-    first = rows.join(F.broadcast(biggest), _null_safe(rows, keys, "_g_"), "left").drop(*drop)
+    first = rows.join(F.broadcast(biggest), _same_keys(keys), "left").drop(*drop)
     salted = first.withColumn(
         "_salt",
         F.when(F.col("_big").isNotNull(), F.pmod(F.spark_partition_id(), F.lit(spread)) + 1).otherwise(F.lit(0)),
     )
     rest = renamed.select(*drop, F.struct(*columns).alias("_rest"), F.lit(0).alias("_rest_salt"))
     joined = salted.join(
-        rest, _null_safe(salted, keys, "_g_") & (F.col("_salt") == F.col("_rest_salt")), "left"
+        rest, _same_keys(keys) & (F.col("_salt") == F.col("_rest_salt")), "left"
     )
     found = F.coalesce("_big", "_rest")
     if how == "inner":

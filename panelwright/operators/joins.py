@@ -8,11 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _side(df: DataFrame, keys: dict[str, str]) -> tuple[DataFrame, list[str]]:
-    names = {right: f"_r_{right}" for right in keys.values()}
-    return df.withColumnsRenamed(names), list(names.values())
-
-
 def join_keys(left: DataFrame, right: DataFrame, keys: list[str] | dict[str, str], how: str = "left") -> DataFrame:
     """Equi join on equal or differently named keys (left name -> right name).
 
@@ -20,18 +15,19 @@ def join_keys(left: DataFrame, right: DataFrame, keys: list[str] | dict[str, str
     side. Null keys match null keys, as the panels' missing labels do.
     """
     pairs = keys if isinstance(keys, dict) else {k: k for k in keys}
-    other, hidden = _side(right, pairs)
+    hidden = {rk: f"_r_{rk}" for rk in pairs.values()}
+    values = [c for c in right.columns if c not in hidden]
+    clash = set(values) & set(left.columns)
+    if clash:
+        raise ValueError(f"both sides have {sorted(clash)}; rename one side first")
     cond: Column | None = None
     for lk, rk in pairs.items():
-        same = left[lk].eqNullSafe(other[f"_r_{rk}"])
+        same = F.col(lk).eqNullSafe(F.col(hidden[rk]))
         cond = same if cond is None else cond & same
-    joined = left.join(other, cond, how)
-    key_out = {
-        lk: F.coalesce(left[lk], other[f"_r_{rk}"]).alias(lk) if how in ("right", "full") else left[lk]
-        for lk, rk in pairs.items()
-    }
-    left_out = [key_out.get(c, left[c]) for c in left.columns]
-    return joined.select(*left_out, *[other[c] for c in other.columns if c not in hidden])
+    joined = left.join(right.withColumnsRenamed(hidden), cond, how)
+    if how in ("right", "full"):
+        joined = joined.withColumns({lk: F.coalesce(lk, hidden[rk]) for lk, rk in pairs.items()})
+    return joined.select(*left.columns, *values)
 
 
 def left_join(left: DataFrame, right: DataFrame, keys: list[str] | dict[str, str]) -> DataFrame:

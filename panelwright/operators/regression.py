@@ -22,7 +22,7 @@ from ..functions.arith import percent, ratio
 from ..functions.labels import call_label, recode, significance_stars
 from ..functions.nulls import complete
 from ..functions.rounding import round_columns, round_half_even
-from ..functions.tails import f_upper_p, t_quantile, t_two_sided_p
+from ..functions.tails import f_upper_p, t_quantile_sql, t_two_sided_p
 from .groups import attach_groups
 
 SINGULAR = 1e-12
@@ -37,77 +37,52 @@ class Model:
     covariates: tuple[str, ...]
 
 
-def _determinant(m: list[list[Column]]) -> Column:
+def _determinant(m: list[list[str]]) -> str:
+    """Determinant of a small matrix of SQL terms."""
     if len(m) == 1:
         return m[0][0]
     if len(m) == 2:
-        return m[0][0] * m[1][1] - m[0][1] * m[1][0]
-    total = None
+        return f"({m[0][0]} * {m[1][1]} - {m[0][1]} * {m[1][0]})"
+    signed = []
     for j, head in enumerate(m[0]):
         minor = [[row[c] for c in range(len(m)) if c != j] for row in m[1:]]
-        part = head * _determinant(minor)
-        total = part if total is None else (total - part if j % 2 else total + part)
-    return total
+        signed.append(f"{'-' if j % 2 else '+'} {head} * {_determinant(minor)}")
+    return "(" + " ".join(signed).removeprefix("+ ") + ")"
 
 
-def _inverse(m: list[list[Column]]) -> list[list[Column]]:
-    """Inverse of a small symmetric matrix by cofactors; null when it is singular."""
+def _cofactor(m: list[list[str]], i: int, j: int) -> str:
+    """Signed cofactor of a symmetric matrix."""
     k = len(m)
-    det = _determinant(m)
-    scale = m[0][0]
-    for i in range(1, k):
-        scale = scale * m[i][i]
-    det = F.when((scale > 0) & (det > SINGULAR * scale), det)
     if k == 1:
-        return [[1 / det]]
-    out = []
+        return "1D"
+    minor = [[m[r][c] for c in range(k) if c != i] for r in range(k) if r != j]
+    return f"{'-' if (i + j) % 2 else ''}{_determinant(minor)}"
+
+
+def _products(k: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(k) for j in range(i, k)]
+
+
+def _masked(df: DataFrame, keys: list[str], response: str, models: list[Model]) -> DataFrame:
+    """Per model: its variables as doubles, null wherever one of them is missing."""
+    cols = {}
+    for t, m in enumerate(models):
+        whole = " AND ".join(f"`{c}` IS NOT NULL" for c in (response, *m.covariates))
+        for name, source in (("y", response), *((f"x{i}", c) for i, c in enumerate(m.covariates))):
+            cols[f"_{t}_{name}"] = F.expr(f"CASE WHEN {whole} THEN CAST(`{source}` AS DOUBLE) END")
+    return df.select(*keys, *[c.alias(n) for n, c in cols.items()])
+
+
+def _moments(t: int, model: Model) -> list[Column]:
+    """Count, means and centred products of one model's masked variables."""
+    y, k = f"_{t}_y", len(model.covariates)
+    cells = {f"_{t}_n": f"count({y})", f"_{t}_my": f"avg({y})", f"_{t}_syy": f"regr_sxx({y}, {y})"}
     for i in range(k):
-        row = []
-        for j in range(k):
-            minor = [[m[r][c] for c in range(k) if c != i] for r in range(k) if r != j]
-            cofactor = _determinant(minor)
-            row.append((cofactor if (i + j) % 2 == 0 else -cofactor) / det)
-        out.append(row)
-    return out
-
-
-def moments(response: str, model: Model, tag: str) -> list[Column]:
-    """Centred first and second moments over the rows that are complete for this model."""
-    whole = complete(response, *model.covariates)
-    y = F.when(whole, F.col(response).cast("double"))
-    xs = [F.when(whole, F.col(c).cast("double")) for c in model.covariates]
-    cols = {f"{tag}_n": F.count(y), f"{tag}_my": F.avg(y), f"{tag}_syy": F.regr_sxx(y, y)}
-    for i, x in enumerate(xs):
-        cols[f"{tag}_m{i}"] = F.avg(x)
-        cols[f"{tag}_s{i}y"] = F.regr_sxy(y, x)
-        for j in range(i, len(xs)):
-            cols[f"{tag}_s{i}_{j}"] = F.regr_sxy(xs[j], x)
-    return [c.alias(n) for n, c in cols.items()]
-
-
-def _solve(model: Model, tag: str) -> Column:
-    """Moments -> one struct with coefficients and everything the other functions need."""
-    k = len(model.covariates)
-    s = [[F.col(f"{tag}_s{min(i, j)}_{max(i, j)}") for j in range(k)] for i in range(k)]
-    sy = [F.col(f"{tag}_s{i}y") for i in range(k)]
-    means = [F.col(f"{tag}_m{i}") for i in range(k)]
-    n, my, syy = F.col(f"{tag}_n"), F.col(f"{tag}_my"), F.col(f"{tag}_syy")
-    inv = _inverse(s)
-    slopes = [sum((inv[i][j] * sy[j] for j in range(1, k)), inv[i][0] * sy[0]) for i in range(k)]
-    intercept = my - sum((b * m for b, m in zip(slopes[1:], means[1:])), slopes[0] * means[0])
-    explained = sum((b * c for b, c in zip(slopes[1:], sy[1:])), slopes[0] * sy[0])
-    return F.struct(
-        F.lit(model.name).alias("model"),
-        F.lit(k).alias("k"),
-        F.array(*map(F.lit, model.covariates)).alias("covariates"),
-        n.alias("n"),
-        (n - k - 1).alias("df_residual"),
-        F.array(intercept, *slopes).alias("coef"),
-        F.array(*means).alias("means"),
-        F.array(*[F.array(*row) for row in inv]).alias("inverse"),
-        syy.alias("syy"),
-        F.greatest(syy - explained, F.lit(0.0)).alias("ssr"),
-    )
+        cells[f"_{t}_m{i}"] = f"avg(_{t}_x{i})"
+        cells[f"_{t}_s{i}y"] = f"regr_sxy({y}, _{t}_x{i})"
+    for i, j in _products(k):
+        cells[f"_{t}_s{i}_{j}"] = f"regr_sxy(_{t}_x{j}, _{t}_x{i})"
+    return [F.expr(c).alias(n) for n, c in cells.items()]
 
 
 def fit_linear(df: DataFrame, keys: list[str], response: str, models: list[Model]) -> DataFrame:
@@ -117,30 +92,56 @@ def fit_linear(df: DataFrame, keys: list[str], response: str, models: list[Model
     without enough rows, or with collinear covariates, have null coefficients.
     """
     cols = [F.count(F.lit(1)).alias("n_rows")]
-    for i, model in enumerate(models):
-        cols += moments(response, model, f"_{i}")
-    return _fits_from_moments(df.groupBy(*keys).agg(*cols), keys, models)
+    for t, model in enumerate(models):
+        cols += _moments(t, model)
+    return _fits_from_moments(_masked(df, keys, response, models).groupBy(*keys).agg(*cols), keys, models)
 
 
 def _fits_from_moments(wide: DataFrame, keys: list[str], models: list[Model]) -> DataFrame:
-    fits = F.array(*[_with_errors(_solve(m, f"_{i}"), len(m.covariates)) for i, m in enumerate(models)])
-    return wide.select(*keys, "n_rows", fits.alias("fits"))
-
-
-def _with_errors(fit: Column, k: int) -> Column:
-    """Add sigma and the criterion by which models of a group are compared."""
-    n, df, ssr, syy = fit["n"], fit["df_residual"], fit["ssr"], fit["syy"]
-    r2 = F.when(fit["coef"][1].isNotNull(), 1 - F.try_divide(ssr, syy))
-    adjusted = F.when(df > 0, 1 - (1 - r2) * (n - 1) / df)
-    sigma = F.when(df > 0, F.sqrt(ssr / df))
-    names = ["model", "k", "covariates", "n", "df_residual", "coef", "means", "inverse", "syy", "ssr"]
-    return F.struct(
-        *[fit[c].alias(c) for c in names],
-        sigma.alias("sigma"),
-        r2.alias("r_squared"),
-        adjusted.alias("adj_r_squared"),
-        (r2 if k == 1 else adjusted).alias("criterion"),
-    )
+    """Solve the normal equations of every model, one step per projection."""
+    determinant, inverse, slopes, rest, quality, adjusted = {}, {}, {}, {}, {}, {}
+    for t, model in enumerate(models):
+        k = len(model.covariates)
+        s = [[f"_{t}_s{min(i, j)}_{max(i, j)}" for j in range(k)] for i in range(k)]
+        det, scale = _determinant(s), " * ".join(s[i][i] for i in range(k))
+        determinant[f"_{t}_det"] = f"CASE WHEN {scale} > 0 AND {det} > {SINGULAR}D * {scale} THEN {det} END"
+        for i, j in _products(k):
+            inverse[f"_{t}_v{i}_{j}"] = f"{_cofactor(s, i, j)} / _{t}_det"
+        v = [[f"_{t}_v{min(i, j)}_{max(i, j)}" for j in range(k)] for i in range(k)]
+        for i in range(k):
+            slopes[f"_{t}_b{i}"] = " + ".join(f"{v[i][j]} * _{t}_s{j}y" for j in range(k))
+        rest[f"_{t}_b"] = f"_{t}_my" + "".join(f" - _{t}_b{i} * _{t}_m{i}" for i in range(k))
+        rest[f"_{t}_ssr"] = f"greatest(_{t}_syy" + "".join(f" - _{t}_b{i} * _{t}_s{i}y" for i in range(k)) + ", 0D)"
+        rest[f"_{t}_df"] = f"_{t}_n - {k + 1}"
+        quality[f"_{t}_sigma"] = f"CASE WHEN _{t}_df > 0 AND _{t}_b IS NOT NULL THEN sqrt(_{t}_ssr / _{t}_df) END"
+        quality[f"_{t}_r2"] = f"CASE WHEN _{t}_b IS NOT NULL THEN 1 - try_divide(_{t}_ssr, _{t}_syy) END"
+        adjusted[f"_{t}_adj"] = f"CASE WHEN _{t}_df > 0 THEN 1 - (1 - _{t}_r2) * (_{t}_n - 1) / _{t}_df END"
+    for step in (determinant, inverse, slopes, rest, quality, adjusted):
+        wide = wide.withColumns({name: F.expr(text) for name, text in step.items()})
+
+    def entry(t: int, model: Model) -> str:
+        k = range(len(model.covariates))
+        rows = ", ".join(f"array({', '.join(f'_{t}_v{min(i, j)}_{max(i, j)}' for j in k)})" for i in k)
+        fields = {
+            "model": f"'{model.name}'",
+            "k": str(len(k)),
+            "covariates": f"array({', '.join(repr(c) for c in model.covariates)})",
+            "n": f"_{t}_n",
+            "df_residual": f"_{t}_df",
+            "coef": f"array(_{t}_b, {', '.join(f'_{t}_b{i}' for i in k)})",
+            "means": f"array({', '.join(f'_{t}_m{i}' for i in k)})",
+            "inverse": f"array({rows})",
+            "syy": f"_{t}_syy",
+            "ssr": f"_{t}_ssr",
+            "sigma": f"_{t}_sigma",
+            "r_squared": f"_{t}_r2",
+            "adj_r_squared": f"_{t}_adj",
+            "criterion": f"_{t}_r2" if len(k) == 1 else f"_{t}_adj",
+        }
+        return "named_struct(" + ", ".join(f"'{n}', {c}" for n, c in fields.items()) + ")"
+
+    fits = f"array({', '.join(entry(t, m) for t, m in enumerate(models))})"
+    return wide.select(*keys, "n_rows", F.expr(fits).alias("fits"))
 
 
 def _keys(fits: DataFrame) -> list[str]:
@@ -157,27 +158,19 @@ def tidy(fits: DataFrame) -> DataFrame:
     """Coefficient table: term, estimate, std_error, statistic, p_value."""
     keys = _keys(fits)
     rows = fits_long(fits)
-    d = F.size("coef") - 1
-    # Variance of the intercept: leverage of the origin.
-    pull = F.aggregate(
-        F.sequence(F.lit(0), d - 1),
-        1 / F.col("n"),
-        lambda acc, i: acc
-        + F.col("means")[i]
-        * F.aggregate(
-            F.sequence(F.lit(0), d - 1), F.lit(0.0), lambda a, j: a + F.col("inverse")[i][j] * F.col("means")[j]
-        ),
+    # Variance factor of the intercept: the leverage of the origin.
+    origin = (
+        "aggregate(zip_with(means, inverse, (m, row) -> m * aggregate(zip_with(row, means, (v, n) -> v * n), 0D, "
+        "(a, e) -> a + e)), 1D / n, (a, e) -> a + e)"
     )
-    terms = F.transform(
-        F.sequence(F.lit(0), d),
-        lambda i: F.struct(
-            F.when(i == 0, F.lit("(Intercept)")).otherwise(F.get("covariates", i - 1)).alias("term"),
-            F.col("coef")[i].alias("estimate"),
-            (F.col("sigma") * F.sqrt(F.when(i == 0, pull).otherwise(F.get(F.get("inverse", i - 1), i - 1)))).alias("std_error"),
-        ),
+    terms = (
+        "transform(coef, (b, i) -> named_struct('term', CASE WHEN i = 0 THEN '(Intercept)' ELSE get(covariates, i - 1) END, "
+        "'estimate', b, 'std_error', sigma * sqrt(CASE WHEN i = 0 THEN origin ELSE get(get(inverse, i - 1), i - 1) END)))"
     )
-    flat = rows.select(*keys, "model", "df_residual", F.explode(terms).alias("t")).select(
-        *keys, "model", "df_residual", "t.*"
+    flat = (
+        rows.withColumn("origin", F.expr(origin))
+        .select(*keys, "model", "df_residual", F.explode(F.expr(terms)).alias("t"))
+        .select(*keys, "model", "df_residual", "t.*")
     )
     stat = flat.withColumn("statistic", ratio("estimate", "std_error"))
     return stat.withColumn("p_value", t_two_sided_p("statistic", "df_residual")).drop("df_residual")
@@ -217,24 +210,23 @@ def glance(fits: DataFrame) -> DataFrame:
 
 def _per_model(models: list[Model], formula) -> Column:
     """The formula of whichever model the row's fit belongs to."""
-    out = None
+    branches = []
     for m in models:
-        hit = F.col("_fit.model") == m.name
-        value = formula([F.col(c).cast("double") for c in m.covariates])
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out
+        xs = [f"CAST(`{c}` AS DOUBLE)" for c in m.covariates]
+        branches.append(f"WHEN _fit.model = '{m.name}' THEN {formula(xs)}")
+    return F.expr(f"CASE {' '.join(branches)} END")
 
 
-def _fitted(xs: list[Column]) -> Column:
-    coef = F.col("_fit.coef")
-    return sum((coef[i] * x for i, x in enumerate(xs, start=1)), coef[0])
+def _fitted(xs: list[str]) -> str:
+    return " + ".join(["_fit.coef[0]", *[f"_fit.coef[{i}] * {x}" for i, x in enumerate(xs, start=1)]])
 
 
-def _leverage(xs: list[Column]) -> Column:
-    means, inverse = F.col("_fit.means"), F.col("_fit.inverse")
-    d = [x - means[i] for i, x in enumerate(xs)]
-    k = range(len(xs))
-    return sum((d[i] * d[j] * inverse[i][j] for i in k for j in k), 1 / F.col("_fit.n"))
+def _leverage(xs: list[str]) -> str:
+    d = [f"({x} - _fit.means[{i}])" for i, x in enumerate(xs)]
+    terms = [
+        f"{'' if i == j else '2D * '}{d[i]} * {d[j]} * _fit.inverse[{i}][{j}]" for i, j in _products(len(xs))
+    ]
+    return " + ".join(["1D / _fit.n", *terms])
 
 
 def _applied(rows: DataFrame, fits: DataFrame, models: list[Model]) -> DataFrame:
@@ -259,16 +251,17 @@ def augment(
     The interval's t-quantile is worked out once per model, not per row.
     """
     if level is not None:
-        keys = _keys(fits)
-        with_q = F.transform("fits", lambda f: f.withField("quantile", t_quantile(level, f["df_residual"])))
-        fits = fits.select(*keys, "n_rows", with_q.alias("fits"))
+        quantiles = F.expr(f"transform(fits, f -> {t_quantile_sql(level, 'f.df_residual')})")
+        zipped = fits.select(*_keys(fits), "n_rows", "fits", quantiles.alias("_q"))
+        fits = zipped.withColumn(
+            "fits", F.zip_with("fits", "_q", lambda f, q: f.withField("quantile", q))
+        ).drop("_q")
     out = _applied(rows, fits, models)
-    sigma = F.col("_fit.sigma")
-    cols = {"model": F.col("_fit.model"), "se_fit": sigma * F.sqrt("_lev")}
+    columns = {"model": F.col("_fit.model"), "se_fit": F.expr("_fit.sigma * sqrt(_lev)")}
     if level is not None:
-        reach = F.col("_fit.quantile") * sigma * F.sqrt(1 + F.col("_lev"))
-        cols |= {"pred_lower": F.col("fitted") - reach, "pred_upper": F.col("fitted") + reach}
-    return out.withColumns(cols).drop("_fit", "_lev")
+        reach = "_fit.quantile * _fit.sigma * sqrt(1 + _lev)"
+        columns |= {"pred_lower": F.expr(f"fitted - {reach}"), "pred_upper": F.expr(f"fitted + {reach}")}
+    return out.withColumns(columns).drop("_fit", "_lev")
 
 
 def residuals(rows: DataFrame, fits: DataFrame, models: list[Model], response: str) -> DataFrame:
@@ -374,38 +367,28 @@ def fit_r2_by_group(df: DataFrame, keys: list[str], y: str, x: str) -> DataFrame
     )
 
 
-def _merge_moments(table: DataFrame, keys: list[str], tag: str, k: int) -> DataFrame:
+def _merge_moments(table: DataFrame, keys: list[str], k: int) -> DataFrame:
     """Moments of several parts -> moments of their union, one row per key.
 
     The parts of a key are few (folds), so they are gathered and combined
     around the merged means, which keeps the precision of centred moments.
     """
     names = [c for c in table.columns if c not in keys]
-    parts = F.col("_parts")
-
-    def total(term) -> Column:
-        return F.aggregate(parts, F.lit(0.0), lambda acc, p: acc + term(p))
+    means = ["_0_my", *[f"_0_m{i}" for i in range(k)]]
 
-    gathered = table.groupBy(*keys).agg(F.collect_list(F.struct(*names)).alias("_parts"))
-    mean_of = {f"{tag}_my": "_my", **{f"{tag}_m{i}": f"_m{i}" for i in range(k)}}
-    sized = gathered.withColumn(f"{tag}_n", total(lambda p: p[f"{tag}_n"].cast("double")))
-    centred = sized.withColumns(
-        {mean: total(lambda p, m=mean: p[f"{tag}_n"] * p[m]) / F.col(f"{tag}_n") for mean in mean_of}
-    )
+    def total(term: str) -> Column:
+        return F.expr(f"aggregate(_parts, 0D, (acc, p) -> acc + {term})")
 
     def product(cell: str, a: str, b: str) -> Column:
-        return total(
-            lambda p: p[cell] + p[f"{tag}_n"] * (p[a] - F.col(a)) * (p[b] - F.col(b))
-        )
+        return total(f"p.{cell} + p._0_n * (p.{a} - {a}) * (p.{b} - {b})")
 
-    y = f"{tag}_my"
-    cells = {f"{tag}_syy": product(f"{tag}_syy", y, y)}
-    for i in range(k):
-        cells[f"{tag}_s{i}y"] = product(f"{tag}_s{i}y", f"{tag}_m{i}", y)
-        for j in range(i, k):
-            cells[f"{tag}_s{i}_{j}"] = product(f"{tag}_s{i}_{j}", f"{tag}_m{i}", f"{tag}_m{j}")
-    whole = centred.withColumns(cells).withColumn(f"{tag}_n", F.col(f"{tag}_n").cast("bigint"))
-    return whole.drop("_parts")
+    gathered = table.groupBy(*keys).agg(F.collect_list(F.struct(*names)).alias("_parts"))
+    sized = gathered.withColumn("_0_n", total("p._0_n"))
+    centred = sized.withColumns({m: total(f"p._0_n * p.{m}") / F.col("_0_n") for m in means})
+    cells = {"_0_syy": product("_0_syy", "_0_my", "_0_my")}
+    cells |= {f"_0_s{i}y": product(f"_0_s{i}y", f"_0_m{i}", "_0_my") for i in range(k)}
+    cells |= {f"_0_s{i}_{j}": product(f"_0_s{i}_{j}", f"_0_m{i}", f"_0_m{j}") for i, j in _products(k)}
+    return centred.withColumns(cells).withColumn("_0_n", F.col("_0_n").cast("bigint")).drop("_parts")
 
 
 def kfold_cv(df: DataFrame, response: str, covariates: list[str], fold: Column, folds: int) -> DataFrame:
@@ -417,15 +400,14 @@ def kfold_cv(df: DataFrame, response: str, covariates: list[str], fold: Column,
     """
     model = Model("cv", tuple(covariates))
     rows = df.where(complete(response, *covariates)).withColumn("fold", fold.cast("int"))
-    parts = rows.groupBy("fold").agg(*moments(response, model, "_0"))
+    parts = _masked(rows, ["fold"], response, [model]).groupBy("fold").agg(*_moments(0, model))
     others = F.array_except(F.sequence(F.lit(0), F.lit(folds - 1)), F.array("fold"))
-    training = _merge_moments(parts.withColumn("fold", F.explode(others)), ["fold"], "_0", len(covariates))
+    training = _merge_moments(parts.withColumn("fold", F.explode(others)), ["fold"], len(covariates))
     fits = _fits_from_moments(training.withColumn("n_rows", F.col("_0_n")), ["fold"], [model])
-    tested = _applied(rows, fits, [model])
-    e = F.col(response) - F.col("fitted")
+    tested = _applied(rows, fits, [model]).withColumn("_e", F.col(response) - F.col("fitted"))
     return tested.groupBy("fold").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sqrt(F.avg(e * e)).alias("rmse"),
+        F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"),
         F.pow(F.corr(F.col("fitted"), F.col(response)), 2).alias("r_squared"),
-        F.avg(F.abs(e)).alias("mae"),
+        F.avg(F.abs("_e")).alias("mae"),
     )

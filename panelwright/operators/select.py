@@ -17,7 +17,7 @@ def filter_in(df: DataFrame, col: str, values: list | DataFrame) -> DataFrame:
     """Rows whose column is in a literal list, or in the first column of a table."""
     if isinstance(values, DataFrame):
         keys = values.select(F.col(values.columns[0]).alias("_key"))
-        return df.join(keys, df[col] == F.col("_key"), "left_semi")
+        return df.join(keys, F.col(col) == F.col("_key"), "left_semi")
     return df.where(F.col(col).isin(values))
 
 
@@ -25,7 +25,7 @@ def filter_not_in(df: DataFrame, col: str, values: list | DataFrame) -> DataFram
     """Rows whose column is not in the list; a null is not in any list."""
     if isinstance(values, DataFrame):
         keys = values.select(F.col(values.columns[0]).alias("_key")).where("_key is not null")
-        return df.join(keys, df[col] == F.col("_key"), "left_anti")
+        return df.join(keys, F.col(col) == F.col("_key"), "left_anti")
     return df.where(is_not_in(col, values))
 
 

@@ -122,7 +122,7 @@ def normal_scores(
         numbered = number_rows(filled, order, "_i")
         ranked = numbered.withColumn("_n", numbered.agg(F.max("_i")).scalar())
     a = F.when(F.col("_n") <= 10, 3 / 8).otherwise(0.5)
-    point = (F.col("_i") - a) / (F.col("_n") + 1 - 2 * a)
-    scored = ranked.withColumn(name, normal_quantile(point)).drop("_i", "_n")
+    placed = ranked.withColumn("_point", (F.col("_i") - a) / (F.col("_n") + 1 - 2 * a))
+    scored = placed.withColumn(name, normal_quantile("_point")).drop("_i", "_n", "_point")
     missing = df.where(F.col(value).isNull())
     return scored.unionByName(missing, allowMissingColumns=True)
