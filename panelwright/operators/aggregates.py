@@ -67,10 +67,15 @@ def max_with_ties(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return joined.where(F.col(value) == F.col("_best")).drop("_best")
 
 
-def _correlation(x: Column, y: Column) -> Column:
-    """Pearson r; null instead of NaN when a side does not vary."""
-    r = F.corr(x, y)
-    return F.when(~F.isnan(r), r)
+def _correlation(x: str, y: str) -> Column:
+    """Pearson r of two SQL terms; null when a side does not vary.
+
+    Built from centred products, because the built-in ``corr`` raises a
+    division error on a side without variation.
+    """
+    r = f"try_divide(regr_sxy({y}, {x}), sqrt(regr_sxx({y}, {x})) * sqrt(regr_syy({y}, {x})))"
+    # least and greatest skip nulls, so a missing r needs its own branch.
+    return F.expr(f"CASE WHEN {r} IS NOT NULL THEN least(1D, greatest(-1D, {r})) END")
 
 
 def _correlation_p(r: str, n: str) -> Column:
@@ -83,7 +88,7 @@ def _correlation_p(r: str, n: str) -> Column:
 
 def group_corr(df: DataFrame, keys: list[str], x: str, y: str, digits: int | None = 2, name: str = "r") -> DataFrame:
     """Correlation per group over the rows that have both values."""
-    r = _correlation(F.col(x), F.col(y))
+    r = _correlation(x, y)
     out = r if digits is None else round_half_even(r, digits)
     return df.where(complete(x, y)).groupBy(*keys).agg(out.alias(name))
 
@@ -91,7 +96,7 @@ def group_corr(df: DataFrame, keys: list[str], x: str, y: str, digits: int | Non
 def corr_test(df: DataFrame, keys: list[str], x: str, y: str, digits: int = 4) -> DataFrame:
     """Correlation, number of pairs, rounded two-sided p-value and its stars."""
     base = df.where(complete(x, y)).groupBy(*keys).agg(
-        _correlation(F.col(x), F.col(y)).alias("_r"), F.count(F.lit(1)).alias("n")
+        _correlation(x, y).alias("_r"), F.count(F.lit(1)).alias("n")
     )
     p = round_half_even(_correlation_p("_r", "n"), digits)
     return base.select(*keys, "n", round_half_even("_r", 2).alias("r"), p.alias("p_value")).withColumn(
@@ -114,14 +119,13 @@ def corr_table(
     come out of one aggregation of conditional correlations.
     """
     needed = [y, *covariates]
-    cells = []
+    cells, inside = [], {}
     for w, (first, last) in windows.items():
-        inside = F.col(period).between(first, last)
-        cells.append(F.count(F.when(inside, F.lit(1))).alias(f"_{w}_n"))
-        for c in covariates:
-            r = _correlation(F.when(inside, F.col(c)), F.when(inside, F.col(y)))
-            cells.append(r.alias(f"_{w}_{c}"))
-    wide = df.where(complete(*needed)).groupBy(*keys).agg(*cells)
+        # Null in the y masks the pair: the products only count complete pairs.
+        inside[f"_{w}_y"] = F.when(F.col(period).between(first, last), F.col(y))
+        cells.append(F.count(f"_{w}_y").alias(f"_{w}_n"))
+        cells += [_correlation(c, f"_{w}_y").alias(f"_{w}_{c}") for c in covariates]
+    wide = df.where(complete(*needed)).withColumns(inside).groupBy(*keys).agg(*cells)
     tests = {
         f"_{w}_{c}_p": round_half_even(_correlation_p(f"_{w}_{c}", f"_{w}_n"), 4)
         for w in windows

@@ -61,7 +61,8 @@ def attach_groups(
         "_salt",
         F.when(F.col("_big").isNotNull(), F.pmod(F.spark_partition_id(), F.lit(spread)) + 1).otherwise(F.lit(0)),
     )
-    rest = renamed.select(*drop, F.struct(*columns).alias("_rest"), F.lit(0).alias("_rest_salt"))
+    # Exploded, not a literal: the optimizer folds a literal into a filter and the salt stops being a join key.
+    rest = renamed.select(*drop, F.struct(*columns).alias("_rest"), F.explode(F.array(F.lit(0))).alias("_rest_salt"))
     joined = salted.join(
         rest, _same_keys(keys) & (F.col("_salt") == F.col("_rest_salt")), "left"
     )

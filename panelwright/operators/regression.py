@@ -111,7 +111,8 @@ def _fits_from_moments(wide: DataFrame, keys: list[str], models: list[Model]) ->
         for i in range(k):
             slopes[f"_{t}_b{i}"] = " + ".join(f"{v[i][j]} * _{t}_s{j}y" for j in range(k))
         rest[f"_{t}_b"] = f"_{t}_my" + "".join(f" - _{t}_b{i} * _{t}_m{i}" for i in range(k))
-        rest[f"_{t}_ssr"] = f"greatest(_{t}_syy" + "".join(f" - _{t}_b{i} * _{t}_s{i}y" for i in range(k)) + ", 0D)"
+        left_over = f"_{t}_syy" + "".join(f" - _{t}_b{i} * _{t}_s{i}y" for i in range(k))
+        rest[f"_{t}_ssr"] = f"CASE WHEN _{t}_b0 IS NOT NULL THEN greatest({left_over}, 0D) END"
         rest[f"_{t}_df"] = f"_{t}_n - {k + 1}"
         quality[f"_{t}_sigma"] = f"CASE WHEN _{t}_df > 0 AND _{t}_b IS NOT NULL THEN sqrt(_{t}_ssr / _{t}_df) END"
         quality[f"_{t}_r2"] = f"CASE WHEN _{t}_b IS NOT NULL THEN 1 - try_divide(_{t}_ssr, _{t}_syy) END"
@@ -184,10 +185,9 @@ def glance(fits: DataFrame) -> DataFrame:
     f = F.when(df > 0, ratio((F.col("syy") - ssr) / k, ssr / df))
     p = F.when(k == 1, f_upper_p("statistic", 1, "df_residual")).when(k == 2, f_upper_p("statistic", 2, "df_residual"))
     loglik = F.when(ssr > 0, -n / 2 * (F.log(ssr / n) + math.log(2 * math.pi) + 1))
-    fitted = F.col("coef")[0].isNotNull()
     return (
         rows.withColumn("statistic", f)
-        .withColumns({"p_value": p, "log_lik": F.when(fitted, loglik)})
+        .withColumns({"p_value": p, "log_lik": loglik})
         .select(
             *keys,
             "model",
@@ -200,7 +200,7 @@ def glance(fits: DataFrame) -> DataFrame:
             "log_lik",
             (-2 * F.col("log_lik") + 2 * (k + 2)).alias("aic"),
             (-2 * F.col("log_lik") + F.log(n.cast("double")) * (k + 2)).alias("bic"),
-            F.when(fitted, ssr).alias("deviance"),
+            ssr.alias("deviance"),
             df.alias("df_residual"),
             n.alias("nobs"),
             "criterion",
@@ -270,7 +270,8 @@ def residuals(rows: DataFrame, fits: DataFrame, models: list[Model], response: s
     h, sigma, df = F.col("_lev"), F.col("_fit.sigma"), F.col("_fit.df_residual")
     e = F.col(response) - F.col("fitted")
     free = F.when(1 - h > 1e-12, 1 - h)
-    without = F.when(df > 1, F.sqrt(F.greatest(F.col("_fit.ssr") - e * e / free, F.lit(0.0)) / (df - 1)))
+    others = F.greatest(F.col("_fit.ssr") - e * e / free, F.lit(0.0))
+    without = F.when((df > 1) & free.isNotNull(), F.sqrt(others / (df - 1)))
     return out.withColumns(
         {
             "model": F.col("_fit.model"),
@@ -408,6 +409,6 @@ def kfold_cv(df: DataFrame, response: str, covariates: list[str], fold: Column,
     return tested.groupBy("fold").agg(
         F.count(F.lit(1)).alias("n"),
         F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"),
-        F.pow(F.corr(F.col("fitted"), F.col(response)), 2).alias("r_squared"),
+        F.regr_r2(F.col(response), F.col("fitted")).alias("r_squared"),
         F.avg(F.abs("_e")).alias("mae"),
     )
