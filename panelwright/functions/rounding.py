@@ -17,10 +17,15 @@ def round_half_even(c: Column | str, digits: int = 0) -> Column:
     """Round with ties to the even digit.
 
     Sums of doubles differ in the last bits with the order in which partitions
-    are merged. The first rounding removes that noise, so a tie is a tie on
-    every run and on every partitioning.
+    are merged. The first ``rint`` removes that noise, so a tie is a tie on
+    every run and on every partitioning. Plain double arithmetic, so it
+    compiles with its stage, unlike decimal rounding; adding zero turns -0.0
+    into 0.0.
     """
-    return F.bround(F.bround(column(c).cast("double"), digits + GUARD_DIGITS), digits)
+    value = column(c).cast("double")
+    scaled = value * 10.0**digits if digits >= 0 else value / 10.0**-digits
+    whole = F.rint(F.rint(scaled * 10.0**GUARD_DIGITS) / 10.0**GUARD_DIGITS)
+    return (whole / 10.0**digits if digits >= 0 else whole * 10.0**-digits) + 0.0
 
 
 def truncate_int(c: Column | str) -> Column:

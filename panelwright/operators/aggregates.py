@@ -30,12 +30,20 @@ def group_mean_strict(df: DataFrame, keys: list[str], measures: dict[str, str],
 def sum_with_total(
     df: DataFrame, keys: list[str], member: str, measures: dict[str, str], total_label: str
 ) -> DataFrame:
-    """Strict sums per member and for all members together, from one pass over the rows."""
-    grouped = df.groupingSets(
-        [[F.col(k) for k in keys] + [F.col(member)], [F.col(k) for k in keys]], *keys, member
-    ).agg(F.grouping(member).alias("_total"), *[strict_sum(c).alias(n) for c, n in measures.items()])
-    label = F.when(F.col("_total") == 1, total_label).otherwise(F.col(member))
-    return grouped.withColumn(member, label).select(*keys, member, *measures.values())
+    """Strict sums per member and for all members together, from one pass over the rows.
+
+    The rows are summed per member first; only those sums are then doubled for
+    the total. Grouping sets would double every input row instead.
+    """
+    names = list(measures.values())
+    sums = group_sum_strict(df, [*keys, member], measures)
+    part = [
+        F.struct(F.col(member).alias(member), F.lit(False).alias("_total")),
+        F.struct(F.lit(total_label).alias(member), F.lit(True).alias("_total")),
+    ]
+    doubled = sums.select(*keys, F.explode(F.array(*part)).alias("_m"), *names).select(*keys, "_m.*", *names)
+    whole = doubled.groupBy(*keys, member, "_total").agg(*[strict_sum(n).alias(n) for n in names])
+    return whole.select(*keys, member, *names)
 
 
 def append_total_member(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.rounding import round_columns
 from ..operators import regression, windows
 from ..operators.regression import Model
+from ..session import hold
 from . import panels, sqltext
 from .panels import table
 from .registry import query
@@ -334,7 +335,7 @@ def residual_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = panels.model_input(spark, sf_dir)
     best = regression.best_fits(panel_fits(rows))
     diagnostics = regression.residuals(rows, best, PANEL_MODELS, "measure")
-    std = round_columns(diagnostics.select("yr", "state", "assumption", "model", "std_resid"), {"std_resid": 6})
+    std = hold(round_columns(diagnostics.select("yr", "state", "assumption", "model", "std_resid"), {"std_resid": 6}))
     return round_columns(windows.normal_scores(std, ["state"], "std_resid", ["yr", "assumption"]), {"theoretical": 6})
 
 

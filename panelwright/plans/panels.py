@@ -18,6 +18,7 @@ from ..operators.enrolment import age_fraction, enrolment_by_age, migration_adju
 from ..operators.reshape import pivot_longer, pivot_wider
 from ..operators.scenario import Horizon
 from ..operators.windows import lag_change
+from ..session import hold
 
 # How the driver tables stand in for the panel's labels.
 SEXES = {"A": "1", "N": "2", "R": "3"}
@@ -79,42 +80,46 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = per_nation(
         spark, sf_dir, {"yr": ship_year(), "age": line_age()}, {"erp": F.col("l_quantity")}
     )
-    return sums.select(F.col("n_name").alias("state"), "yr", "age", "erp", (F.col("yr") - F.col("age")).alias("cohort"))
+    return hold(
+        sums.select(F.col("n_name").alias("state"), "yr", "age", "erp", (F.col("yr") - F.col("age")).alias("cohort"))
+    )
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observation rows as text: regions and their total, three "sexes", quarters."""
+    """Observation rows as text: regions and their total, three "sexes", quarters.
+
+    Rows are grouped by the raw columns; the text labels are made from the sums.
+    """
     sums = per_nation(
         spark,
         sf_dir,
-        {
-            "age": line_age(),
-            "sex": recode("l_returnflag", SEXES),
-            "time_period": F.concat(ship_year(), F.lit("-Q"), F.quarter("l_shipdate")),
-        },
+        {"n_age": line_age(), "flag": F.col("l_returnflag"), "yr": ship_year(), "qtr": F.quarter("l_shipdate")},
         {"v": F.col("l_quantity")},
     )
-    dims = ["age", "sex", "time_period"]
-    grouped = sums.groupingSets(
-        [[F.col("n_regionkey"), *map(F.col, dims)], list(map(F.col, dims))], "n_regionkey", *dims
-    ).agg(F.grouping("n_regionkey").alias("all_regions"), F.sum("v").alias("v"))
-    region = F.when(F.col("all_regions") == 1, "AUS").otherwise((F.col("n_regionkey") + 1).cast("string"))
+    grouped = _with_total_region(sums, "v", ["n_age", "flag", "yr", "qtr"])
     return grouped.select(
-        F.col("age").cast("string").alias("age"),
-        "sex",
-        region.alias("region"),
-        "time_period",
+        F.col("n_age").cast("string").alias("age"),
+        recode("flag", SEXES).alias("sex"),
+        "region",
+        F.concat("yr", F.lit("-Q"), "qtr").alias("time_period"),
         F.col("v").cast("bigint").cast("string").alias("obs_value"),
     )
 
 
+def _with_total_region(sums: DataFrame, value: str, dims: list[str], total: str | None = "AUS") -> DataFrame:
+    """Nation sums -> region codes, and all regions together under the total code."""
+    code = (F.col("n_regionkey") + 1).cast("string")
+    region = F.explode(F.array(code, F.lit(total))) if total else code
+    return sums.withColumn("region", region).groupBy("region", *dims).agg(F.sum(value).alias(value))
+
+
 def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return population_cube(observations(spark, sf_dir), first_cohort=FIRST_COHORT)
+    return hold(population_cube(observations(spark, sf_dir), first_cohort=FIRST_COHORT))
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Within-cohort changes of the nation cells."""
-    return lag_change(cells(spark, sf_dir), first_cohort=FIRST_COHORT)
+    return hold(lag_change(cells(spark, sf_dir), first_cohort=FIRST_COHORT))
 
 
 def orders_per_nation(spark: SparkSession, sf_dir: str, keys: dict[str, Column]) -> DataFrame:
@@ -147,7 +152,7 @@ def school_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lagged_enrolments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return age_fraction(enrolment_by_age(school_counts(spark, sf_dir)))
+    return hold(age_fraction(enrolment_by_age(school_counts(spark, sf_dir))))
 
 
 def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +160,7 @@ def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     population = cube(spark, sf_dir)
     lagged = lagged_enrolments(spark, sf_dir)
     adjusted = migration_adjusted_denominator(lagged, inverse_change_factors(population))
-    return measure_panel(adjusted, population, lagged, skip_years=(1994,))
+    return hold(measure_panel(adjusted, population, lagged, skip_years=(1994,)))
 
 
 def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,9 +177,8 @@ def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def series_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long sheet: (yr, state, series, value)."""
     wide = assembled(spark, sf_dir).withColumnRenamed("data_item", "series")
-    return pivot_longer(wide, ["yr", "series"], list(REGION_COLUMNS.values()), "state", "value").select(
-        "yr", "state", "series", "value"
-    )
+    tall = pivot_longer(wide, ["yr", "series"], list(REGION_COLUMNS.values()), "state", "value")
+    return hold(tall.select("yr", "state", "series", "value"))
 
 
 def model_input(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +191,7 @@ def model_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = per_nation(
         spark,
         sf_dir,
-        {"yr": ship_year(), "assumption": F.when(F.year("l_shipdate") < 2000, "N.A.").otherwise(scenario)},
+        {"yr": ship_year(), "assumption": F.when(ship_year() < 2000, "N.A.").otherwise(scenario)},
         {
             "m": F.when(age == 6, quantity),
             "erp_3yr": F.when(age == 3, quantity),
@@ -197,16 +201,18 @@ def model_input(spark: SparkSession, sf_dir: str) -> DataFrame:
             "numerator45": F.when(age.between(4, 5), quantity),
         },
     )
-    return sums.select(
-        "yr",
-        F.col("n_name").alias("state"),
-        "assumption",
-        F.when(F.col("yr") < 2001, F.col("m")).alias("measure"),
-        "erp_3yr",
-        "erp_4yr",
-        "erp_5yr",
-        "numerator",
-        "numerator45",
+    return hold(
+        sums.select(
+            "yr",
+            F.col("n_name").alias("state"),
+            "assumption",
+            F.when(F.col("yr") < 2001, F.col("m")).alias("measure"),
+            "erp_3yr",
+            "erp_4yr",
+            "erp_5yr",
+            "numerator",
+            "numerator45",
+        )
     )
 
 
@@ -217,26 +223,19 @@ def migration_observations(spark: SparkSession, sf_dir: str, feed: str) -> DataF
         spark,
         sf_dir,
         {
-            "time": ship_year(),
-            "age": F.when(F.col("l_linenumber") <= 5, "A04").otherwise("A59"),
-            "measure": recode("l_returnflag", SEXES),
+            "yr": ship_year(),
+            "young": F.col("l_linenumber") <= 5,
+            "flag": F.col("l_returnflag"),
             "status": F.col("l_linestatus"),
         },
         {"v": F.col("l_quantity")},
     ).where(F.col("status") == status)
-    dims = ["time", "age", "measure"]
-    sets = [[F.col("n_regionkey"), *map(F.col, dims)]]
-    if feed == "overseas":
-        sets.append(list(map(F.col, dims)))
-    grouped = sums.groupingSets(sets, "n_regionkey", *dims).agg(
-        F.grouping("n_regionkey").alias("all_regions"), F.sum("v").alias("v")
-    )
-    region = F.when(F.col("all_regions") == 1, "AUS").otherwise((F.col("n_regionkey") + 1).cast("string"))
+    grouped = _with_total_region(sums, "v", ["yr", "young", "flag"], "AUS" if feed == "overseas" else None)
     return grouped.select(
-        F.col("time").cast("string").alias("time"),
-        "age",
-        "measure",
-        region.alias("region"),
+        F.col("yr").cast("string").alias("time"),
+        F.when(F.col("young"), "A04").otherwise("A59").alias("age"),
+        recode("flag", SEXES).alias("measure"),
+        "region",
         F.col("v").cast("bigint").cast("string").alias("obs_value"),
     )
 
@@ -251,11 +250,13 @@ def single_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(yr, state_code, age, erp_sya) of one sex and the June quarter."""
     obs = observations(spark, sf_dir)
     kept = obs.where((F.col("sex") == "3") & (F.substring("time_period", 6, 2) == "Q2"))
-    return kept.select(
-        F.substring("time_period", 1, 4).cast("int").alias("yr"),
-        F.col("region").alias("state_code"),
-        F.col("age").cast("int").alias("age"),
-        F.col("obs_value").cast("double").alias("erp_sya"),
+    return hold(
+        kept.select(
+            F.substring("time_period", 1, 4).cast("int").alias("yr"),
+            F.col("region").alias("state_code"),
+            F.col("age").cast("int").alias("age"),
+            F.col("obs_value").cast("double").alias("erp_sya"),
+        )
     )
 
 

@@ -53,3 +53,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Keep an aggregated panel that several steps read, so that the fact table is scanned once.
+
+    For panels only, whose size is bounded by members x periods x ages. Blocks
+    that are lost with an executor are computed again from the lineage.
+    """
+    return df.persist()
