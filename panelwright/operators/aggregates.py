@@ -96,7 +96,7 @@ def _correlation_p(r: str, n: str) -> Column:
 
 def group_corr(df: DataFrame, keys: list[str], x: str, y: str, digits: int | None = 2, name: str = "r") -> DataFrame:
     """Correlation per group over the rows that have both values."""
-    r = _correlation(x, y)
+    r = _correlation(f"`{x}`", f"`{y}`")
     out = r if digits is None else round_half_even(r, digits)
     return df.where(complete(x, y)).groupBy(*keys).agg(out.alias(name))
 
@@ -104,7 +104,7 @@ def group_corr(df: DataFrame, keys: list[str], x: str, y: str, digits: int | Non
 def corr_test(df: DataFrame, keys: list[str], x: str, y: str, digits: int = 4) -> DataFrame:
     """Correlation, number of pairs, rounded two-sided p-value and its stars."""
     base = df.where(complete(x, y)).groupBy(*keys).agg(
-        _correlation(x, y).alias("_r"), F.count(F.lit(1)).alias("n")
+        _correlation(f"`{x}`", f"`{y}`").alias("_r"), F.count(F.lit(1)).alias("n")
     )
     p = round_half_even(_correlation_p("_r", "n"), digits)
     return base.select(*keys, "n", round_half_even("_r", 2).alias("r"), p.alias("p_value")).withColumn(
@@ -126,25 +126,21 @@ def corr_table(
     Rows are complete over y and all covariates. All windows and covariates
     come out of one aggregation of conditional correlations.
     """
-    needed = [y, *covariates]
-    cells, inside = [], {}
-    for w, (first, last) in windows.items():
-        # Null in the y masks the pair: the products only count complete pairs.
-        inside[f"_{w}_y"] = F.when(F.col(period).between(first, last), F.col(y))
-        cells.append(F.count(f"_{w}_y").alias(f"_{w}_n"))
-        cells += [_correlation(c, f"_{w}_y").alias(f"_{w}_{c}") for c in covariates]
-    wide = df.where(complete(*needed)).withColumns(inside).groupBy(*keys).agg(*cells)
-    tests = {
-        f"_{w}_{c}_p": round_half_even(_correlation_p(f"_{w}_{c}", f"_{w}_n"), 4)
-        for w in windows
-        for c in covariates
-    }
-    wide = wide.withColumns(tests)
+    cells, inside, tests = [], {}, {}
+    for i, (first, last) in enumerate(windows.values()):
+        # A null in y masks the pair: the products only count complete pairs.
+        inside[f"_y{i}"] = F.when(F.col(period).between(first, last), F.col(y))
+        cells.append(F.count(f"_y{i}").alias(f"_n{i}"))
+        for j, c in enumerate(covariates):
+            cells.append(_correlation(f"`{c}`", f"_y{i}").alias(f"_r{i}_{j}"))
+            tests[f"_p{i}_{j}"] = round_half_even(_correlation_p(f"_r{i}_{j}", f"_n{i}"), 4)
+    whole = df.where(complete(y, *covariates)).withColumns(inside)
+    tested = whole.groupBy(*keys).agg(*cells).withColumns(tests)
     entries = []
-    for w in windows:
-        parts = [F.lit(w).alias("window"), F.col(f"_{w}_n").alias("n")]
-        for c, label in covariates.items():
-            parts.append(round_half_even(f"_{w}_{c}", digits).alias(f"r_{label}"))
-            parts.append(significance_stars(f"_{w}_{c}_p").alias(f"sig_{label}"))
+    for i, w in enumerate(windows):
+        parts = [F.lit(w).alias("window"), F.col(f"_n{i}").alias("n")]
+        for j, label in enumerate(covariates.values()):
+            parts.append(round_half_even(f"_r{i}_{j}", digits).alias(f"r_{label}"))
+            parts.append(significance_stars(f"_p{i}_{j}").alias(f"sig_{label}"))
         entries.append(F.struct(*parts))
-    return wide.select(*keys, F.explode(F.array(*entries)).alias("_e")).select(*keys, "_e.*").where("n > 0")
+    return tested.select(*keys, F.explode(F.array(*entries)).alias("_e")).select(*keys, "_e.*").where("n > 0")

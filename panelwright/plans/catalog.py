@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import basics, domain, grouped, models, scalars  # noqa: F401
+from . import basics, domain, grouped, models, scalars, whole  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -173,22 +173,28 @@ _RULES = [
 ]
 
 
+REPAIRED = f"""{sqltext.MODEL}, first_ AS (
+  SELECT *, CASE WHEN state = 'NATION_1' AND yr <= 1996 THEN NULL
+                 WHEN state = 'NATION_4' AND yr IN (1997, 1998) THEN NULL ELSE measure END AS v FROM model_input),
+mean_ AS (SELECT *, CASE WHEN count(v) OVER w = 3 THEN avg(v) OVER w END AS m FROM first_
+  WINDOW w AS (PARTITION BY state ORDER BY yr, assumption ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+repaired_rows AS (
+  SELECT *, CASE WHEN state = 'NATION_2' AND yr = 1999 THEN NULL ELSE
+    {rnd("CASE WHEN (state = 'NATION_1' AND yr = 1998) OR state = 'NATION_2' THEN m ELSE v END", 0)} END AS repaired
+  FROM mean_)"""
+
+
+def repair_rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_RULES, "state string, first int, last int, action string")
+
+
 @query(
     "outlier_repair",
-    f"""WITH {sqltext.MODEL}, first_ AS (
-      SELECT *, CASE WHEN state = 'NATION_1' AND yr <= 1996 THEN NULL
-                     WHEN state = 'NATION_4' AND yr IN (1997, 1998) THEN NULL ELSE measure END AS v FROM model_input),
-    mean_ AS (SELECT *, CASE WHEN count(v) OVER w = 3 THEN avg(v) OVER w END AS m FROM first_
-      WINDOW w AS (PARTITION BY state ORDER BY yr, assumption ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))
-    SELECT yr, state, assumption, measure,
-           CASE WHEN state = 'NATION_2' AND yr = 1999 THEN NULL ELSE
-             {rnd("CASE WHEN (state = 'NATION_1' AND yr = 1998) OR state = 'NATION_2' THEN m ELSE v END", 0)} END AS repaired
-    FROM mean_""",
+    f"WITH {REPAIRED} SELECT yr, state, assumption, measure, repaired FROM repaired_rows",
 )
 def outlier_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(_RULES, "state string, first int, last int, action string")
     rows = panels.model_input(spark, sf_dir).select("yr", "state", "assumption", "measure")
-    return adjust.outlier_repair(rows, rules, "measure", ["state"], ["yr", "assumption"])
+    return adjust.outlier_repair(rows, repair_rules(spark), "measure", ["state"], ["yr", "assumption"])
 
 
 @query(

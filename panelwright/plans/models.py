@@ -64,14 +64,17 @@ def fits_sql(source: str, keys: str, y: str, models: list[Model]) -> str:
              (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2, n - k - 1 AS df FROM mom),
     fit AS (
       SELECT *, my - b1 * m1 - b2 * m2 AS b0, syy - b1 * s1y - b2 * s2y AS ssr,
-             sqrt((syy - b1 * s1y - b2 * s2y) / df) AS sigma,
+             CASE WHEN df > 0 THEN sqrt((syy - b1 * s1y - b2 * s2y) / df) END AS sigma,
              1 - (syy - b1 * s1y - b2 * s2y) / syy AS r2,
-             1 - (syy - b1 * s1y - b2 * s2y) / syy * (n - 1) / df AS adj_r2,
-             CASE k WHEN 1 THEN 1 - (syy - b1 * s1y - b2 * s2y) / syy
-                    ELSE 1 - (syy - b1 * s1y - b2 * s2y) / syy * (n - 1) / df END AS criterion
+             CASE WHEN df > 0 THEN 1 - (syy - b1 * s1y - b2 * s2y) / syy * (n - 1) / df END AS adj_r2,
+             CASE WHEN k = 1 THEN 1 - (syy - b1 * s1y - b2 * s2y) / syy
+                  WHEN df > 0 THEN 1 - (syy - b1 * s1y - b2 * s2y) / syy * (n - 1) / df END AS criterion
       FROM slopes),
     best AS (
-      SELECT * FROM (SELECT *, max(criterion) OVER (PARTITION BY {keys}) AS top FROM fit) WHERE criterion = top)"""
+      SELECT * FROM (
+        SELECT *, max(criterion) OVER g AS top, count(*) OVER g - count(criterion) OVER g AS missing
+        FROM fit WINDOW g AS (PARTITION BY {keys}))
+      WHERE criterion = top AND missing = 0)"""
 
 
 def leverage(x1: str, x2: str) -> str:

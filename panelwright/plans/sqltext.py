@@ -168,12 +168,14 @@ MODEL = f"""{LINES}, model_input AS (
          sum(l_quantity) FILTER (age IN (4, 5)) AS numerator45
   FROM lines GROUP BY n_name, yr, CASE WHEN yr < 2000 THEN 'N.A.' ELSE {SCENARIO_LABEL} END)"""
 
-CHANGES = f"""{CELLS}, changes AS (
+CHANGES_STEP = f"""changes AS (
   SELECT *, {rnd("chg / nullif(erp - chg, 0)", 5)} AS p_chg FROM (
     SELECT *, erp - lag(erp) OVER (PARTITION BY state, cohort ORDER BY yr) AS chg
     FROM cells WHERE age < 7 AND cohort >= 1991)
   WHERE chg IS NOT NULL AND erp - chg <> 0)"""
 
+CHANGES = f"{CELLS}, {CHANGES_STEP}"
+
 
 def _mig(status: str, name: str, sets: str) -> str:
     return f"""{name} AS (
