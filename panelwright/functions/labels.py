@@ -10,6 +10,9 @@ from .rounding import column
 
 def recode(c: Column | str, mapping: dict, otherwise: Column | None = None) -> Column:
     """Code -> label; codes outside the mapping become ``otherwise`` or null."""
+    if isinstance(c, str) and otherwise is None:
+        whens = " ".join(f"WHEN {_literal(code)} THEN {_literal(label)}" for code, label in mapping.items())
+        return F.expr(f"CASE `{c}` {whens} END")
     c = column(c)
     out: Column | None = None
     for code, label in mapping.items():
@@ -17,6 +20,13 @@ def recode(c: Column | str, mapping: dict, otherwise: Column | None = None) -> C
     return out if otherwise is None else out.otherwise(otherwise)
 
 
+def _literal(value: str | int) -> str:
+    """A label or code as SQL text."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return repr(value)
+
+
 def ordinal(c: Column | str, levels: list[str]) -> Column:
     """Position of a label in its level list; null outside the list."""
     return recode(c, {label: i for i, label in enumerate(levels)})

@@ -22,10 +22,16 @@ def round_half_even(c: Column | str, digits: int = 0) -> Column:
     compiles with its stage, unlike decimal rounding; adding zero turns -0.0
     into 0.0.
     """
-    value = column(c).cast("double")
-    scaled = value * 10.0**digits if digits >= 0 else value / 10.0**-digits
-    whole = F.rint(F.rint(scaled * 10.0**GUARD_DIGITS) / 10.0**GUARD_DIGITS)
-    return (whole / 10.0**digits if digits >= 0 else whole * 10.0**-digits) + 0.0
+    up, guard = 10.0 ** abs(digits), 10.0**GUARD_DIGITS
+    grow, shrink = ("*", "/") if digits >= 0 else ("/", "*")
+    if isinstance(c, str):
+        # One SQL text instead of a chain of calls to the JVM.
+        scaled = f"CAST(`{c}` AS DOUBLE) {grow} {up!r}D"
+        return F.expr(f"rint(rint({scaled} * {guard!r}D) / {guard!r}D) {shrink} {up!r}D + 0D")
+    value = c.cast("double")
+    scaled = value * up if digits >= 0 else value / up
+    whole = F.rint(F.rint(scaled * guard) / guard)
+    return (whole / up if digits >= 0 else whole * up) + 0.0
 
 
 def truncate_int(c: Column | str) -> Column:

@@ -17,7 +17,7 @@ from ..operators.joins import left_join
 from ..operators.regression import Model
 from ..operators.reshape import clone_member, pivot_longer
 from ..operators.scenario import Horizon
-from ..session import hold
+from ..session import checkpointed
 
 
 def projection_batch(
@@ -29,14 +29,14 @@ def projection_batch(
     shown_from: int = 2006,
 ) -> dict[str, DataFrame]:
     """Observations -> cohorts, growth, scenarios and the projected population."""
-    cube = hold(cohort.population_cube(obs, regions, first_cohort=first_cohort))
+    cube = checkpointed(cohort.population_cube(obs, regions, first_cohort=first_cohort))
     table = cohort.cohort_table(cube)
     rates = windows.lag_change(cube)
-    changes = hold(windows.lag_change(cube, first_cohort=growth_from_cohort))
+    changes = checkpointed(windows.lag_change(cube, first_cohort=growth_from_cohort))
     assumed = scenario.scenario_long(
         scenario.scenario_rates_a(changes, horizon), scenario.scenario_rates_b(changes, horizon)
     )
-    projected = hold(
+    projected = checkpointed(
         scenario.project_cohorts(cohort.cohort_long(table), assumed, last_year=horizon.years[-1], steps=horizon.steps)
     )
     return {
@@ -68,15 +68,15 @@ def preparation_batch(
         Model("ERP 5yrs", ("erp_5",)),
         Model("ERP 4yrs + 5yrs", ("erp_4", "erp_5")),
     ]
-    cube = hold(cohort.population_cube(obs, regions, first_cohort=first_cohort))
-    lagged = hold(enrolment.age_fraction(enrolment.enrolment_by_age(counts)))
-    derived = hold(enrolment.migration_adjusted_denominator(lagged, cohort.inverse_change_factors(cube)))
-    plain = hold(enrolment.measure_panel(derived, cube, lagged, skip_years))
-    panel = hold(adjust.append_rebased_member(plain, *rebased, split=split, before=before))
+    cube = checkpointed(cohort.population_cube(obs, regions, first_cohort=first_cohort))
+    lagged = checkpointed(enrolment.age_fraction(enrolment.enrolment_by_age(counts)))
+    derived = checkpointed(enrolment.migration_adjusted_denominator(lagged, cohort.inverse_change_factors(cube)))
+    plain = checkpointed(enrolment.measure_panel(derived, cube, lagged, skip_years))
+    panel = checkpointed(adjust.append_rebased_member(plain, *rebased, split=split, before=before))
 
     training = panel.where(F.col("yr") != before)
     fits = regression.fit_linear(training, ["state"], "measure", models)
-    best = hold(regression.best_fits(fits))
+    best = checkpointed(regression.best_fits(fits))
     ahead = clone_member(projection, "state", rebased[0], [rebased[1]]).select(
         "yr",
         "state",
@@ -85,13 +85,13 @@ def preparation_batch(
         F.col("erp_5yr").alias("erp_5"),
     )
     fitted = regression.augment(ahead, best, models, level=None)
-    joined = hold(left_join(fitted, panel.select("yr", "state", "measure"), ["yr", "state"]))
+    joined = checkpointed(left_join(fitted, panel.select("yr", "state", "measure"), ["yr", "state"]))
     bands = regression.fitted_band(joined, "measure")
     shown = [
         "state", "yr", "erp_4", "erp_5", "measure", "fitted_round", "se_fit", "lower", "upper", "residual", "residual_pc",
     ]
     known = joined.where((F.col("yr") < before) & F.col("measure").isNotNull())
-    diagnostics = hold(_refitted_residuals(known, best, models))
+    diagnostics = checkpointed(_refitted_residuals(known, best, models))
     scores = windows.normal_scores(
         diagnostics.select("state", "yr", "assumption", "model", "resid", "std_resid"), ["state"], "std_resid", ["yr", "assumption"]
     )
@@ -142,12 +142,12 @@ def report_batch(
         Model("ERP 5yrs", ("erp_5yr",)),
         Model("ERP 4yrs + 5yrs", ("erp_4yr", "erp_5yr")),
     ]
-    repaired = hold(adjust.outlier_repair(rows, rules, "measure", ["state"], ["yr", "assumption"]))
+    repaired = checkpointed(adjust.outlier_repair(rows, rules, "measure", ["state"], ["yr", "assumption"]))
     all_fits = regression.fit_linear(repaired, ["state"], "repaired", models)
     chosen = regression.assigned_fits(all_fits, "state", assignment) if assignment else regression.best_fits(all_fits)
-    fits = hold(chosen)
+    fits = checkpointed(chosen)
     augmented = regression.augment(repaired, fits, models, level=None)
-    bands = hold(
+    bands = checkpointed(
         augmented.select(
             *repaired.columns,
             "model",

@@ -139,3 +139,18 @@ def test_f_tail(spark, f, df):
     assert one(spark, tails.f_upper_p(f"{2.0 ** 2}D", 1, "10")) == pytest.approx(t_tail(2.0, 10), abs=1e-9)
     with pytest.raises(ValueError):
         tails.f_upper_p("1D", 3, "10")
+
+
+def test_recode_quotes_labels(spark):
+    df = spark.createDataFrame([("it's",), ("a\\b",), ("other",)], "x string")
+    got = [r.v for r in df.select(labels.recode("x", {"it's": "o'k", "a\\b": "c\\d"}).alias("v")).collect()]
+    assert got == ["o'k", "c\\d", None]
+
+
+@pytest.mark.parametrize("digits", [-2, 0, 3])
+def test_rounding_by_name_and_by_column_agree(spark, digits):
+    df = spark.createDataFrame([(v,) for v in (1250.0, -0.3, 0.0005, 2.5, None, 123456.7895)], "x double")
+    both = df.select(rounding.round_half_even("x", digits).alias("a"), rounding.round_half_even(F.col("x"), digits).alias("b"))
+    for r in both.collect():
+        assert r.a == r.b
+        assert r.a is None or math.copysign(1, r.a) == math.copysign(1, r.a + 0.0)
