@@ -159,3 +159,27 @@ def test_series_replacement(spark, rows):
     away = spark.createDataFrame([(1, 4.0)], "yr int, amount double")
     got = joins.subtract_from_series(panel, "series", "s", "value", away, ["yr"], "amount")
     assert rows(got) == [(1, "s", 6.0), (1, "t", 7.0), (2, "s", 5.0)]
+
+
+def test_hot_keys_of_a_fact_join_are_split_at_run_time(spark):
+    """A third of the left rows share one key; the adaptive skew join cuts that partition."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        ids = spark.range(0, 300_000, 1, 16)
+        left = ids.select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+        right = ids.select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+        out = joins.left_join(left, right, ["k"]).agg(F.sum("w"), F.sum("v"), F.count(F.lit(1)))
+        row = out.collect()[0]
+        assert row[2] == 300_000
+        assert row[0] == sum(2 * (7 if i % 3 == 0 else i) for i in range(300_000))
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
