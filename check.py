@@ -39,7 +39,7 @@ def rows_of(names: list[str], rows: list) -> Counter:
     return Counter(tuple((type(_cell(r[i])).__name__, _cell(r[i])) for i in order) for r in rows)
 
 
-def compare(spark, con, sf_dir: str, fn, sql: str | None) -> tuple[bool, str]:
+def compare(spark, con, sf_dir: str, fn, sql: str | None, may_be_empty: bool = False) -> tuple[bool, str]:
     started = time.time()
     df = fn(spark, sf_dir)
     got = [tuple(r) for r in df.collect()]
@@ -52,7 +52,7 @@ def compare(spark, con, sf_dir: str, fn, sql: str | None) -> tuple[bool, str]:
     if sorted(names) != sorted(df.columns):
         return False, f"columns {sorted(df.columns)} != {sorted(names)}"
     a, b = rows_of(df.columns, got), rows_of(names, want)
-    if a == b and got:
+    if a == b and (got or may_be_empty):
         return True, f"{len(got)} rows, {took:.2f}s"
     only_a, only_b = list((a - b).elements()), list((b - a).elements())
     return False, f"{len(got)} vs {len(want)} rows; spark only ({len(only_a)}): {only_a[:3]}; sql only ({len(only_b)}): {only_b[:3]}"

@@ -20,7 +20,8 @@ def test_every_query_has_a_twin():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_twin(spark, con, name):
-    ok, note = compare(spark, con, str(TESTDATA), QUERIES[name], SQL.get(name))
+    # On ten suppliers a result can rightly be empty; check.py wants rows from the larger tables.
+    ok, note = compare(spark, con, str(TESTDATA), QUERIES[name], SQL.get(name), may_be_empty=True)
     assert ok, note
 
 
