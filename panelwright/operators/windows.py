@@ -87,6 +87,7 @@ def moving_mean(
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(low, high)
         return df.withColumn(name, _full_frame_mean(value, w, k))
 
+    block = max(block, k)
     numbered = number_rows_in_groups(df, keys, order, "_no", "_size", bound=0)
     home = F.floor((F.col("_no") - 1) / block)
     # Row r is needed by the frames of rows r - high .. r - low.
