@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_simhash
+from . import ball_simhash, decontaminate, langid, near_vectors, pieces, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,3 +30,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op10_simhash_ball")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op4_language_codes")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = langid.remainder("doc_id", 4)
+    coder = langid.train(docs.where(fold != 2))
+    found = langid.predict(docs, coder)
+    return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query("op3_benchmark_windows")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_gumbel_pieces")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), pieces.load_lexicon())
+
+
+@query("op1_weak_labels_pii")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op2_collision_vectors",
+    """
+    WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    fine AS (
+        SELECT vec_id, label, e FROM v
+        WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(e, lambda x: x <> 0)) > 0
+    ),
+    links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b
+        ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93
+    ),
+    reach(node, seen) AS (
+        SELECT vec_id, vec_id FROM embeddings
+        UNION
+        SELECT links.b, reach.seen FROM reach JOIN links ON links.a = reach.node
+    ),
+    parts AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+    counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT e.vec_id, coalesce(c.n, 0) AS n_links, p.component_id, e.vec_id = p.component_id AS kept
+    FROM embeddings e JOIN parts p ON p.node = e.vec_id LEFT JOIN counts c ON c.a = e.vec_id
+    """,
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
