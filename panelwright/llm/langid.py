@@ -180,22 +180,24 @@ def _trust(rows: DataFrame, coder: Coder) -> np.ndarray:
     return trust / trust.sum()
 
 
-def predict(docs: DataFrame, coder: Coder, id_col: str = "doc_id", text_col: str = "text",
-            ambiguous: float = AMBIGUOUS) -> DataFrame:
-    """(id, lang_pred, score, ambiguous) of every row, from its whole text.
+def with_language(docs: DataFrame, coder: Coder, text_col: str = "text", ambiguous: float = AMBIGUOUS,
+                  keep: list[str] | None = None) -> DataFrame:
+    """The ``keep`` columns of ``docs`` (default: all) with lang_pred, score and ambiguous, from the whole text.
 
     A null text, an empty one and one without letter are ``und`` with score 0,
     not ambiguous. Repeated rows are answered once each; ties go to the language
-    that sorts first.
+    that sorts first. Columns of the three names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vars(coder))
+    plain = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score", "ambiguous")]
+    sent = plain if text_col in plain else [*plain, text_col]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, raw, offsets in text_blocks(batches, "t"):
+        for part, raw, offsets in text_blocks(batches, text_col):
             own = Coder(**shared.value)
-            lettered = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            lettered = part.column(part.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
             if not own.languages:
-                lettered &= False
+                lettered = np.zeros_like(lettered)
             n = len(lettered)
             names = np.full(n, "und", dtype=object)
             best, close = np.zeros(n), np.zeros(n, dtype=bool)
@@ -208,12 +210,16 @@ def predict(docs: DataFrame, coder: Coder, id_col: str = "doc_id", text_col: str
                     second = np.sort(scores, axis=1)[:, -2]
                     close = lettered & (best - second < ambiguous)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(names, pa.string()), pa.array(best), pa.array(close)], names=["id", "lang_pred", "score", "ambiguous"]
+                [*part.columns[: len(plain)], pa.array(names, pa.string()), pa.array(best), pa.array(close)], names=[*plain, "lang_pred", "score", "ambiguous"]
             )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), has_letter(F.col(text_col)).alias("lettered"))
-    return found.mapInArrow(task, f"id {kind}, lang_pred string, score double, ambiguous boolean").withColumnRenamed("id", id_col)
+    schema = docs.select(*plain).schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    return docs.select(*sent, has_letter(F.col(text_col)).alias("_lettered")).mapInArrow(task, schema)
+
+
+def predict(docs: DataFrame, coder: Coder, id_col: str = "doc_id", text_col: str = "text", ambiguous: float = AMBIGUOUS) -> DataFrame:
+    """(id, lang_pred, score, ambiguous) of every row; see ``with_language``."""
+    return with_language(docs, coder, text_col, ambiguous, keep=[id_col])
 
 
 def remainder(id_col: str, modulus: int) -> Column:

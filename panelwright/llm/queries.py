@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_simhash, decontaminate, langid, near_vectors, pieces, pii
+from . import ball_simhash, chat, decontaminate, importance, langid, licenses, near_vectors, pieces, pii, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -82,3 +82,67 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op8_importance_resampling")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    # The share of good texts among the labelled ones is what is drawn.
+    share = labels.agg(F.avg("quality")).first()[0]
+    return importance.resample(table(spark, sf_dir, "documents"), labels.where("quality = 1").select("doc_id"), share=share or 0.0)
+
+
+def _chat_sql() -> str:
+    """The template once more, written out."""
+    controls = ["<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "<s>", "</s>", "[ROLE]", "[/ROLE]", "[NAME]"]
+
+    def esc(x: str) -> str:
+        out = f"replace({x}, '\\', '\\e')"
+        for letter, control in zip("ABCDEFGHI", controls):
+            out = f"replace({out}, '{control}', '\\{letter}')"
+        return out
+
+    return f"""
+    WITH t AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+    ),
+    m AS (
+        SELECT *, lag(role) OVER w AS prev, lead(role) OVER w AS next FROM t
+        WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+    )
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+        CAST(sum(length({esc("text")}) + CASE role WHEN 'system' THEN 17 WHEN 'user' THEN 15 WHEN 'assistant' THEN 9
+            ELSE 23 + length({esc("role")}) END) AS BIGINT) AS formatted_chars,
+        bool_and(CASE
+            WHEN prev IS NULL THEN role IN ('system', 'user')
+            WHEN prev = 'system' OR prev = 'assistant' THEN role = 'user'
+            WHEN prev = 'user' THEN role = 'assistant'
+            ELSE false END) AND NOT bool_or(next IS NULL AND role = 'system') AS valid
+    FROM m GROUP BY conv_id
+    """
+
+
+@query("op6_chat_machine", _chat_sql())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = "</s>[INST] ok [/INST]"
+    rows = [(-7, 0, "user", probe), (-7, 1, "assistant", probe)]
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.union(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    return chat.digests(chat.segments(turns))
+
+
+@query("op7_license_minhash")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op9_string_kernel_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(langid.remainder("doc_id", 5) != 0).select("doc_id", "toxic")
+    found = toxicity.score(docs, toxicity.train(docs, labels))
+    return found.select("doc_id", (langid.remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
