@@ -16,12 +16,13 @@ returns rows per vector, not per pair, so dense groups stay small.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from math import comb, erf, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
@@ -63,8 +64,18 @@ def calibrate(cosine: float, directions: int = DIRECTIONS, recall: float = RECAL
 
 
 def directions(dims: int, count: int, seed: int = SEED) -> np.ndarray:
-    """Random normal directions, the first one for the cells; dims x (count + 1)."""
-    return np.random.default_rng([seed, dims]).standard_normal((dims, count + 1))
+    """Random normal directions, dims x count."""
+    return np.random.default_rng([seed, dims]).standard_normal((dims, count))
+
+
+def _first_projection(v: Column, seed: int = SEED) -> Column:
+    """Projection of the unit vector on a normal direction whose components are hashed from their positions."""
+    size = F.array_max(F.transform(v, F.abs))
+    part = lambda i, k: (F.shiftrightunsigned(F.xxhash64(i, F.lit(seed + k)), 12).cast("double") + 0.5) * 2.0**-52
+    normal = lambda i: F.sqrt(-2 * F.log(part(i, 0))) * F.cos(2 * math.pi * part(i, 1))
+    dot = F.aggregate(F.transform(v, lambda x, i: x / size * normal(i)), F.lit(0.0), lambda s, x: s + x)
+    norm = F.sqrt(F.aggregate(F.transform(v, lambda x: (x / size) * (x / size)), F.lit(0.0), lambda s, x: s + x))
+    return dot / norm
 
 
 def collisions(a: np.ndarray, b: np.ndarray, half: float) -> np.ndarray:
@@ -116,12 +127,12 @@ def _met(rows: DataFrame, plan: Plan, cosine: float, count: int) -> DataFrame:
         x = np.stack(group["v"].to_numpy()).astype(np.float64)
         x /= np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) * np.abs(x).max(axis=1, keepdims=True)
         cut = int((side == 0).sum())
-        p = x @ directions(x.shape[1], count)
+        p, first = x @ directions(x.shape[1], count), group["first"].to_numpy()
         same = cut == len(x)
         b0 = 0 if same else cut
-        a, b = np.nonzero(collisions(p[:cut, 1:], p[b0:, 1:], plan.other) >= plan.needed)
+        a, b = np.nonzero(collisions(p[:cut], p[b0:], plan.other) >= plan.needed)
         b = b + b0
-        ok = (np.abs(p[a, 0] - p[b, 0]) <= plan.first) & ((a < b) if same else True)
+        ok = (np.abs(first[a] - first[b]) <= plan.first) & ((a < b) if same else True)
         a, b = a[ok], b[ok]
         close = np.concatenate([np.einsum("ij,ij->i", x[a[i : i + 65536]], x[b[i : i + 65536]]) >= cosine for i in range(0, len(a), 65536)] or [np.zeros(0, bool)])
         a, b = a[close], b[close]
@@ -152,14 +163,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     keyed = valid.withColumn("key", F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(7), "v").alias("b"), F.size("v").alias("dims")))
     reps = checkpointed(keyed.groupBy("label", "key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")))
 
-    dims = [r[0] for r in reps.select("key.dims").distinct().limit(1000).collect()]
-    first = F.lit(None).cast("double")
-    for d in sorted(dims):
-        axis = directions(d, count)[:, 0]
-        norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-        dot = F.aggregate(F.zip_with("v", F.array(*[F.lit(float(w)) for w in axis]), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x)
-        first = F.when(F.col("key.dims") == d, dot / norm).otherwise(first)
-    placed = reps.select(F.col("key.dims").alias("dims"), "label", F.floor(first / plan.first).alias("cell"), F.col("rep").alias("id"), "copies", "v")
+    placed = reps.select(F.col("key.dims").alias("dims"), "label", F.col("rep").alias("id"), "copies", "v", _first_projection(F.col("v")).alias("first"))
+    placed = placed.withColumn("cell", F.floor(F.col("first") / plan.first))
     sizes = checkpointed(placed.groupBy("dims", "label", "cell").agg(F.ceil(F.count("*") / block_rows).alias("blocks")))
     after = sizes.select("dims", "label", (F.col("cell") - 1).alias("cell"), F.col("blocks").alias("next_blocks"))
     before = sizes.select("dims", "label", (F.col("cell") + 1).alias("cell"), F.col("blocks").alias("prev_blocks"))
@@ -174,7 +179,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         F.transform(up_to(F.coalesce("next_blocks", F.lit(0))), lambda o: F.struct(name(cell, me).alias("one"), name(cell + 1, o).alias("two"), F.lit(0).alias("side"))),
         F.transform(up_to(F.coalesce("prev_blocks", F.lit(0))), lambda o: F.struct(name(cell - 1, o).alias("one"), name(cell, me).alias("two"), F.lit(1).alias("side"))),
     )
-    dealt = rows.select("dims", "label", "id", "copies", "v", F.inline(meets))
+    dealt = rows.select("dims", "label", "id", "copies", "v", "first", F.inline(meets))
     met = checkpointed(_met(dealt, plan, cosine, count))
 
     parts = components(met.select(F.col("id").alias("a"), F.col("root").alias("b")))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .blocks import text_blocks
+from .blocks import SPACE, text_blocks
 
 #: Labelled documents of each class that train at most (toxic, clean), by the hash of their ids.
 MAX_DOCS = (2500, 5000)
@@ -47,6 +47,31 @@ _STOP = np.zeros(256, dtype=bool)
 _STOP[list(b".!?\n")] = True
 
 
+def squeeze(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts without what is inserted into words: a sign between two letters (i.d-i*o.t) and the blanks of a word
+    spelled out (i d i o t). Letters that are inserted stay; the kernel's gaps bear them."""
+    n = len(raw)
+    if n < 3:
+        return raw, offsets
+    letter = _SYMBOL[raw] > 0
+    blank = SPACE[raw]
+    edge = np.zeros(n + 1, dtype=bool)
+    edge[offsets] = True
+    before = np.zeros(n, dtype=bool)
+    before[1:] = letter[:-1]
+    before &= ~edge[:-1]
+    after = np.zeros(n, dtype=bool)
+    after[:-1] = letter[1:]
+    after &= ~edge[1:]
+    drop = before & after & ~letter & ~blank
+    alone = letter & ~before & ~after  # a word of one letter
+    between = np.zeros(n, dtype=bool)
+    between[1:-1] = alone[:-2] & alone[2:]
+    drop |= between & blank & before & after
+    kept = np.concatenate(([0], np.cumsum(~drop)))
+    return raw[~drop], kept[offsets]
+
+
 def _symbols(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of all texts, each followed by SPAN blanks, and the begin of each text (one more entry at the end)."""
     sizes = np.diff(offsets)
@@ -82,6 +107,7 @@ class Machine:
 
     def sentences(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Best window score of each sentence of non-empty texts, its place, its text, and the symbols of the block."""
+        raw, offsets = squeeze(raw, offsets)
         symbols, begin = _symbols(raw, offsets)
         score = self.windows(symbols)
         starts = np.zeros(len(symbols), dtype=bool)
@@ -214,7 +240,7 @@ def _odds(rows: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, TRIPLES), dtype=np.int64)
         for part, raw, offsets in text_blocks(batches, "t"):
-            symbols, begin = _symbols(raw, offsets)
+            symbols, begin = _symbols(*squeeze(raw, offsets))
             for d, y in enumerate(part.column(1).to_pylist()):
                 own = symbols[begin[d] : begin[d + 1]]
                 if len(own) > SPAN:

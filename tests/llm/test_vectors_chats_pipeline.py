@@ -82,7 +82,7 @@ def test_recall_at_the_threshold():
     side = draw.standard_normal(a.shape)
     side -= (side * a).sum(axis=1)[:, None] * a
     b = 0.93 * a + np.sqrt(1 - 0.93**2) * side / np.linalg.norm(side, axis=1)[:, None]
-    p, q = a @ near_vectors.directions(64, 40), b @ near_vectors.directions(64, 40)
+    p, q = a @ near_vectors.directions(64, 41), b @ near_vectors.directions(64, 41)
     hit = ((np.abs(p - q)[:, 1:] <= plan.other).sum(axis=1) >= plan.needed) & (np.abs(p - q)[:, 0] <= plan.first)
     assert hit.mean() >= 0.995
 
