@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .blocks import text_blocks
+from .joining import small
 
 BUCKETS = 1 << 16
 ORDERS = (2, 3)
@@ -105,7 +107,7 @@ def has_letter(text: Column) -> Column:
 
 def _sampled(rows: DataFrame, per_language: int) -> DataFrame:
     """Rows of a bounded number of each language, picked by a hash of the id: the same rows on every run."""
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = small(checkpointed(rows.groupBy("lang").agg(F.count("*").alias("n"))))
     share = F.least(F.lit(1.0), per_language / F.col("n"))
     picked = F.pmod(F.xxhash64("id", F.lit("train")), F.lit(1_000_000)) < share * 1_000_000
     return rows.join(sizes, "lang").where(picked)
