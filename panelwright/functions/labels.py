@@ -64,5 +64,5 @@ def call_label(response: str, covariates: Column | str) -> Column:
 
 
 def covariates_of_call(call: Column | str, response: str) -> Column:
-    """Inverse of :func:`call_label`, limited to the 16 characters the label tables keep."""
-    return F.substring(column(call), len(response) + 4, 16)
+    """Inverse of :func:`call_label`."""
+    return F.substr(column(call), F.lit(len(response) + 4))

@@ -35,8 +35,8 @@ def round_half_even(c: Column | str, digits: int = 0) -> Column:
 
 
 def truncate_int(c: Column | str) -> Column:
-    """Integer toward zero; null when it does not fit."""
-    return column(c).try_cast("int")
+    """64-bit integer toward zero; what does not fit stops the query."""
+    return column(c).cast("bigint")
 
 
 def round_columns(df: DataFrame, digits: dict[str, int]) -> DataFrame:

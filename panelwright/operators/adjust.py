@@ -31,10 +31,8 @@ def rebase_segment(
     """
     rows = panel.where(F.col("yr") < before).withColumn("avg_4_5", midpoint("erp_4", "erp_5"))
     rows = rows.withColumn("diff_pc", percent_gap("measure", "avg_4_5"))
-    gaps = rows.groupBy(*keys).agg(
-        strict_mean_where("diff_pc", F.col("yr") < split).alias("gap"), F.count(F.lit(1)).alias("_rows")
-    )
-    joined = attach_groups(rows, gaps, keys, "_rows")
+    gaps = rows.groupBy(*keys).agg(strict_mean_where("diff_pc", F.col("yr") < split).alias("gap"))
+    joined = attach_groups(rows, gaps, keys)
     lowered = F.col("measure") - F.col("gap") / 100 * F.col("measure")
     adj = F.when(F.col("yr") < split, lowered).when(F.col("yr") == split, F.col("measure"))
     return joined.withColumn("measure_adj", adj).withColumn(
@@ -69,23 +67,19 @@ def outlier_repair(
 
     ``drop_first`` blanks a value before smoothing, ``smooth`` replaces it by
     the centred mean of three, ``drop_last`` blanks it afterwards. Kept values
-    are rounded to whole numbers. Rules are folded to one row per group, so
-    the join never multiplies rows.
+    are rounded to whole numbers. Rules are unfolded to the periods they cover
+    and folded to one row per group and period, so the join never multiplies
+    rows and no row carries a list of rules.
     """
-    folded = rules.groupBy(*keys).agg(
-        F.collect_list(F.struct("first", "last", "action")).alias("_rules"), F.count(F.lit(1)).alias("_rows")
+    actions = ("drop_first", "smooth", "drop_last")
+    covered = rules.select(*keys, "action", F.explode(F.sequence("first", "last")).alias(period))
+    folded = covered.groupBy(*keys, period).agg(
+        *[F.max(F.when(F.col("action") == a, True)).alias(f"_{a}") for a in actions]
     )
-    ruled = attach_groups(df, folded, keys, "_rows")
-
-    def hit(action: str):
-        found = F.exists(
-            "_rules",
-            lambda r: (r["action"] == action) & F.col(period).between(r["first"], r["last"]),
-        )
-        return F.coalesce(found, F.lit(False))
-
-    flagged = ruled.withColumns({"_smooth": hit("smooth"), "_last": hit("drop_last"), name: null_where(value, hit("drop_first"))})
-    smoothed = centred_moving_mean(flagged.drop("_rules"), keys, order, name, name="_mean")
+    ruled = attach_groups(df, folded, [*keys, period])
+    hit = {a: F.coalesce(F.col(f"_{a}"), F.lit(False)) for a in actions}
+    flagged = ruled.withColumns({"_smooth": hit["smooth"], "_last": hit["drop_last"], name: null_where(value, hit["drop_first"])})
+    smoothed = centred_moving_mean(flagged.drop("_drop_first", "_drop_last"), keys, order, name, name="_mean")
     kept = round_half_even(F.when(F.col("_smooth"), F.col("_mean")).otherwise(F.col(name)), 0)
     return smoothed.withColumn(name, null_where(kept, F.col("_last"))).select(*df.columns, name)
 

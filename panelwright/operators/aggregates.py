@@ -49,9 +49,19 @@ def sum_with_total(
 def append_total_member(
     df: DataFrame, keys: list[str], member: str, measures: list[str], total_label: str
 ) -> DataFrame:
-    """Stack a total member under a table that already holds one row per member."""
-    total = df.groupBy(*keys).agg(*[strict_sum(c).alias(c) for c in measures])
-    return df.unionByName(total.withColumn(member, F.lit(total_label)), allowMissingColumns=True)
+    """Stack a total member under a table that already holds one row per member.
+
+    One pass: every row stands for itself and for the total. Columns that are
+    neither key nor measure are null in the total.
+    """
+    others = [c for c in df.columns if c not in (*keys, member, *measures)]
+    part = [
+        F.struct(F.col(member).alias(member), F.lit(False).alias("_total"), *[F.col(c).alias(c) for c in others]),
+        F.struct(F.lit(total_label).alias(member), F.lit(True).alias("_total"), *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in others]),
+    ]
+    doubled = df.select(*keys, *measures, F.explode(F.array(*part)).alias("_m")).select(*keys, *measures, "_m.*")
+    sums = doubled.groupBy(*keys, member, "_total", *others).agg(*[strict_sum(c).alias(c) for c in measures])
+    return sums.select(*df.columns)
 
 
 def aggregate_growth(df: DataFrame, keys: list[str], change: str, level: str, digits: int = 1) -> DataFrame:
@@ -63,15 +73,15 @@ def aggregate_growth(df: DataFrame, keys: list[str], change: str, level: str, di
 
 def share_of_group(df: DataFrame, keys: list[str], value: str, share: str = "p", total: str = "group_total", digits: int = 4) -> DataFrame:
     """Value as a share of its group's strict total, total attached."""
-    totals = df.groupBy(*keys).agg(strict_sum(value).alias(total), F.count(F.lit(1)).alias("_rows"))
-    joined = attach_groups(df, totals, keys, "_rows")
+    totals = df.groupBy(*keys).agg(strict_sum(value).alias(total))
+    joined = attach_groups(df, totals, keys)
     return joined.withColumn(share, round_half_even(ratio(value, total), digits))
 
 
 def max_with_ties(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Rows that equal the maximum of their group; a missing value drops the group."""
-    best = df.groupBy(*keys).agg(strict_max(value).alias("_best"), F.count(F.lit(1)).alias("_rows"))
-    joined = attach_groups(df, best, keys, "_rows")
+    best = df.groupBy(*keys).agg(strict_max(value).alias("_best"))
+    joined = attach_groups(df, best, keys)
     return joined.where(F.col(value) == F.col("_best")).drop("_best")
 
 

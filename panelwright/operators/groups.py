@@ -14,101 +14,62 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
-HEAVY_GROUPS = 10_000
-"""Most groups whose table may be broadcast; one row each."""
-
-SPREAD = 256
-"""Tasks among which the rows of the heaviest groups are spread."""
-
-WINDOW_ROWS = 1_000_000
-"""Largest group that a plain window may hold."""
-
 
 def _same_keys(keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys])
 
 
-def attach_groups(
-    rows: DataFrame,
-    table: DataFrame,
-    keys: list[str],
-    weight: str,
-    how: str = "left",
-    heavy: int = HEAVY_GROUPS,
-    spread: int = SPREAD,
-) -> DataFrame:
-    """Join ``table``, one row per group, to ``rows``; ``weight`` counts a group's rows.
-
-    The table is counted first. Up to ``heavy`` rows it is broadcast and the
-    rows do not move. A larger table is joined in two parts: its ``heavy``
-    biggest groups are broadcast, the others meet their rows in a shuffle in
-    which the rows already served are spread over ``spread`` extra keys. So no
-    task receives a heavy group, and every row is served exactly once. Null
-    keys match null keys, as they do in a grouping.
-    """
-    columns = [c for c in table.columns if c not in keys]
-    payload = [c for c in columns if c != weight]
-    renamed = table.withColumnsRenamed({k: f"_g_{k}" for k in keys}).persist()
-    drop = [f"_g_{k}" for k in keys]
-
-    if renamed.limit(heavy + 1).count() <= heavy:
-        joined = rows.join(F.broadcast(renamed), _same_keys(keys), how)
-        return joined.select(*rows.columns, *payload)
-
-    biggest = renamed.orderBy(F.desc(weight), *drop).limit(heavy).select(*drop, F.struct(*columns).alias("_big"))
-    first = rows.join(F.broadcast(biggest), _same_keys(keys), "left").drop(*drop)
-    salted = first.withColumn(
-        "_salt",
-        F.when(F.col("_big").isNotNull(), F.pmod(F.spark_partition_id(), F.lit(spread)) + 1).otherwise(F.lit(0)),
-    )
-    # Exploded, not a literal: the optimizer folds a literal into a filter and the salt stops being a join key.
-    rest = renamed.select(*drop, F.struct(*columns).alias("_rest"), F.explode(F.array(F.lit(0))).alias("_rest_salt"))
-    joined = salted.join(
-        rest, _same_keys(keys) & (F.col("_salt") == F.col("_rest_salt")), "left"
-    )
-    found = F.coalesce("_big", "_rest")
-    if how == "inner":
-        joined = joined.where(found.isNotNull())
-    return joined.select(*rows.columns, *[found[c].alias(c) for c in payload])
-
+def attach_groups(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join ``table``, one row per group, to ``rows``.
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the biggest group: one counting pass with map-side partial counts."""
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    A plain equi join without hint: Spark broadcasts a table whose bytes it
+    knows to be few, and otherwise the adaptive skew join splits the rows of a
+    heavy group, whether or not the table has it. Null keys match null keys, as
+    they do in a grouping.
+    """
+    payload = [c for c in table.columns if c not in keys]
+    renamed = table.withColumnsRenamed({k: f"_g_{k}" for k in keys})
+    return rows.join(renamed, _same_keys(keys), how).select(*rows.columns, *payload)
 
 
-def number_rows(df: DataFrame, order: list, name: str = "row_no") -> DataFrame:
+def number_rows(df: DataFrame, order: list, name: str = "row_no", partitions: int | None = None) -> DataFrame:
     """Consecutive numbers 1..n over the whole table without a one-task sort.
 
-    The rows are range-partitioned and sorted, then checkpointed so that the
-    numbers can not shift when an executor is lost. One offset per partition,
-    so at most as many rows as there are partitions, is broadcast.
+    The rows are range-partitioned (``partitions``, default the session's
+    shuffle partitions) and sorted, then checkpointed so that the numbers can
+    not shift when an executor is lost. One offset per partition is joined.
     """
     low_bits = F.lit(2**33)
+    dealt = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     placed = checkpointed(
-        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_pos", F.monotonically_increasing_id())
+        dealt.sortWithinPartitions(*order).withColumn("_pos", F.monotonically_increasing_id())
     ).withColumn("_part", F.floor(F.col("_pos") / low_bits).cast("int"))
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    # One row per partition: a broadcast as small as the job's own task list.
     return placed.join(F.broadcast(offsets), "_part").select(
         *df.columns, (F.col("_before") + F.pmod("_pos", low_bits) + 1).alias(name)
     )
 
 
 def number_rows_in_groups(
-    df: DataFrame, keys: list[str], order: list, name: str = "row_no", size: str = "group_n", bound: int = WINDOW_ROWS
+    df: DataFrame,
+    keys: list[str],
+    order: list,
+    name: str = "row_no",
+    size: str = "group_n",
+    counted: Column | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Row number in the group and size of the group.
+    """Row number in the group and size of the group (``counted``: of its rows where this is not null).
 
-    When the biggest group is within ``bound`` a window does it; beyond that
-    the number is the difference of two whole-table numbers.
+    One range sort numbers the whole table; a group's rows follow each other,
+    so the number in the group is the distance from its first row.
     """
-    if largest_group(df, keys) <= bound:
-        w = Window.partitionBy(*keys)
-        return df.withColumns({name: F.row_number().over(w.orderBy(*order)), size: F.count(F.lit(1)).over(w)})
-    numbered = number_rows(df, [*keys, *order], "_global")
-    starts = numbered.groupBy(*keys).agg(F.min("_global").alias("_start"), F.count(F.lit(1)).alias(size))
-    starts = starts.withColumn("_weight", F.col(size))
-    joined = attach_groups(numbered, starts, keys, "_weight")
+    numbered = number_rows(df, [*keys, *order], "_global", partitions)
+    starts = numbered.groupBy(*keys).agg(
+        F.min("_global").alias("_start"), F.count(F.lit(1) if counted is None else counted).alias(size)
+    )
+    joined = attach_groups(numbered, starts, keys) if keys else numbered.join(F.broadcast(starts))
     return joined.select(*df.columns, (F.col("_global") - F.col("_start") + 1).alias(name), size)

@@ -23,6 +23,7 @@ from ..functions.labels import call_label, recode, significance_stars
 from ..functions.nulls import complete
 from ..functions.rounding import round_columns, round_half_even
 from ..functions.tails import f_upper_p, t_quantile_sql, t_two_sided_p
+from ..session import hold
 from .groups import attach_groups
 
 SINGULAR = 1e-12
@@ -183,7 +184,7 @@ def glance(fits: DataFrame) -> DataFrame:
     rows = fits_long(fits)
     n, k, df, ssr = F.col("n"), F.col("k"), F.col("df_residual"), F.col("ssr")
     f = F.when(df > 0, ratio((F.col("syy") - ssr) / k, ssr / df))
-    p = F.when(k == 1, f_upper_p("statistic", 1, "df_residual")).when(k == 2, f_upper_p("statistic", 2, "df_residual"))
+    p = f_upper_p("statistic", "k", "df_residual")
     loglik = F.when(ssr > 0, -n / 2 * (F.log(ssr / n) + math.log(2 * math.pi) + 1))
     return (
         rows.withColumn("statistic", f)
@@ -233,9 +234,10 @@ def _applied(rows: DataFrame, fits: DataFrame, models: list[Model]) -> DataFrame
     """Rows x models of their own group, with fitted value and leverage.
 
     An equi join on the group: no row meets the model of another group. The
-    formulas are written out per model, so they compile with the join.
+    formulas are written out per model, so they compile with the join. The
+    models, one row per group, are held: their own long formulas run once.
     """
-    joined = attach_groups(rows, fits, _keys(fits), "n_rows", "inner")
+    joined = attach_groups(rows, hold(fits.drop("n_rows")), _keys(fits), "inner")
     each = joined.withColumn("_fit", F.explode("fits")).drop("fits")
     return each.withColumns({"fitted": _per_model(models, _fitted), "_lev": _per_model(models, _leverage)})
 
@@ -393,7 +395,7 @@ def _merge_moments(table: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 
 def kfold_cv(df: DataFrame, response: str, covariates: list[str], fold: Column, folds: int) -> DataFrame:
-    """RMSE, R-squared and mean absolute error of a linear model, per held-out fold.
+    """RMSE, R-squared and mean absolute error of a linear model, per held-out fold and (null fold) their means.
 
     The rows are read once for the moments of each fold. The training set of a
     fold is the union of the other folds, so its moments are merged from
@@ -406,9 +408,13 @@ def kfold_cv(df: DataFrame, response: str, covariates: list[str], fold: Column,
     training = _merge_moments(parts.withColumn("fold", F.explode(others)), ["fold"], len(covariates))
     fits = _fits_from_moments(training.withColumn("n_rows", F.col("_0_n")), ["fold"], [model])
     tested = _applied(rows, fits, [model]).withColumn("_e", F.col(response) - F.col("fitted"))
-    return tested.groupBy("fold").agg(
+    scores = tested.groupBy("fold").agg(
         F.count(F.lit(1)).alias("n"),
         F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"),
         F.regr_r2(F.col(response), F.col("fitted")).alias("r_squared"),
         F.avg(F.abs("_e")).alias("mae"),
     )
+    # Each fold counts for itself and for the whole.
+    both = scores.withColumn("fold", F.explode(F.array(F.col("fold"), F.lit(None).cast("int"))))
+    means = [F.avg(c).alias(c) for c in ("rmse", "r_squared", "mae")]
+    return both.groupBy("fold").agg(F.sum("n").alias("n"), *means)

@@ -53,15 +53,14 @@ def melt_cast(
     """Member columns to rows, then item rows to columns."""
     tall = pivot_longer(df, [*ids, item], members, member, "_value")
     if integers:
-        tall = tall.withColumn("_value", F.col("_value").try_cast("int"))
+        tall = tall.withColumn("_value", F.col("_value").cast("bigint"))
     return pivot_wider(tall, [*ids, member], item, "_value", items)
 
 
 def split_name_suffix(df: DataFrame, column: str, label: str, period: str) -> DataFrame:
-    """"A_2022" -> label "A" and period 2022."""
-    out = df.withColumns(
-        {"_p": F.substring(column, 3, 4).try_cast("int"), "_l": F.substring(column, 1, 1)}
-    ).drop(column)
+    """"Med_2022" -> label "Med" and period 2022: the last underscore divides; a name without one stops the query."""
+    parts = F.regexp_extract(column, "(?s)^(.*)_([0-9]+)$", 2), F.regexp_extract(column, "(?s)^(.*)_([0-9]+)$", 1)
+    out = df.withColumns({"_p": parts[0].cast("int"), "_l": parts[1]}).drop(column)
     return out.withColumnsRenamed({"_p": period, "_l": label})
 
 
@@ -75,16 +74,21 @@ def union_by_name(first: DataFrame, *others: DataFrame) -> DataFrame:
 def zip_columns_checked(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Put the columns of two tables with the same keys side by side.
 
-    The full join finds keys that only one side has; such a key stops the
-    query instead of shifting the columns against each other.
+    A key that only one side has, or that occurs twice on a side, stops the
+    query instead of shifting or multiplying rows. Null keys equal null keys.
+    Both tables meet in one grouping, so no key multiplies before it is seen.
     """
-    a = left.withColumn("_a", F.lit(1))
-    b = right.withColumn("_b", F.lit(1))
-    joined = a.join(b, keys, "full")
-    fits = F.col("_a").isNotNull() & F.col("_b").isNotNull()
-    problem = F.raise_error(F.lit("tables to be zipped differ in their keys"))
-    values = [c for c in [*left.columns, *right.columns] if c not in keys]
-    return joined.select(*keys, *[F.when(fits, F.col(c)).otherwise(problem).alias(c) for c in values])
+    mine = [c for c in left.columns if c not in keys]
+    yours = [c for c in right.columns if c not in keys]
+    a = left.select(*keys, F.struct(*mine).alias("_a"), F.lit(None).alias("_b"))
+    b = right.select(*keys, F.lit(None).alias("_a"), F.struct(*yours).alias("_b"))
+    met = a.union(b).groupBy(*keys).agg(
+        F.count("_a").alias("_na"), F.count("_b").alias("_nb"), F.first("_a", True).alias("_a"), F.first("_b", True).alias("_b")
+    )
+    fits = (F.col("_na") == 1) & (F.col("_nb") == 1)
+    problem = F.raise_error(F.lit("tables to be zipped differ in their keys or repeat one"))
+    values = [(f"_a.{c}", c) for c in mine] + [(f"_b.{c}", c) for c in yours]
+    return met.select(*keys, *[F.when(fits, F.col(source)).otherwise(problem).alias(c) for source, c in values])
 
 
 def clone_member(df: DataFrame, column: str, source: str, labels: list[str], keep_source: bool = True) -> DataFrame:

@@ -182,15 +182,24 @@ def seed_new_cohort(cube: DataFrame, year: int, span: int = 3) -> DataFrame:
     )
 
 
-def scaled_rates(changes: DataFrame, horizon: Horizon, shares: dict[str, float] = SCENARIO_SHARES) -> DataFrame:
-    """Zero, half and full usual growth as scenario rates."""
+def scaled_rates(
+    changes: DataFrame, horizon: Horizon, shares: dict[str, float] = SCENARIO_SHARES, years: list[int] | None = None
+) -> DataFrame:
+    """Zero, half and full usual growth as scenario rates; with ``years`` one row for each, as projections read them."""
     usual = F.col("yr").between(horizon.usual_first, horizon.usual_last)
-    base = changes.where(usual).groupBy("state", "age").agg(F.avg("p_chg").alias("_usual"))
+    base = changes.where(usual).groupBy("state", "age").agg(strict_mean_where("p_chg", F.lit(True)).alias("_usual"))
     entries = [
         F.struct(F.lit(label).alias("scenario"), round_half_even(F.col("_usual") * share, 5).alias("rate"))
         for label, share in shares.items()
     ]
-    return base.select("state", "age", F.explode(F.array(*entries)).alias("_e")).select("state", "age", "_e.*")
+    rates = base.select("state", "age", F.explode(F.array(*entries)).alias("_e")).select("state", "age", "_e.*")
+    return rates if years is None else rates.withColumn("yr", F.explode(F.array(*[F.lit(y) for y in years])))
+
+
+def with_new_cohort(cube: DataFrame, year: int, span: int = 3) -> DataFrame:
+    """The cube and the cohort seeded for ``year``."""
+    seed = seed_new_cohort(cube, year, span)
+    return cube.select(*seed.columns).unionByName(seed)
 
 
 RANGE_MEASURES = ["erp_4yr", "fitted", "lower", "upper"]

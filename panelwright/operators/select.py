@@ -56,6 +56,15 @@ def order_by_levels(df: DataFrame, level: str, levels: list[str], *then: str) ->
     return df.orderBy(ordinal(level, levels).asc_nulls_last(), *then, level, *rest)
 
 
+def numbered_by_levels(df: DataFrame, level: str, levels: list[str], *then: str, name: str = "position") -> DataFrame:
+    """The rows with their position in the order of :func:`order_by_levels`."""
+    from ..functions.labels import ordinal
+    from .groups import number_rows
+
+    rest = [c for c in df.columns if c != level and c not in then]
+    return number_rows(df, [ordinal(level, levels).asc_nulls_last(), *then, level, *rest], name)
+
+
 def selection_view(
     df: DataFrame,
     members: list[str] | None = None,

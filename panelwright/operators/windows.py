@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.arith import ratio
 from ..functions.rounding import round_half_even
 from ..functions.tails import normal_quantile
-from .groups import WINDOW_ROWS, largest_group, number_rows, number_rows_in_groups
+from .groups import number_rows_in_groups
 
 BLOCK_ROWS = 200_000
-"""Rows per task of a moving mean over a group that is too large for one window."""
+"""Rows per task of a moving mean."""
 
 
 def lag_change(
@@ -73,22 +73,17 @@ def moving_mean(
     k: int = 3,
     align: str = "center",
     name: str = "adj",
-    bound: int = WINDOW_ROWS,
     block: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Mean of k neighbouring rows; null at the ends and where a neighbour is null.
 
-    Groups within ``bound`` rows use one window. Larger ones are numbered by a
-    range sort and cut into blocks; each block also receives the k - 1 rows
-    around it, so that the result is the same as that of one window.
+    Groups are numbered by a range sort and cut into blocks of rows; each block
+    also receives the k - 1 rows around it, so the result is that of one window
+    over the group, whatever its size.
     """
     low, high = _frame(k, align)
-    if largest_group(df, keys) <= bound:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(low, high)
-        return df.withColumn(name, _full_frame_mean(value, w, k))
-
     block = max(block, k)
-    numbered = number_rows_in_groups(df, keys, order, "_no", "_size", bound=0)
+    numbered = number_rows_in_groups(df, keys, order, "_no", "_size")
     home = F.floor((F.col("_no") - 1) / block)
     # Row r is needed by the frames of rows r - high .. r - low.
     reached = [F.floor((F.col("_no") - 1 - offset) / block) for offset in (high, low)]
@@ -113,17 +108,11 @@ def normal_scores(
     """Theoretical quantile of each value for a normal Q-Q plot.
 
     ``keys=[]`` ranks the whole frame. Equal values are told apart by
-    ``tie_break``. Missing values take no rank and get no quantile.
+    ``tie_break``. Missing values take no rank and get no quantile; they sort
+    last, so one sort serves all rows.
     """
-    filled = df.where(F.col(value).isNotNull())
-    order = [value, *tie_break]
-    if keys:
-        ranked = number_rows_in_groups(filled, keys, order, "_i", "_n")
-    else:
-        numbered = number_rows(filled, order, "_i")
-        ranked = numbered.withColumn("_n", numbered.agg(F.max("_i")).scalar())
+    ranked = number_rows_in_groups(df, keys, [F.asc_nulls_last(value), *tie_break], "_i", "_n", F.col(value))
     a = F.when(F.col("_n") <= 10, 3 / 8).otherwise(0.5)
     placed = ranked.withColumn("_point", (F.col("_i") - a) / (F.col("_n") + 1 - 2 * a))
-    scored = placed.withColumn(name, normal_quantile("_point")).drop("_i", "_n", "_point")
-    missing = df.where(F.col(value).isNull())
-    return scored.unionByName(missing, allowMissingColumns=True)
+    score = F.when(F.col(value).isNotNull(), normal_quantile("_point"))
+    return placed.withColumn(name, score).drop("_i", "_n", "_point")

@@ -161,7 +161,11 @@ def report_batch(
     ids = ["yr", "state", "assumption", "model", *numerators]
     tall = pivot_longer(bands, ids, [*series, "repaired", "fitted"], "series", "value")
     rounded = tall.withColumn("value", round_half_even("value", 0))
-    ranged = bands.where(F.col("yr") >= range_from).select("yr", "state", "assumption", *scenario.RANGE_MEASURES)
+    # Tied best models: the first of the list stands for its member in the ranges.
+    ids = ["yr", "state", "assumption"]
+    rank = F.array_position(F.array(*[F.lit(m.name) for m in models]), F.col("model")).alias("_rank")
+    first = F.min(F.struct(rank, *scenario.RANGE_MEASURES)).alias("_f")
+    ranged = bands.where(F.col("yr") >= range_from).groupBy(*ids).agg(first).select(*ids, *[f"_f.{m}" for m in scenario.RANGE_MEASURES])
     return {
         "repaired": repaired,
         "correlations": aggregates.corr_table(

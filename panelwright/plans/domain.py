@@ -122,7 +122,7 @@ def measure_panel_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 REBASED = f"""{sqltext.PANEL}, based AS (
   SELECT *, (erp_4 + erp_5) / 2 AS avg_4_5,
          (measure - (erp_4 + erp_5) / 2) / nullif((erp_4 + erp_5) / 2, 0) * 100 AS diff_pc
-  FROM panel WHERE yr < 2001 AND yr >= 1995),
+  FROM panel WHERE yr < 2001),
 gaps AS (
   SELECT state, CASE WHEN count(diff_pc) FILTER (yr < 1998) = count(*) FILTER (yr < 1998)
                      THEN avg(diff_pc) FILTER (yr < 1998) END AS gap
@@ -134,7 +134,7 @@ rebased AS (
 
 
 def _rebase_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panels.measures(spark, sf_dir).where("yr >= 1995")
+    return panels.measures(spark, sf_dir)
 
 
 @query(
@@ -155,7 +155,7 @@ def rebase_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "append_rebased_member",
     f"""WITH {REBASED}
-    SELECT yr, state, measure, erp_4, erp_5, enrol_lagged FROM panel WHERE yr >= 1995
+    SELECT yr, state, measure, erp_4, erp_5, enrol_lagged FROM panel
     UNION ALL
     SELECT yr, 'SA (adj)', trunc(coalesce(CASE WHEN yr >= 1998 THEN measure END, measure_adj)),
            erp_4, erp_5, enrol_lagged FROM rebased WHERE state = 'SA'""",
@@ -277,7 +277,7 @@ def stacked_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     "out_of_state_adjust",
     f"""WITH {sqltext.PRIORITY}, away AS (
       SELECT yr, {sqltext.case("r_name", panels.REGION_COLUMNS)} AS state, count(*) AS child_oth_state
-      FROM order_rows WHERE o_orderstatus = 'P' AND r_name <> 'ASIA' GROUP BY yr, r_name)
+      FROM order_rows WHERE o_orderstatus = 'P' GROUP BY yr, r_name)
     SELECT s.yr, s.state, s.series,
            CASE WHEN s.series = '1-URGENT' THEN s."value" - coalesce(a.child_oth_state, 0) ELSE s."value" END AS "value"
     FROM series_panel s LEFT JOIN away a ON s.yr = a.yr AND s.state = a.state""",
@@ -291,7 +291,6 @@ def out_of_state_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
     away = (
         counts.where("status = 'P'")
         .join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
-        .where("r_name <> 'ASIA'")
         .groupBy("yr", recode("r_name", panels.REGION_COLUMNS).alias("state"))
         .agg(F.sum("n").cast("double").alias("child_oth_state"))
     )
@@ -374,7 +373,7 @@ def _projected() -> str:
           CASE WHEN k{a} IS NOT NULL THEN 0 ELSE run{a - 1} + 1 END AS run{a} FROM s{a - 1})"""
     parts = " UNION ALL ".join(
         f"""SELECT cohort, state, {a} AS age, CAST(cohort + {a} AS INTEGER) AS yr, k{a} AS erp_at_age,
-        CAST(trunc(a{a}) AS INTEGER) AS erp_a, CAST(trunc(b{a}) AS INTEGER) AS erp_b FROM s5"""
+        CAST(trunc(a{a}) AS BIGINT) AS erp_a, CAST(trunc(b{a}) AS BIGINT) AS erp_b FROM s5"""
         for a in range(6)
     )
     return f"{out}, projected AS (SELECT * FROM ({parts}) WHERE yr < 2006)"
@@ -432,6 +431,49 @@ def scaled_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scenario.scaled_rates(panels.changes(spark, sf_dir), HORIZON)
 
 
+def _scaled_projection_sql() -> str:
+    names = ("zero", "med", "high")
+    steps = ""
+    cells = ", ".join(
+        [f"max(erp_at_age) FILTER (age = {a}) AS k{a}" for a in range(6)]
+        + [f"max(rate_{s}) FILTER (age = {a}) AS r{s}{a}" for s in names for a in range(6)]
+    )
+    start = ", ".join(f"k0 AS {s}0" for s in names)
+    joins = " ".join(
+        f"LEFT JOIN scaled {s} ON {s}.scenario = '{s.title()}' AND c.state = {s}.state AND c.yr = {s}.yr AND c.age = {s}.age" for s in names
+    )
+    for a in range(1, 6):
+        grown = ", ".join(
+            f"coalesce(k{a}, CASE WHEN run{a - 1} < 4 THEN {s}{a - 1} + {s}{a - 1} * r{s}{a} END) AS {s}{a}" for s in names
+        )
+        steps += f", p{a} AS (SELECT *, {grown}, CASE WHEN k{a} IS NOT NULL THEN 0 ELSE run{a - 1} + 1 END AS run{a} FROM p{a - 1})"
+    parts = " UNION ALL ".join(
+        f"SELECT cohort, state, {a} AS age, CAST(cohort + {a} AS INTEGER) AS yr, k{a} AS erp_at_age, "
+        + ", ".join(f"CAST(trunc({s}{a}) AS BIGINT) AS erp_{s}" for s in names)
+        + " FROM p5"
+        for a in range(6)
+    )
+    seeded = COHORT_LONG.replace("FROM cells", "FROM seeded")
+    return f"""WITH {sqltext.CHANGES}, seeded AS (
+      SELECT state, yr, age, erp, cohort FROM cells UNION ALL
+      SELECT state, 2002, 0, avg(erp), 2002 FROM cells WHERE age = 0 AND yr BETWEEN 1999 AND 2001 GROUP BY state),
+    usual AS (SELECT state, age, avg(p_chg) AS u FROM changes WHERE yr BETWEEN 1997 AND 1999 GROUP BY state, age),
+    scaled AS (
+      SELECT state, age, scenario, yr, {rnd("u * share", 5)} AS rate FROM usual,
+      (VALUES ('Zero', 0.0::DOUBLE), ('Med', 0.5::DOUBLE), ('High', 1.0::DOUBLE)) t(scenario, share), (VALUES (2002), (2003), (2004), (2005)) y(yr)),
+    {seeded}, j AS (SELECT c.cohort, c.state, c.age, c.erp_at_age, {", ".join(f"{s}.rate AS rate_{s}" for s in names)} FROM cohort_long c {joins}),
+    p0 AS (SELECT *, {start}, 0 AS run0 FROM (SELECT cohort, state, {cells} FROM j GROUP BY cohort, state)){steps}
+    SELECT * FROM ({parts}) WHERE yr <= 2005"""
+
+
+@query("scenario_projection", _scaled_projection_sql())
+def scenario_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeded = scenario.with_new_cohort(panels.cells(spark, sf_dir), 2002)
+    rates = scenario.scaled_rates(panels.changes(spark, sf_dir), HORIZON, years=[2002, 2003, 2004, 2005])
+    long = cohort.cohort_long(cohort.cohort_table(seeded))
+    return scenario.project_cohorts(long, rates, scenarios=("Zero", "Med", "High"), last_year=2005)
+
+
 def _member_sum_sql() -> str:
     labels = ("Zero", "Med", "High")
     cells = ", ".join(

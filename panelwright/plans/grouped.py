@@ -53,7 +53,7 @@ def group_mean_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 def append_total_member(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = panels.orders_per_nation(spark, sf_dir, {"yr": F.year("o_orderdate")})
     rows = counts.select("yr", F.col("n_name").alias("state"), "n")
-    return aggregates.sum_with_total(rows, ["yr"], "state", {"n": "n"}, "All")
+    return aggregates.append_total_member(rows, ["yr"], "state", ["n"], "All")
 
 
 @query(
@@ -232,19 +232,19 @@ def pivot_wider(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WIDE_MULTI = ", ".join(
-    f"max({m}) FILTER (assumption = '{s}') AS {m}_{s.lower()}"
+    f"max({m}) FILTER (assumption = '{s}') AS {m}_{s.lower().replace('.', '')}"
     for m in ("measure", "erp_4yr", "numerator")
-    for s in ("Zero", "Med", "High")
+    for s in ("N.A.", "Zero", "Med", "High")
 )
 
 
 @query(
     "pivot_wider_multi",
-    f"WITH {sqltext.MODEL} SELECT yr, state, {_WIDE_MULTI} FROM model_input WHERE assumption <> 'N.A.' GROUP BY yr, state",
+    f"WITH {sqltext.MODEL} SELECT yr, state, {_WIDE_MULTI} FROM model_input GROUP BY yr, state",
 )
 def pivot_wider_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = panels.model_input(spark, sf_dir).where("assumption <> 'N.A.'")
-    names = {s: s.lower() for s in ("Zero", "Med", "High")}
+    rows = panels.model_input(spark, sf_dir)
+    names = {"N.A.": "na", **{s: s.lower() for s in ("Zero", "Med", "High")}}
     return reshape.pivot_wider(rows, ["yr", "state"], "assumption", ["measure", "erp_4yr", "numerator"], names)
 
 
@@ -264,7 +264,7 @@ def pivot_longer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "melt_cast",
     f"""WITH {sqltext.PRIORITY}
-    SELECT yr, state, {", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in panels.PRIORITY_COLUMNS.values())}
+    SELECT yr, state, {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in panels.PRIORITY_COLUMNS.values())}
     FROM priority_panel""",
 )
 def melt_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,12 +277,12 @@ def melt_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     "split_name_suffix",
     f"""WITH {sqltext.LINES}
     SELECT n_name AS state, l_returnflag AS scenario, yr, sum(l_quantity) AS rate
-    FROM lines WHERE yr BETWEEN 1998 AND 2000 GROUP BY n_name, l_returnflag, yr""",
+    FROM lines GROUP BY n_name, l_returnflag, yr""",
 )
 def split_name_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat_ws("_", "l_returnflag", panels.ship_year())
-    names = [f"{s}_{y}" for s in ("A", "N", "R") for y in (1998, 1999, 2000)]
-    sums = panels.per_nation(spark, sf_dir, {"name": name}, {"rate": F.col("l_quantity")}).where(F.col("name").isin(names))
+    names = [f"{s}_{y}" for s in ("A", "N", "R") for y in range(1995, 2002)]
+    sums = panels.per_nation(spark, sf_dir, {"name": name}, {"rate": F.col("l_quantity")})
     wide = reshape.pivot_wider(sums, ["n_name"], "name", "rate", names).withColumnRenamed("n_name", "state")
     tall = reshape.pivot_longer(wide, ["state"], names, "name", "rate").where("rate is not null")
     return reshape.split_name_suffix(tall, "name", "scenario", "yr")
@@ -335,13 +335,13 @@ def distinct_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "order_by_levels",
-    """SELECT o_orderpriority, o_orderdate, o_orderkey FROM orders
+    """SELECT o_orderpriority, o_orderdate, o_orderkey, row_number() OVER (
     ORDER BY CASE o_orderpriority WHEN '5-LOW' THEN 0 WHEN '3-MEDIUM' THEN 1 WHEN '1-URGENT' THEN 2 END NULLS LAST,
-             o_orderdate, o_orderpriority, o_orderkey""",
+             o_orderdate, o_orderpriority, o_orderkey) AS "position" FROM orders""",
 )
 def order_by_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderdate", "o_orderkey")
-    return select.order_by_levels(orders, "o_orderpriority", ["5-LOW", "3-MEDIUM", "1-URGENT"], "o_orderdate")
+    return select.numbered_by_levels(orders, "o_orderpriority", ["5-LOW", "3-MEDIUM", "1-URGENT"], "o_orderdate")
 
 
 @query(

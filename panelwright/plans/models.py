@@ -355,9 +355,10 @@ def _kfold_sql() -> str:
     mom AS (SELECT f.fold, {", ".join(cells)} FROM (SELECT DISTINCT fold FROM r) f JOIN r ON r.fold <> f.fold GROUP BY f.fold),
     fit AS (SELECT *, {b0} AS b0, {b1} AS b1, {b2} AS b2 FROM mom),
     e AS (SELECT r.fold, {y} AS y, my + b0 * (l_quantity - m0) + b1 * (l_discount - m1) + b2 * (l_tax - m2) AS f
-          FROM r JOIN fit ON r.fold = fit.fold)
-    SELECT fold, count(*) AS n, {rnd("sqrt(avg((y - f) * (y - f)))", 3)} AS rmse, {rnd("pow(corr(f, y), 2)", 7)} AS r_squared,
-           {rnd("avg(abs(y - f))", 3)} AS mae FROM e GROUP BY fold"""
+          FROM r JOIN fit ON r.fold = fit.fold),
+    per AS (SELECT fold, count(*) AS n, sqrt(avg((y - f) * (y - f))) AS rmse, pow(corr(f, y), 2) AS r2, avg(abs(y - f)) AS mae FROM e GROUP BY fold)
+    SELECT fold, n, {rnd("rmse", 3)} AS rmse, {rnd("r2", 7)} AS r_squared, {rnd("mae", 3)} AS mae FROM per
+    UNION ALL SELECT NULL, CAST(sum(n) AS BIGINT), {rnd("avg(rmse)", 3)}, {rnd("avg(r2)", 7)}, {rnd("avg(mae)", 3)} FROM per"""
 
 
 @query("kfold_cv", _kfold_sql())

@@ -165,7 +165,7 @@ def row_arith(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "truncate_int",
-    """SELECT o_orderkey, CAST(trunc(o_totalprice / 7) AS INTEGER) AS up, CAST(trunc(-o_totalprice / 7) AS INTEGER) AS down
+    """SELECT o_orderkey, CAST(trunc(o_totalprice / 7) AS BIGINT) AS up, CAST(trunc(-o_totalprice / 7) AS BIGINT) AS down
     FROM orders""",
 )
 def truncate_int(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,11 +177,11 @@ def truncate_int(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "concat_label",
-    """SELECT DISTINCT o_orderpriority || ' / ' || o_orderstatus AS ratio, 'y ~ ' || o_orderpriority AS call,
-    substr(o_orderpriority, 1, 16) AS covariates FROM orders""",
+    """SELECT DISTINCT o_orderpriority || ' / ' || o_orderstatus AS ratio, 'y ~ ' || o_orderpriority || ' + ' || o_orderstatus AS call,
+    o_orderpriority || ' + ' || o_orderstatus AS covariates FROM orders""",
 )
 def concat_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    call = labels.call_label("y", "o_orderpriority")
+    call = labels.call_label("y", F.concat_ws(" + ", "o_orderpriority", "o_orderstatus"))
     return (
         table(spark, sf_dir, "orders")
         .select(

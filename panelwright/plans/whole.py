@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.rounding import round_columns
 from ..operators.regression import Model
 from ..operators.scenario import RANGE_MEASURES
 from . import batches, domain, models, panels, sqltext
@@ -34,6 +35,31 @@ def projection_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _projection(spark, sf_dir)["projection_4_5"]
 
 
+_PROJECTION_TABLES = {
+    "cohorts_to_project": "SELECT * FROM cohorts",
+    "cohort_growth": f"""SELECT state, yr, sum(chg) AS chg, {rnd("100 * sum(chg) / sum(erp)", 1)} AS chg_p FROM changes GROUP BY state, yr""",
+    "cohort_rates": f"""SELECT CAST(yr AS VARCHAR) AS "year", yr, state, age, erp, cohort, chg, p_chg,
+        {sqltext.case("age", {i: f"{i - 1} to {i} yr" for i in range(1, 7)})} AS age_turn, {rnd("p_chg * 100", 2)} AS percent
+        FROM changes WHERE yr <> cohort AND yr > 1991""",
+    "cohort_assumptions": f"""SELECT state, age, scenario, yr, rate, {rnd("rate * 100", 2)} AS percent,
+        {sqltext.case("age", {i: f"{i - 1} to {i} yr" for i in range(1, 7)})} AS age_turn FROM scen""",
+    "population_and_projection": "SELECT cohort, state, age, yr, erp_at_age, erp_a, erp_b FROM projected",
+}
+
+
+def _register_projection_tables() -> None:
+    """One query for each further table of the projection batch."""
+    for name, sql in _PROJECTION_TABLES.items():
+
+        def of(spark: SparkSession, sf_dir: str, name: str = name) -> DataFrame:
+            return _projection(spark, sf_dir)[name]
+
+        query(f"projection_batch_{name}", f"WITH {REGION_PROJECTION} {sql}")(of)
+
+
+_register_projection_tables()
+
+
 _MEASURE_MODELS = [
     Model("ERP 4yrs", ("erp_4",)),
     Model("ERP 5yrs", ("erp_5",)),
@@ -41,7 +67,7 @@ _MEASURE_MODELS = [
 ]
 
 
-def _preparation_sql() -> str:
+def _preparation_sql(skip: str = "ERP_B") -> str:
     # The panel's parts are already there after the projection's own.
     panel = domain.REBASED.removeprefix(sqltext.CUBE + ", ")
     x1 = "(CASE b.model WHEN 'ERP 5yrs' THEN n.erp_5 ELSE n.erp_4 END)"
@@ -59,17 +85,14 @@ def _preparation_sql() -> str:
       SELECT n.yr, n.state, n.assumption, n.erp_4, n.erp_5, p.measure, b0 + b1 * {x1} + CASE WHEN k = 2 THEN b2 * n.erp_5 ELSE 0 END AS fitted,
              sigma * sqrt({models.leverage(x1, "n.erp_5")}) AS se
       FROM newdat n JOIN best b ON n.state = b.state LEFT JOIN panel2 p ON n.yr = p.yr AND n.state = p.state),
-    bands AS (SELECT *, {rnd("measure - fitted", 0)} AS res FROM applied WHERE assumption <> 'ERP_B')
+    bands AS (SELECT *, {rnd("measure - fitted", 0)} AS res FROM applied WHERE assumption <> '{skip}')
     SELECT DISTINCT state, yr, erp_4, erp_5, measure, {rnd("fitted", 0)} AS fitted_round, {rnd("se", 4)} AS se_fit,
            {rnd("fitted - 1.96 * se", 0)} AS "lower", {rnd("fitted + 1.96 * se", 0)} AS "upper", res AS residual,
            {rnd("res / nullif(measure, 0) * 100", 1)} AS residual_pc FROM bands"""
 
 
-@query("preparation_batch", _preparation_sql())
-def preparation_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.rounding import round_columns
-
-    out = batches.preparation_batch(
+def _preparation(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return batches.preparation_batch(
         panels.school_counts(spark, sf_dir),
         panels.observations(spark, sf_dir),
         _projection(spark, sf_dir)["projection_4_5"],
@@ -79,7 +102,32 @@ def preparation_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         before=2001,
         windows_={"1995-00": (1995, 2000), "1997-00": (1997, 2000)},
     )
-    return round_columns(out["fitted_a"], {"se_fit": 4}).distinct()
+
+
+@query("preparation_batch", _preparation_sql())
+def preparation_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_columns(_preparation(spark, sf_dir)["fitted_a"], {"se_fit": 4}).distinct()
+
+
+@query("preparation_batch_fitted_b", _preparation_sql("ERP_A"))
+def preparation_fitted_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_columns(_preparation(spark, sf_dir)["fitted_b"], {"se_fit": 4}).distinct()
+
+
+@query("preparation_batch_derived_measure", f"WITH {sqltext.ADJUSTED} SELECT * FROM adjusted")
+def preparation_derived_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _preparation(spark, sf_dir)["derived_measure"]
+
+
+@query(
+    "preparation_batch_measure_panel",
+    f"""WITH {domain.REBASED}
+    SELECT yr, state, measure, erp_4, erp_5, enrol_lagged FROM panel
+    UNION ALL SELECT yr, 'SA (adj)', trunc(coalesce(CASE WHEN yr >= 1998 THEN measure END, measure_adj)), erp_4, erp_5, enrol_lagged
+    FROM rebased WHERE state = 'SA'""",
+)
+def preparation_measure_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _preparation(spark, sf_dir)["measure_panel"]
 
 
 def _report_sql() -> str:
@@ -107,13 +155,21 @@ def _report_sql() -> str:
     SELECT yr, state, {cells} FROM stacked GROUP BY yr, state"""
 
 
-@query("report_batch", _report_sql())
-def report_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = batches.report_batch(
+def _report(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return batches.report_batch(
         panels.model_input(spark, sf_dir),
         domain.repair_rules(spark),
         ["erp_3yr", "erp_4yr", "erp_5yr"],
         {"numerator": "All", "numerator45": "Ages 4-5"},
         range_from=1996,
     )
-    return out["ranges"]
+
+
+@query("report_batch", _report_sql())
+def report_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(spark, sf_dir)["ranges"]
+
+
+@query("report_batch_repaired", f"WITH {domain.REPAIRED} SELECT yr, state, assumption, measure, repaired FROM repaired_rows")
+def report_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(spark, sf_dir)["repaired"].select("yr", "state", "assumption", "measure", "repaired")

@@ -19,11 +19,12 @@ def read_panel_table(
 ) -> DataFrame:
     """Read a table with a declared schema, drop index columns, repair names.
 
-    For text files the word "NA" is read as missing.
+    For text files the word "NA" is read as missing, and the header must name
+    the columns of the schema in order; another header stops the query.
     """
     reader = spark.read.schema(schema)
     if format == "csv":
-        reader = reader.option("header", "true").option("nullValue", MISSING).option("mode", "FAILFAST")
+        reader = reader.option("header", "true").option("nullValue", MISSING).option("mode", "FAILFAST").option("enforceSchema", "false")
     df = reader.format(format).load(path)
     return df.drop(*(drop or [])).withColumnsRenamed(renames or {})
 

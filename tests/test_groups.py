@@ -23,34 +23,53 @@ def totals(df):
     return df.groupBy("g").agg(F.sum("x").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
-@pytest.mark.parametrize("heavy", [1, 2, 10_000])
-def test_attach_groups_serves_every_row_once(spark, skewed, rows, heavy):
-    got = groups.attach_groups(skewed, totals(skewed), ["g"], "n", heavy=heavy, spread=4)
+def test_attach_groups_serves_every_row_once(spark, skewed, rows):
+    got = groups.attach_groups(skewed, totals(skewed).drop("n"), ["g"])
     want = skewed.withColumn("total", F.sum("x").over(Window.partitionBy("g")))
     assert rows(got.withColumn("total", F.round("total", 6))) == rows(want.withColumn("total", F.round("total", 6)))
 
 
-@pytest.mark.parametrize("heavy", [1, 10_000])
-def test_attach_groups_left_and_inner(spark, skewed, heavy):
+def test_attach_groups_left_and_inner(spark, skewed):
     part = totals(skewed).where("g in ('hot', 'a')")
-    left = groups.attach_groups(skewed, part, ["g"], "n", heavy=heavy)
+    left = groups.attach_groups(skewed, part, ["g"])
     assert left.count() == skewed.count()
     assert left.where("total is null").count() == 70
-    inner = groups.attach_groups(skewed, part, ["g"], "n", how="inner", heavy=heavy)
-    assert inner.count() == 920
+    assert groups.attach_groups(skewed, part, ["g"], how="inner").count() == 920
 
 
-def test_heavy_rows_are_spread_over_tasks(spark, skewed):
-    """The rows of the heaviest group do not meet in one task of the shuffle."""
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        got = groups.attach_groups(skewed, totals(skewed), ["g"], "n", heavy=1, spread=64)
-        hot = got.where("g = 'hot'").groupBy(F.spark_partition_id()).count().collect()
-        assert len(hot) > 1 and sum(r["count"] for r in hot) == 900
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
+@pytest.fixture
+def eager_skew_join(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key in settings:
+        spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("partner", [True, False])
+def test_a_hot_group_is_split_with_and_without_partner(spark, eager_skew_join, partner):
+    ids = spark.range(0, 300_000, 1, 16)
+    left = ids.select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("g"), F.col("id").alias("v"))
+    table = ids.select(F.col("id").alias("g"), (F.col("id") * 2).alias("w")).where(F.lit(partner) | (F.col("id") != 7))
+    out = groups.attach_groups(left, table, ["g"]).agg(F.sum("w"), F.count(F.lit(1)))
+    row = out.collect()[0]
+    assert row[1] == 300_000
+    assert row[0] == sum(2 * i for i in range(300_000) if i % 3) + (100_000 * 14 if partner else 0) - (0 if partner else 14)
+    assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_describing_a_share_starts_no_job(spark, skewed):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("describe", "describe only")
+    aggregates.max_with_ties(aggregates.share_of_group(skewed, ["g"], "x"), ["g"], "x").explain("simple")
+    assert tracker.getJobIdsForGroup("describe") == []
+    spark.sparkContext.setJobGroup("tests", "tests")
 
 
 def test_number_rows(spark):
@@ -59,12 +78,12 @@ def test_number_rows(spark):
     assert numbered.where("row_no = v + 1").count() == 1000
 
 
-@pytest.mark.parametrize("bound", [0, 10_000])
-def test_numbers_in_groups(spark, rows, bound):
+@pytest.mark.parametrize("partitions", [None, 3])
+def test_numbers_in_groups(spark, rows, partitions):
     rnd = random.Random(1)
     data = [(rnd.choice("aab"), i, rnd.random()) for i in range(400)]
     df = spark.createDataFrame(data, "g string, i int, x double").repartition(5)
-    got = groups.number_rows_in_groups(df, ["g"], ["x", "i"], "no", "size", bound=bound)
+    got = groups.number_rows_in_groups(df, ["g"], ["x", "i"], "no", "size", partitions=partitions)
     w = Window.partitionBy("g")
     want = df.withColumns({"no": F.row_number().over(w.orderBy("x", "i")), "size": F.count(F.lit(1)).over(w)})
     assert rows(got) == rows(want)
@@ -75,9 +94,11 @@ def test_numbers_in_groups(spark, rows, bound):
 def test_moving_mean_in_blocks_equals_one_window(spark, rows, align, k):
     data = [(g, i, None if i % 13 == 5 else float(i * i % 17)) for g in "ab" for i in range(60)]
     df = spark.createDataFrame(data, "g string, i int, x double").repartition(6)
-    plain = windows.moving_mean(df, ["g"], ["i"], "x", k, align)
-    blocks = windows.moving_mean(df, ["g"], ["i"], "x", k, align, bound=0, block=7)
-    assert rows(plain) == rows(blocks)
+    low, high = (-(k // 2), k // 2) if align == "center" else (1 - k, 0)
+    w = Window.partitionBy("g").orderBy("i").rowsBetween(low, high)
+    plain = df.withColumn("adj", F.when(F.count("x").over(w) == k, F.avg("x").over(w)))
+    assert rows(windows.moving_mean(df, ["g"], ["i"], "x", k, align, block=7)) == rows(plain)
+    assert rows(windows.moving_mean(df, ["g"], ["i"], "x", k, align)) == rows(plain)
 
 
 def test_moving_mean_edges_and_gaps(spark):
