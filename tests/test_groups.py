@@ -57,7 +57,7 @@ def test_a_hot_group_is_split_with_and_without_partner(spark, eager_skew_join, p
     ids = spark.range(0, 300_000, 1, 16)
     left = ids.select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("g"), F.col("id").alias("v"))
     table = ids.select(F.col("id").alias("g"), (F.col("id") * 2).alias("w")).where(F.lit(partner) | (F.col("id") != 7))
-    out = groups.attach_groups(left, table, ["g"]).agg(F.sum("w"), F.count(F.lit(1)))
+    out = groups.attach_groups(left, table, ["g"]).agg(F.sum("w"), F.count(F.lit(1)), F.sum("v"))
     row = out.collect()[0]
     assert row[1] == 300_000
     assert row[0] == sum(2 * i for i in range(300_000) if i % 3) + (100_000 * 14 if partner else 0) - (0 if partner else 14)
