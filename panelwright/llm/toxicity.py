@@ -31,7 +31,7 @@ from .blocks import SPACE, text_blocks
 MAX_DOCS = (2500, 5000)
 WINDOW = 12
 GAP = 0.5
-LANDMARKS = 400
+LANDMARKS = 1000
 ROUNDS = 4
 #: Offsets of the second and third symbol, and the weight of the gaps between.
 PAIRS = [(j, k, GAP ** (k - 2)) for k in range(2, 5) for j in range(1, k)]
@@ -130,9 +130,8 @@ class Machine:
         return best, place, text, symbols
 
     def features(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Of each text: its two strongest sentences, and one."""
-        out = np.full((len(offsets) - 1, 3), self.bias)
-        out[:, 2] = 1.0
+        """Of each text: the scores of its two strongest sentences, what the strongest has above zero, and one."""
+        out = np.full((len(offsets) - 1, 4), self.bias)
         best, _, text, _ = self.sentences(raw, offsets)
         if len(best):
             order = np.lexsort((-best, text))
@@ -140,9 +139,11 @@ class Machine:
             first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
             out[text[first], 0] = best[first]
             second = first + 1
-            second = second[(second < len(text))]
+            second = second[second < len(text)]
             second = second[text[second] == text[second - 1]]
             out[text[second], 1] = best[second]
+        out[:, 2] = np.maximum(out[:, 0], 0)
+        out[:, 3] = 1.0
         return out
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -209,6 +210,15 @@ def fit_windows(windows: np.ndarray, y: np.ndarray, landmarks: int = LANDMARKS,
     return table, float(w[-1])
 
 
+def inserted(windows: np.ndarray, seed: int) -> np.ndarray:
+    """The windows with a letter put in somewhere: what the machine has to bear."""
+    draw = np.random.default_rng(seed)
+    at = draw.integers(2, WINDOW - 2, len(windows))
+    place = np.arange(windows.shape[1])[None, :]
+    shifted = np.where(place <= at[:, None], windows, np.roll(windows, 1, axis=1))
+    return np.where(place == at[:, None], draw.integers(1, 27, len(windows))[:, None], shifted).astype(np.uint8)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(50):
@@ -291,10 +301,10 @@ def _features(rows: DataFrame, machine: Machine) -> tuple[np.ndarray, np.ndarray
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw, offsets in text_blocks(batches, "t"):
             x = Machine(**shared.value).features(raw, offsets)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), part.column(1)], names=["a", "b", "y"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, x.T), part.column(1)], names=[*"abcd", "y"])
 
-    found = rows.mapInArrow(task, "a double, b double, y int").toPandas()
-    return np.column_stack((found["a"], found["b"], np.ones(len(found)))), found["y"].to_numpy()
+    found = rows.mapInArrow(task, "a double, b double, c double, d double, y int").toPandas()
+    return found[list("abcd")].to_numpy(), found["y"].to_numpy()
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: tuple[int, int] = MAX_DOCS) -> Machine:
@@ -305,7 +315,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ways is toxic. Without documents of both classes every score is 0.
     """
     rows, stands = _sample(docs, labels, id_col, text_col, bound)
-    machine = Machine(_odds(rows), 0.0, np.array([0.0, 0.0, -50.0]))
+    machine = Machine(_odds(rows), 0.0, np.array([0.0, 0.0, 0.0, -50.0]))
     if {r.y for r in rows.select("y").distinct().collect()} != {0, 1}:
         return machine
     for turn in range(ROUNDS):
@@ -317,8 +327,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         negative = y == 0
         if not positive.any() or not negative.any():
             break
-        keep = positive | negative
-        machine.weights, machine.bias = fit_windows(windows[keep], np.where(positive[keep], 1, -1))
+        taken = np.concatenate((windows[positive], inserted(windows[positive], turn), windows[negative]))
+        sign = np.repeat([1, 1, -1], [positive.sum(), positive.sum(), negative.sum()])
+        machine.weights, machine.bias = fit_windows(taken, sign)
     x, y = _features(rows, machine)
     machine.logistic = _logistic(x, y, stands[y])
     return machine
