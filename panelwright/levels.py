@@ -15,10 +15,6 @@ REGION_LABELS = {
     "8": "ACT",
 }
 
-# Display order of the members.
-MEMBER_LEVELS = ["NSW", "Vic", "Qld", "SA", "WA", "Tas", "NT", "ACT", "Aust"]
-MEMBER_LEVELS_ADJUSTED = ["NSW", "Vic", "Qld", "SA", "SA (adj)", "WA", "Tas", "NT", "ACT", "Aust"]
-
 # Sheet label -> column label of the school counts.
 SCHOOL_AGES = {
     "a 4 years and under": "Aged_4",

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import recode
+from ..levels import FOUNDATION_GRADE
 from ..operators.adjust import migration_merge
 from ..operators.cohort import inverse_change_factors, population_cube
 from ..operators.enrolment import age_fraction, enrolment_by_age, migration_adjusted_denominator, measure_panel
@@ -140,7 +141,7 @@ def school_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         sf_dir,
         {"year": F.year("o_orderdate"), "priority": F.col("o_orderpriority"), "status": F.col("o_orderstatus")},
     )
-    grade = F.when(F.col("status") == "F", "a Pre-Year 1 (Foundation Year)").otherwise("b Year 1")
+    grade = F.when(F.col("status") == "F", FOUNDATION_GRADE).otherwise("b Year 1")
     return counts.select(
         "year",
         recode("n_regionkey", REGION_SHEET).alias("state"),
