@@ -14,7 +14,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def text_blocks(
-    batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4_000_000
+    batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1_000_000
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut batches into row blocks of about ``max_bytes`` of text.
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .blocks import mix, text_blocks, uniform
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 1_000_000
 _BLANK = 0x2581
 #: Stands for a blank sign that is in the text itself: it has no piece, its bytes encode it.
 _OWN_SIGN = 0x110000
@@ -37,6 +37,11 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ROUND = np.uint64(0xD1B54A32D192ED03)
 
 
+def _times(k: int, odd: np.uint64) -> np.uint64:
+    """k * odd modulo 2^64."""
+    return np.uint64(k * int(odd) & (1 << 64) - 1)
+
+
 @dataclass
 class Lexicon:
     """A model's pieces as arrays: a trie over code points, weights, and each piece's bytes."""
@@ -166,9 +171,11 @@ class Lattices:
             used[starts] += 1
             self.piece[slot] = ids
             self.end[slot] = np.where(left[starts] == length, total, starts + length)
+        del found, used, letter, points, own, body
         fallback = np.maximum(-self.piece - 1, 0)
-        n_bytes = 1 + (fallback > 0x7F) + (fallback > 0x7FF) + (fallback > 0xFFFF)
+        n_bytes = (1 + (fallback > 0x7F) + (fallback > 0x7FF) + (fallback > 0xFFFF)).astype(np.int8)
         weight = np.where(self.piece >= 0, lexicon.weight[self.piece], n_bytes * lexicon.weight[lexicon.byte_id[0]])
+        del fallback, n_bytes
 
         # Backward over the distance to the chunk's end: the edges of one distance are one slice.
         back = np.zeros(total + 1)
@@ -187,8 +194,8 @@ class Lattices:
             back[here] = top + np.log(mass)
             self.prob[a:b] = part / np.repeat(mass, degree[here])
         running = np.cumsum(self.prob)
-        lead = np.repeat(running[self.first[order]] - self.prob[self.first[order]], degree[order])
-        self.upto = running - lead
+        running -= np.repeat(running[self.first[order]] - self.prob[self.first[order]], degree[order])
+        self.upto = running
         if edges:
             self.upto[ends - 1] = 2.0  # the last edge takes what rounding leaves
         self.log_prob = np.log(self.prob)
@@ -203,7 +210,7 @@ class Lattices:
         step = 0
         while len(live):
             step += 1
-            u = uniform(mix(keys[live] + np.uint64(step) * _STEP))
+            u = uniform(mix(keys[live] + _times(step, _STEP)))
             edge = self.first[pos]
             miss = np.flatnonzero(u >= self.upto[edge])
             while len(miss):
@@ -261,7 +268,7 @@ class Search:
 
     def _chunk_keys(self, sample: int) -> np.ndarray:
         within = np.arange(len(self.types)) - np.repeat(self.offsets[:-1], np.diff(self.offsets))
-        return mix(self.keys[self.doc] + np.uint64(sample) * _ROUND + mix(within.astype(np.uint64)))
+        return mix(self.keys[self.doc] + _times(sample, _ROUND) + mix(within.astype(np.uint64)))
 
     def _add(self, first, count, log_prob, score, there, begin, sample) -> None:
         """Keep a sample; open the sets that leave it at or after chunk ``begin`` of its document."""
