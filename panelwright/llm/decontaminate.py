@@ -18,13 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
+from .joining import small
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: At similarity 0.8 two fingerprints differ in 10 of 64 bits on average, standard deviation 3.
 RADIUS = 20
-#: Beyond this many rows a lookup table is joined by shuffle, not broadcast (16 to 40 bytes a row).
-BROADCAST_ROWS = 500_000
 
 
 def shingle_hashes(text: Column, words: int = SHINGLE_WORDS) -> Column:
@@ -43,11 +42,6 @@ def shingle_hashes(text: Column, words: int = SHINGLE_WORDS) -> Column:
     return F.get(F.transform(F.array(tokens), of), 0)
 
 
-def _small(df: DataFrame, limit: int) -> DataFrame:
-    """Broadcast a fixed (checkpointed) table if it is small; else leave the join to shuffle."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def _fingerprint(hashes: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, fp, n): SimHash of the ``h`` of each key: a bit is one if set in over half of them.
 
@@ -103,9 +97,9 @@ def contaminated(
     """
     wanted = items.select(F.col(item_id).alias("item_id"), shingle_hashes(F.col(item_text)).alias("g"))
     wanted = checkpointed(wanted.where(F.size("g") > 0).dropDuplicates().withColumn("len", F.size("g")))
-    known = _small(checkpointed(wanted.select(F.explode("g").alias("h"), "len").distinct()), BROADCAST_ROWS)
+    known = small(checkpointed(wanted.select(F.explode("g").alias("h"), "len").distinct()))
     single = known.select("h").distinct()
-    single = _small(checkpointed(single), BROADCAST_ROWS)
+    single = small(checkpointed(single))
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
     texts = texts.withColumn("key", F.xxhash64("t"))
@@ -113,7 +107,7 @@ def contaminated(
     touched = checkpointed(shingled.join(single, "h", "left_semi").select("id", "key").distinct())
 
     # Whole texts of the touched documents, one of each.
-    keys = _small(checkpointed(touched.select("key").distinct()), BROADCAST_ROWS)
+    keys = small(checkpointed(touched.select("key").distinct()))
     bodies = texts.join(keys, "key", "left_semi").select("key", "t").dropDuplicates(["key"])
     bodies = checkpointed(bodies.select("key", shingle_hashes(F.col("t")).alias("g")))
     hits = bodies.select("key", F.size("g").alias("size"), F.posexplode("g").alias("pos", "h")).join(known, "h")
@@ -133,7 +127,7 @@ def contaminated(
     item_blocks = checkpointed(item_prints.select("item_id", "len", F.col("fp").alias("ifp"), F.inline(_blocks(F.col("fp"), radius))))
     near = (
         prints.select("window", "len", "fp", F.inline(_blocks(F.col("fp"), radius)))
-        .join(_small(item_blocks, BROADCAST_ROWS), ["len", "block", "bits"])
+        .join(small(item_blocks), ["len", "block", "bits"])
         .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius)
         .select("window", "item_id")
         .distinct()

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
+from .joining import small
 
 KINDS = ("email", "ip", "card", "phone")
 #: A candidate is added from this probability on.
@@ -236,11 +237,12 @@ def find_spans(docs: DataFrame, text_col: str = "text", accept: float = ACCEPT,
     """
     found = checkpointed(candidates(docs, text_col))
     texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("t")).where("t is not null")
-    texts = texts.join(found.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    keys = small(checkpointed(found.select("key").distinct()))
+    texts = texts.join(keys, "key", "left_semi").dropDuplicates(["key"])
     spans = checkpointed(_profile(found, texts, around))
     profiles = checkpointed(spans.groupBy("kind", "votes", "features").agg(F.count("*").alias("n")))
     taken = checkpointed(_accepted(profiles, accept))
-    marked = spans.join(taken, ["kind", "features"], "left").where("base or taken")
+    marked = spans.join(small(taken), ["kind", "features"], "left").where("base or taken")
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
     marked = marked.select("key", "kind", "start", "end", "base", rank.alias("rank")).distinct()
     own = Window.partitionBy("key").orderBy("start", "rank", "end")
