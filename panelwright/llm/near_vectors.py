@@ -70,12 +70,16 @@ def directions(dims: int, count: int, seed: int = SEED) -> np.ndarray:
 
 def _first_projection(v: Column, seed: int = SEED) -> Column:
     """Projection of the unit vector on a normal direction whose components are hashed from their positions."""
-    size = F.array_max(F.transform(v, F.abs))
     part = lambda i, k: (F.shiftrightunsigned(F.xxhash64(i, F.lit(seed + k)), 12).cast("double") + 0.5) * 2.0**-52
     normal = lambda i: F.sqrt(-2 * F.log(part(i, 0))) * F.cos(2 * math.pi * part(i, 1))
-    dot = F.aggregate(F.transform(v, lambda x, i: x / size * normal(i)), F.lit(0.0), lambda s, x: s + x)
-    norm = F.sqrt(F.aggregate(F.transform(v, lambda x: (x / size) * (x / size)), F.lit(0.0), lambda s, x: s + x))
-    return dot / norm
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+
+    def of(size: Column) -> Column:
+        dot = total(F.transform(v, lambda x, i: x / size * normal(i)))
+        return dot / F.sqrt(total(F.transform(v, lambda x: (x / size) * (x / size))))
+
+    # Through an array of one, so that the largest component is looked for once a vector, not once a component.
+    return F.get(F.transform(F.array(F.array_max(F.transform(v, F.abs))), of), 0)
 
 
 def collisions(a: np.ndarray, b: np.ndarray, half: float) -> np.ndarray:
