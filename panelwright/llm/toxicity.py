@@ -31,7 +31,7 @@ from .blocks import SPACE, text_blocks
 MAX_DOCS = (2500, 5000)
 WINDOW = 12
 GAP = 0.5
-LANDMARKS = 1000
+LANDMARKS = 400
 ROUNDS = 4
 #: Offsets of the second and third symbol, and the weight of the gaps between.
 PAIRS = [(j, k, GAP ** (k - 2)) for k in range(2, 5) for j in range(1, k)]
@@ -165,10 +165,14 @@ def _machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     penalty = ridge * np.eye(z.shape[1])
     penalty[-1, -1] = 1e-6
     for _ in range(30):
-        margin = y * (z @ w)
-        active = margin < 1
-        za, ca = z[active], weight[active]
-        new = np.linalg.solve(penalty + (za * ca[:, None]).T @ za, (za * ca[:, None]).T @ y[active])
+        left, right = penalty.copy(), np.zeros(z.shape[1])
+        for low in range(0, len(z), 2000):  # blocks of rows: the driver holds one copy of the features
+            block = z[low : low + 2000].astype(np.float64)
+            part, sign = weight[low : low + 2000], y[low : low + 2000]
+            part = np.where(sign * (block @ w) < 1, part, 0.0)
+            left += (block * part[:, None]).T @ block
+            right += block.T @ (part * sign)
+        new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-8:
             break
         w = new
@@ -185,22 +189,23 @@ def fit_windows(windows: np.ndarray, y: np.ndarray, landmarks: int = LANDMARKS,
     marks = np.unique(windows[chosen], axis=0)
     triples, weights = _vectors(marks)
     used = np.unique(triples)
-    basis = np.zeros((len(marks), len(used)))
+    basis = np.zeros((len(marks), len(used)), dtype=np.float32)
     np.add.at(basis, (np.arange(len(marks))[:, None], np.searchsorted(used, triples)), weights)
-    values, vectors = np.linalg.eigh(basis @ basis.T)
+    values, vectors = np.linalg.eigh((basis @ basis.T).astype(np.float64))
     keep = values > values.max() * 1e-6
-    root = vectors[:, keep] / np.sqrt(values[keep])  # landmarks x features
+    root = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)  # landmarks x features
     fold = basis.T @ root  # triples x features
-    z = np.empty((len(windows), fold.shape[1] + 1))
-    for low in range(0, len(windows), 2000):
-        triples, weights = _vectors(windows[low : low + 2000])
+    z = np.empty((len(windows), fold.shape[1] + 1), dtype=np.float32)
+    step = 250
+    for low in range(0, len(windows), step):
+        triples, weights = _vectors(windows[low : low + step])
         at = np.minimum(np.searchsorted(used, triples), len(used) - 1)
         known = np.where(used[at] == triples, weights, 0.0)
-        dense = np.zeros((len(triples), len(used)))
+        dense = np.zeros((len(triples), len(used)), dtype=np.float32)
         np.add.at(dense, (np.arange(len(triples))[:, None], at), known)
-        z[low : low + 2000, :-1] = dense @ fold
+        z[low : low + step, :-1] = dense @ fold
     z[:, -1] = 1.0
-    scale = np.sqrt((z[:, :-1] ** 2).sum(axis=1).mean())
+    scale = float(np.sqrt(np.einsum("ij,ij->i", z[:, :-1], z[:, :-1]).mean()))
     z[:, :-1] /= scale
     share = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum()) * 100
     w = _machine(z, y.astype(float), share)
