@@ -147,6 +147,31 @@ def test_pipeline_stages_follow_their_operators(spark):
     assert back.join(steps[4], "doc_id").where("t <> text").count() == 0
 
 
+@pytest.mark.skipif(not TABLES.exists(), reason="driver tables are not here")
+def test_pipeline_decides_per_row(spark):
+    docs = spark.read.parquet(str(TABLES / "documents.parquet"))
+    item = spark.read.parquet(str(TABLES / "benchmark.parquet")).where("length(text) > 200").orderBy("item_id").first().text
+    fair = docs.where("lang = 'en' AND n_chars BETWEEN 1500 AND 6000").orderBy("doc_id").limit(8).collect()
+    a, b, c, d, e, f, g, h = [" ".join(reversed(r.text.split())) for r in fair]  # words of one language, no near copy of a document
+    rows = [
+        (None, a, "null, unique"), (None, b, "null, unique too"),
+        (5000, c, "5, C"), (5000, d, "5, D"), (3000, d.upper(), "3, copy of D"), (None, d, "null, copy of D"),
+        (7000, f"{e} {item} {e}", "7, leaks"), (7000, e[: len(e) // 2], "7, clean"), (None, f"{g} {item}", "null, leaks"),
+        (8000, f, "equal rows"), (8000, f, "equal rows"), (None, h, "null, equal rows"), (None, h, "null, equal rows"),
+    ]
+    now = docs.union(spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], docs.schema))
+    left = []
+    for _, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, str(TABLES)).cache()
+        left.append(sorted(r.source for r in now.collect() if r.source in {s for *_, s in rows}) if "source" in now.columns else None)
+    assert left[0] == sorted(s for *_, s in rows)
+    single = sorted({s for *_, s in rows} - {"5, D", "null, copy of D"})
+    assert left[1] == single
+    assert left[2] == left[3] == sorted(set(single) - {"7, leaks", "null, leaks"})
+    ids = [r.doc_id for r in now.where("sample = 1 AND (doc_id IS NULL OR doc_id >= 3000)").collect()]
+    assert sorted(map(str, ids)) == sorted(["None"] * 3 + ["3000", "5000", "7000", "8000"]) and now.where("NOT round_trip").count() == 0
+
+
 @pytest.mark.skipif(not TABLES.exists(), reason="driver tables are not here")
 def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, str(TABLES)).count() > 0
