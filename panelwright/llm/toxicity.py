@@ -1,8 +1,9 @@
 """Toxicity by a support vector machine on a gapped subsequence kernel.
 
 The kernel counts common subsequences of three symbols inside windows of a
-text, each gap symbol costing a factor, at most two of them: insertions as in
-"i.d.i-o.t" keep most of a word's subsequences. Landmark windows give the
+text, each gap symbol costing a factor, up to four of them in each of the two
+gaps: insertions as in "ixxdxxixxoxxt" keep a word's subsequences, at less
+weight. Landmark windows give the
 Nyström features in which a linear machine is trained. As the kernel is an inner
 product over triples, the trained machine folds into one weight per triple, and
 a whole text is scored by sums over its windows.
@@ -29,13 +30,17 @@ from .blocks import SPACE, text_blocks
 
 #: Labelled documents of each class that train at most (toxic, clean), by the hash of their ids.
 MAX_DOCS = (2500, 5000)
-WINDOW = 12
+WINDOW = 20
 GAP = 0.5
 LANDMARKS = 400
 ROUNDS = 4
+#: Symbols that a gap holds at most.
+GAP_SYMBOLS = 4
+SPAN = 2 * (GAP_SYMBOLS + 1)
 #: Offsets of the second and third symbol, and the weight of the gaps between.
-PAIRS = [(j, k, GAP ** (k - 2)) for k in range(2, 5) for j in range(1, k)]
-SPAN = 4
+PAIRS = [(j, k, GAP ** (k - 2)) for k in range(2, SPAN + 1) for j in range(1, k) if max(j, k - j) <= GAP_SYMBOLS + 1]
+#: Blanks after a text: none of its windows reaches a triple of the next text.
+PAD = WINDOW + SPAN
 TRIPLES = 1 << 18
 
 _SYMBOL = np.zeros(256, dtype=np.uint32)
@@ -48,8 +53,9 @@ _STOP[list(b".!?\n")] = True
 
 
 def squeeze(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts without what is inserted into words: a sign between two letters (i.d-i*o.t) and the blanks of a word
-    spelled out (i d i o t). Letters that are inserted stay; the kernel's gaps bear them."""
+    """Texts without what is inserted into words: signs between two letters (i.d-i**o.t), however many, and whatever
+    signs and blanks stand between the letters of a word spelled out (i d i o t, i - d - i - o - t). Letters that are
+    inserted stay; the kernel's gaps bear them."""
     n = len(raw)
     if n < 3:
         return raw, offsets
@@ -57,25 +63,32 @@ def squeeze(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     blank = SPACE[raw]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
-    before = np.zeros(n, dtype=bool)
-    before[1:] = letter[:-1]
-    before &= ~edge[:-1]
-    after = np.zeros(n, dtype=bool)
-    after[:-1] = letter[1:]
-    after &= ~edge[1:]
-    drop = before & after & ~letter & ~blank
-    alone = letter & ~before & ~after  # a word of one letter
-    between = np.zeros(n, dtype=bool)
-    between[1:-1] = alone[:-2] & alone[2:]
-    drop |= between & blank & before & after
-    kept = np.concatenate(([0], np.cumsum(~drop)))
-    return raw[~drop], kept[offsets]
+    # Runs of signs and blanks, cut at the ends of texts.
+    begins = ~letter
+    begins[1:] &= letter[:-1] | edge[1:-1]
+    first = np.flatnonzero(begins)
+    if not len(first):
+        return raw, offsets
+    ends = ~letter
+    ends[:-1] &= letter[1:] | edge[1:-1]
+    last = np.flatnonzero(ends)
+    inside = ~edge[first] & ~edge[last + 1]  # a letter of the same text on either side
+    blanks = np.concatenate(([0], np.cumsum(blank)))
+    signs = blanks[last + 1] == blanks[first]
+    before, after = np.maximum(first - 1, 0), np.minimum(last + 1, n - 1)
+    # Letters on their own: nothing of their text or no letter on their other side.
+    alone = (edge[before] | ~letter[before - 1]) & (edge[after + 1] | ~letter[np.minimum(after + 1, n - 1)])
+    drop = np.repeat(inside & (signs | alone), last + 1 - first)
+    keep = np.ones(n, dtype=bool)
+    keep[~letter] = ~drop
+    kept = np.concatenate(([0], np.cumsum(keep)))
+    return raw[keep], kept[offsets]
 
 
 def _symbols(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts, each followed by SPAN blanks, and the begin of each text (one more entry at the end)."""
+    """Symbols of all texts, each followed by PAD blanks, and the begin of each text (one more entry at the end)."""
     sizes = np.diff(offsets)
-    begin = np.concatenate(([0], np.cumsum(sizes + SPAN)))
+    begin = np.concatenate(([0], np.cumsum(sizes + PAD)))
     out = np.zeros(int(begin[-1]), dtype=np.uint32)
     out[np.arange(len(raw)) + np.repeat(begin[:-1] - offsets[:-1], sizes)] = _SYMBOL[raw]
     return out, begin
@@ -110,6 +123,9 @@ class Machine:
         raw, offsets = squeeze(raw, offsets)
         symbols, begin = _symbols(raw, offsets)
         score = self.windows(symbols)
+        own = np.zeros(len(symbols), dtype=bool)
+        own[np.arange(len(raw)) + np.repeat(begin[:-1] - offsets[:-1], np.diff(offsets))] = True
+        score[~own] = -np.inf  # a window that begins after a text may reach the next one
         starts = np.zeros(len(symbols), dtype=bool)
         starts[begin[:-1]] = np.diff(offsets) > 0
         after = np.flatnonzero(_STOP[raw]) + 1
@@ -194,8 +210,7 @@ def fit_windows(windows: np.ndarray, y: np.ndarray, landmarks: int = LANDMARKS,
     values, vectors = np.linalg.eigh((basis @ basis.T).astype(np.float64))
     keep = values > values.max() * 1e-6
     root = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)  # landmarks x features
-    fold = basis.T @ root  # triples x features
-    z = np.empty((len(windows), fold.shape[1] + 1), dtype=np.float32)
+    z = np.empty((len(windows), root.shape[1] + 1), dtype=np.float32)
     step = 250
     for low in range(0, len(windows), step):
         triples, weights = _vectors(windows[low : low + step])
@@ -203,25 +218,27 @@ def fit_windows(windows: np.ndarray, y: np.ndarray, landmarks: int = LANDMARKS,
         known = np.where(used[at] == triples, weights, 0.0)
         dense = np.zeros((len(triples), len(used)), dtype=np.float32)
         np.add.at(dense, (np.arange(len(triples))[:, None], at), known)
-        z[low : low + step, :-1] = dense @ fold
+        z[low : low + step, :-1] = dense @ basis.T @ root
     z[:, -1] = 1.0
     scale = float(np.sqrt(np.einsum("ij,ij->i", z[:, :-1], z[:, :-1]).mean()))
     z[:, :-1] /= scale
     share = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum()) * 100
     w = _machine(z, y.astype(float), share)
     table = np.zeros(TRIPLES, dtype=np.float32)
-    table[used] = fold @ (w[:-1] / scale)
+    table[used] = basis.T @ (root @ (w[:-1] / scale))
     table[0] = 0
     return table, float(w[-1])
 
 
 def inserted(windows: np.ndarray, seed: int) -> np.ndarray:
-    """The windows with a letter put in somewhere: what the machine has to bear."""
+    """The windows with one to GAP_SYMBOLS letters put in somewhere: what the machine has to bear."""
     draw = np.random.default_rng(seed)
-    at = draw.integers(2, WINDOW - 2, len(windows))
+    at = draw.integers(2, WINDOW - 2, len(windows))[:, None]
+    many = draw.integers(1, GAP_SYMBOLS + 1, len(windows))[:, None]
     place = np.arange(windows.shape[1])[None, :]
-    shifted = np.where(place <= at[:, None], windows, np.roll(windows, 1, axis=1))
-    return np.where(place == at[:, None], draw.integers(1, 27, len(windows))[:, None], shifted).astype(np.uint8)
+    shifted = np.take_along_axis(windows, np.where(place < at, place, np.maximum(place - many, 0)), axis=1)
+    letters = draw.integers(1, 27, windows.shape)
+    return np.where((place >= at) & (place < at + many), letters, shifted).astype(np.uint8)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -258,8 +275,10 @@ def _odds(rows: DataFrame) -> np.ndarray:
             symbols, begin = _symbols(*squeeze(raw, offsets))
             for d, y in enumerate(part.column(1).to_pylist()):
                 own = symbols[begin[d] : begin[d + 1]]
-                if len(own) > SPAN:
-                    sums[y, np.unique(np.concatenate([_triples(own, j, k) for j, k, _ in PAIRS]))] += 1
+                held = np.zeros(TRIPLES, dtype=bool)
+                for j, k, _ in PAIRS:
+                    held[_triples(own, j, k)] = True
+                sums[y] += held
         at = np.flatnonzero(sums.sum(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[0][at]), pa.array(sums[1][at])], names=["f", "a", "b"])
 
@@ -315,7 +334,7 @@ def _features(rows: DataFrame, machine: Machine) -> tuple[np.ndarray, np.ndarray
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: tuple[int, int] = MAX_DOCS) -> Machine:
     """Fit on at most ``bound`` (toxic, clean) labelled documents, whole texts; labels: id, 0 or 1.
 
-    Only windows of 16 symbols come to the driver, four of a document. Labels of
+    Only windows of WINDOW + SPAN symbols come to the driver, four of a document. Labels of
     unknown ids, null labels and other values are ignored; an id labelled both
     ways is toxic. Without documents of both classes every score is 0.
     """

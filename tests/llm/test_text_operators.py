@@ -340,6 +340,46 @@ def test_toxicity_tolerates_insertions(spark):
     assert toxicity.score(frame(spark, ODD).limit(0), machine).count() == 0
 
 
+def test_toxicity_bears_long_gaps(spark):
+    draw = random.Random(3)
+    words = "the river ran over green stones and nobody asked where it went after rain fell upon hills".split()
+    bad = ["idiot", "moron", "scumbag", "loser"]
+
+    def text(toxic, mark=lambda w: w):
+        out = draw.choices(words, k=60)
+        if toxic:
+            out[draw.randrange(60)] = mark(draw.choice(bad))
+        return " ".join(out) + "."
+
+    labels = spark.createDataFrame([(k, k % 2) for k in range(600)], "doc_id long, toxic int")
+    machine = toxicity.train(frame(spark, [(k, text(k % 2)) for k in range(600)]), labels)
+    forms = [*(gap.join for gap in ("--", "**", "...", "_-_-", " - ", " * ")), lambda w: w[:2] + "qzj" + w[2:]]
+    probes = [(1000 * f + k, text(1, form)) for f, form in enumerate(forms) for k in range(50)]
+    got = {r.doc_id: r.predicted for r in toxicity.score(frame(spark, probes), machine).collect()}
+    found = [sum(got[1000 * f + k] for k in range(50)) for f in range(len(forms))]
+    assert min(found[:-1]) >= 45 and found[-1] >= 25, found
+    clean = toxicity.score(frame(spark, [(k, text(0)) for k in range(100)]), machine)
+    assert clean.where("predicted = 1").count() <= 10
+
+
+def test_toxicity_of_a_text_is_its_own():
+    machine = toxicity.Machine(np.random.default_rng(1).standard_normal(toxicity.TRIPLES).astype(np.float32), 0.0, np.ones(4))
+    machine.weights[0] = 0
+    texts = [b"ab", b"what a day it was", b"i", b"another line. and more of it"]
+    block = machine.features(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    alone = [machine.features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in texts]
+    assert np.allclose(block, alone)
+
+
+@pytest.mark.parametrize("text, want", [
+    ("i--d--i--o--t", "idiot"), ("i**d**i**o**t", "idiot"), ("i - d - i - o - t", "idiot"), ("i d i o t", "idiot"), ("i.d-i*o.t", "idiot"),
+    ("an i - d and that -- no", "an id and that -- no"), ("-a", "-a"), ("a-", "a-"), ("--", "--"), ("ab c", "ab c"),
+])
+def test_squeeze_closes_runs(text, want):
+    raw, offsets = toxicity.squeeze(np.frombuffer(("x" + text + "-y").encode(), np.uint8), np.array([0, 1, 1 + len(text), 3 + len(text)]))
+    assert raw[offsets[1] : offsets[2]].tobytes().decode() == want
+
+
 def test_toxicity_without_labels(spark, odd):
     machine = toxicity.train(odd, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.predicted for r in toxicity.score(odd, machine).collect()} == {0}
