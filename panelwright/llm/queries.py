@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_simhash, chat, decontaminate, importance, langid, licenses, near_vectors, pieces, pii, toxicity
+from ..session import checkpointed
+from . import ball_simhash, chat, decontaminate, importance, langid, licenses, near_vectors, pieces, pii, quality_rules, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -146,3 +147,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(langid.remainder("doc_id", 5) != 0).select("doc_id", "toxic")
     found = toxicity.score(docs, toxicity.train(docs, labels))
     return found.select("doc_id", (langid.remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op11_quality_list")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The texts are read once: what follows needs their counts only.
+    stats = checkpointed(quality_rules.statistics(table(spark, sf_dir, "documents")))
+    found = quality_rules.judge(stats, quality_rules.train(stats, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
