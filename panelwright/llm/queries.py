@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from . import ball_simhash, chat, decontaminate, importance, langid, licenses, near_vectors, pieces, pii, quality_rules, toxicity
+from . import ball_simhash, chat, decontaminate, importance, langid, licenses, near_vectors, pieces, pii, quality_rules, toxicity, turn_repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -155,3 +155,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = checkpointed(quality_rules.statistics(table(spark, sf_dir, "documents")))
     found = quality_rules.judge(stats, quality_rules.train(stats, table(spark, sf_dir, "labels")))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+@query("op13_turn_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return turn_repair.report(turns, turn_repair.damaged(turns))
