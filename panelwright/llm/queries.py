@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from . import ball_simhash, chat, decontaminate, importance, langid, licenses, near_vectors, pieces, pii, quality_rules, toxicity, turn_repair
+from . import ball_simhash, chat, decontaminate, importance, langid, licenses, near_vectors, pieces, pii, quality_rules, spelling, toxicity, turn_repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -161,3 +161,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     return turn_repair.report(turns, turn_repair.damaged(turns))
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"), damage=199))
