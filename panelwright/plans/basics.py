@@ -27,6 +27,35 @@ def read_sdmx_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.read_flat_observations(spark, path, {v: k for k, v in dims.items()})
 
 
+OBS_SQL = f"WITH {sqltext.OBS} SELECT age, sex, region, time_period, obs_value FROM obs"
+OBS_IDS = {"age": "AGE", "sex": "SEX", "region": "REGION", "time_period": "TIME_PERIOD"}
+
+
+def _read_any_layout(spark: SparkSession, path: str) -> DataFrame:
+    return feeds.read_observations(spark, path, {v: k for k, v in OBS_IDS.items()})
+
+
+@query("read_sdmx_obs_full", OBS_SQL)
+def read_sdmx_obs_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "observations")
+    feeds.write_flat_observations(panels.observations(spark, sf_dir), path, OBS_IDS)
+    return _read_any_layout(spark, path)
+
+
+@query("read_sdmx_obs_series", OBS_SQL)
+def read_sdmx_obs_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "observations")
+    feeds.write_series_observations(panels.observations(spark, sf_dir), path, OBS_IDS, "time_period")
+    return _read_any_layout(spark, path)
+
+
+@query("read_sdmx_obs_compact", OBS_SQL)
+def read_sdmx_obs_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "observations")
+    feeds.write_compact_observations(panels.observations(spark, sf_dir), path, OBS_IDS)
+    return _read_any_layout(spark, path)
+
+
 @query(
     "read_panel_table",
     f"""WITH {sqltext.MODEL}
@@ -42,6 +71,37 @@ def read_panel_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_panel_table(spark, path, schema, {"measure": "outcome"}, drop=["numerator"])
 
 
+SHEET_NOTES = ["Panel of members and years", "Source: driver tables", "", "Table 1"]
+SHEET_SCHEMA = "yr int, state string, assumption string, measure double, erp_3yr double, erp_4yr double, erp_5yr double, numerator double, numerator45 double"
+
+
+@query(
+    "read_panel_range",
+    f"""WITH {sqltext.MODEL}
+    SELECT yr, state, assumption, measure AS outcome, erp_3yr, erp_4yr, erp_5yr, numerator45 FROM model_input""",
+)
+def read_panel_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text tables under four lines of notes, a file for each partition."""
+    path = fresh_path(spark, "sheets")
+    tables.write_sheets(panels.model_input(spark, sf_dir), path, SHEET_NOTES)
+    return tables.read_panel_range(spark, path, SHEET_SCHEMA, "A5:I", {"measure": "outcome"}, drop=["numerator"])
+
+
+@query(
+    "read_panel_range_bounded",
+    f"""WITH {sqltext.MODEL}
+    SELECT state, assumption, measure FROM (
+      SELECT *, row_number() OVER (ORDER BY state, yr, assumption) AS line FROM model_input)
+    WHERE line <= 55""",
+)
+def read_panel_range_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three columns and 55 rows of one sheet; the panel's rows are members x years x scenarios, few enough for a sheet."""
+    path = fresh_path(spark, "sheet")
+    sheet = panels.model_input(spark, sf_dir).repartition(1).sortWithinPartitions("state", "yr", "assumption")
+    tables.write_sheets(sheet, path, SHEET_NOTES)
+    return tables.read_panel_range(spark, path, "state string, assumption string, measure double", "B5:D60")
+
+
 @query(
     "write_panel_tables",
     f"""WITH {sqltext.MODEL}, {sqltext.SERIES}
