@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arith import percent
@@ -43,6 +43,26 @@ def numerator_denominator_ratio(panel: DataFrame, numerators: list[str]) -> Data
     )
 
 
+def stored_ratio(panel: DataFrame, numerators: list[str]) -> DataFrame:
+    """:func:`numerator_denominator_ratio` along the buckets of a panel stored by member.
+
+    A (yr, state) has one row for each series, so it is a window of its own; a
+    panel with buckets by ``state`` has them together already and nothing is
+    shuffled. A second value of a numerator stops the query.
+    """
+    here = Window.partitionBy("yr", "state")
+    cells = {n: F.when(F.col("series") == n, F.col("value")) for n in numerators}
+    spine = F.count(F.when(F.col("series") == numerators[0], F.lit(1))).over(here)
+    twice = lambda n: F.raise_error(F.lit(f"more than one value of {n}"))
+    each = [
+        F.struct(F.lit(n).alias("numerator"), F.when(F.count(c).over(here) > 1, twice(n)).otherwise(F.max(c).over(here)).alias("n"))
+        for n, c in cells.items()
+    ]
+    held = panel.withColumn("_numerators", F.when(spine > 0, F.array(*each)))
+    fanned = held.withColumn("_e", F.explode_outer("_numerators")).select(*panel.columns, "_e.numerator", "_e.n")
+    return fanned.withColumns({"percent": percent("n", "value"), "ratio": ratio_label("numerator", "series")})
+
+
 def wide_ratio(wide: DataFrame, ids: list[str], series: list[str], numerator: str) -> DataFrame:
     """One numerator column over every series column of a wide panel, in long form."""
     held = wide.withColumn("_numerator", F.col(numerator))

@@ -68,7 +68,7 @@ def numbered_by_levels(df: DataFrame, level: str, levels: list[str], *then: str,
 def selection_view(
     df: DataFrame,
     members: list[str] | None = None,
-    periods: list | None = None,
+    periods: list | DataFrame | None = None,
     period_range: tuple | None = None,
     series: list[str] | None = None,
     ratios: list[str] | None = None,
@@ -81,8 +81,10 @@ def selection_view(
     """The slice behind one table or chart of the interactive reports.
 
     Every choice is a plain filter, so all of them reach the scan of a stored
-    panel. ``scenario`` keeps the rows without scenario as well. ``names``
-    overrides the column names the filters act on.
+    panel. ``periods`` may be the first column of a table: on a panel stored by
+    period, the folders of other periods are then skipped at run time.
+    ``scenario`` keeps the rows without scenario as well. ``names`` overrides
+    the column names the filters act on.
     """
     col = {
         "member": "state",
@@ -99,7 +101,7 @@ def selection_view(
     if exclude_members is not None:
         df = df.where(~F.col(col["member"]).isin(exclude_members))
     if periods is not None:
-        df = df.where(F.col(col["period"]).isin(periods))
+        df = filter_in(df, col["period"], periods)
     if period_range is not None:
         df = df.where(F.col(col["period"]).between(*period_range))
     if series is not None:

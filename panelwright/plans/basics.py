@@ -10,7 +10,7 @@ from ..functions.rounding import round_columns
 from ..operators import joins, ratios, regression, select
 from ..session import fresh_path
 from ..sources import observations as feeds
-from ..sources import tables
+from ..sources import store, tables
 from . import panels, sqltext
 from .panels import table
 from .registry import query
@@ -120,6 +120,25 @@ def write_panel_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts
 
 
+def _published(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a set that was published twice, read through the newest manifest."""
+    folder = fresh_path(spark, "published")
+    named = {"model_input": panels.model_input(spark, sf_dir), "series": panels.series_panel(spark, sf_dir)}
+    store.publish_tables({k: df.limit(0) for k, df in named.items()}, folder)
+    store.publish_tables(named, folder, {"series": store.Layout(("series",))})
+    return store.published_tables(spark, folder)[name]
+
+
+@query("write_panel_tables_model_input", f"WITH {sqltext.MODEL} SELECT * FROM model_input")
+def write_panel_tables_model_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _published(spark, sf_dir, "model_input")
+
+
+@query("write_panel_tables_series", f'WITH {sqltext.SERIES} SELECT yr, state, series, "value" FROM series_panel')
+def write_panel_tables_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _published(spark, sf_dir, "series")
+
+
 # ---- projection and filters
 
 
@@ -233,6 +252,41 @@ def selection_view_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+STORED = store.Layout(("yr",), ("state",), 4)
+
+
+def stored_series(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The series panel and its periods as stored tables: folders by year, buckets by member."""
+    folder = fresh_path(spark, "panels")
+    panel = panels.series_panel(spark, sf_dir)
+    periods = panel.select("yr", F.when(F.col("yr") % 2 == 0, "even").otherwise("odd").alias("kind")).distinct()
+    store.publish_tables({"series": panel, "periods": periods}, folder, {"series": STORED})
+    return store.published_tables(spark, folder)
+
+
+STORED_SQL = f"""WITH {RATIOS_SQL}
+    SELECT DISTINCT yr AS "year", state, numerator, n AS num_value, series AS denominator, "value" AS denom_value, percent
+    FROM ratios WHERE state IN ('africa', 'asia', 'europe') AND percent IS NOT NULL AND """
+
+SHOWN = {"yr": "year", "state": "state", "numerator": "numerator", "n": "num_value", "series": "denominator", "value": "denom_value", "percent": "percent"}
+
+
+@query("selection_view_stored", STORED_SQL + "yr BETWEEN 1996 AND 2000")
+def selection_view_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Window and distinct along the buckets of the stored panel, from its folders 1996 to 2000."""
+    fanned = ratios.stored_ratio(stored_series(spark, sf_dir)["series"], NUMERATORS)
+    return select.selection_view(fanned, members=["africa", "asia", "europe"], period_range=(1996, 2000), columns=SHOWN)
+
+
+@query("selection_view_periods", STORED_SQL + "yr % 2 = 0")
+def selection_view_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the periods that another table names: folders are pruned at run time."""
+    found = stored_series(spark, sf_dir)
+    fanned = ratios.stored_ratio(found["series"], NUMERATORS)
+    periods = found["periods"].where("kind = 'even'").select("yr")
+    return select.selection_view(fanned, members=["africa", "asia", "europe"], periods=periods, columns=SHOWN)
+
+
 @query("distinct_values", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
 def distinct_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.distinct_values(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.rounding import round_columns
 from ..levels import REGION_LABELS
 from ..operators import adjust, cohort, enrolment, ratios, scenario
+from ..session import fresh_path
+from ..sources import store
 from . import panels, sqltext
 from .panels import HORIZON
 from .registry import query
@@ -22,6 +24,18 @@ def population_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panels.cube(spark, sf_dir)
 
 
+@query("population_cube_refresh", f'WITH {sqltext.CUBE} SELECT "year", yr, state, age, erp, cohort FROM cube_')
+def population_cube_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cube stored up to 1998 with wrong last values, then revised and taken on: the same as one built at once."""
+    obs = panels.observations(spark, sf_dir)
+    yr, path = F.substring("time_period", 1, 4).cast("int"), fresh_path(spark, "cube")
+    early = obs.where(yr <= 1998).withColumn("obs_value", F.when(yr == 1998, "-1").otherwise(F.col("obs_value")))
+    store.store_cube(cohort.population_cube(early, first_cohort=panels.FIRST_COHORT), path)
+    store.refresh_cube(spark, path, obs.where(yr.between(1998, 2000)), first_cohort=panels.FIRST_COHORT)
+    store.refresh_cube(spark, path, obs.where(yr > 2000), first_cohort=panels.FIRST_COHORT)
+    return store.stored_cube(spark, path)
+
+
 _ERP_COLUMNS = ", ".join(f"max(erp) FILTER (age = {a}) AS erp{a}" for a in range(6))
 COHORTS = f"""cohorts AS (
   SELECT cohort, state, CAST(cohort + 4 AS INTEGER) AS yr_in_erp4, {_ERP_COLUMNS}
