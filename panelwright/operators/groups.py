@@ -2,7 +2,7 @@
 
 A window partitioned by the group puts a whole group into one task. A member
 of the panel can hold a third of all rows, so nothing here does that: totals
-are pre-aggregated and joined back, row numbers come from a range sort.
+are pre-aggregated and joined back, ordered work is done in cells of the order.
 """
 
 from __future__ import annotations
@@ -12,8 +12,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
-
 
 def _same_keys(keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys])
@@ -32,25 +30,64 @@ def attach_groups(rows: DataFrame, table: DataFrame, keys: list[str], how: str =
     return rows.join(renamed, _same_keys(keys), how).select(*rows.columns, *payload)
 
 
-def number_rows(df: DataFrame, order: list, name: str = "row_no", partitions: int | None = None) -> DataFrame:
-    """Consecutive numbers 1..n over the whole table without a one-task sort.
+SAMPLED = 60
+"""Rows looked at for each cell, about."""
+
+
+def _sort_key(v) -> tuple:
+    """Python order of a value = Spark's ascending order: nulls first, texts by their bytes, NaN last."""
+    if isinstance(v, str):
+        v = v.encode()
+    return (0,) if v is None else (2,) if v != v else (1, v)
+
+
+def _literal(text: str | None, kind: str) -> str:
+    if text is None:
+        return f"CAST(NULL AS {kind})"
+    quoted = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"CAST('{quoted}' AS {kind})"
 
-    The rows are range-partitioned (``partitions``, default the session's
-    shuffle partitions) and sorted, then checkpointed so that the numbers can
-    not shift when an executor is lost. One offset per partition is joined.
+
+def with_cells(df: DataFrame, key: list[str], cells: int, name: str = "_cell") -> DataFrame:
+    """The rows with the number of their cell; cells follow each other in the ascending order of ``key``, nulls first.
+
+    Cut points come from a sample by the hash of the key, so the same rows give
+    the same cells in every job and on every retry and nothing has to be
+    written to fix them. What the driver holds is about SAMPLED keys a cell, as
+    for a range partitioning. Equal keys share a cell.
     """
-    low_bits = F.lit(2**33)
-    dealt = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
-    placed = checkpointed(
-        dealt.sortWithinPartitions(*order).withColumn("_pos", F.monotonically_increasing_id())
-    ).withColumn("_part", F.floor(F.col("_pos") / low_bits).cast("int"))
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    # One row per partition: a broadcast as small as the job's own task list.
-    return placed.join(F.broadcast(offsets), "_part").select(
-        *df.columns, (F.col("_before") + F.pmod("_pos", low_bits) + 1).alias(name)
-    )
+    kinds = [df.schema[k].dataType.simpleString() for k in key]
+    share = SAMPLED * cells / max(1, df.count())
+    picked = df.where(F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < share * (1 << 30)).groupBy(*key).count()
+    texts = [F.col(k).cast("string").alias(f"_t{i}") for i, k in enumerate(key)]
+    sample = sorted(picked.select(*key, *texts, "count").collect(), key=lambda r: [_sort_key(r[i]) for i in range(len(key))])
+    cuts, seen = [], 0
+    for r in sample:
+        if seen >= SAMPLED:
+            cuts.append(r[len(key) : 2 * len(key)])
+            seen = 0
+        seen += r["count"]
+    if not cuts:
+        return df.withColumn(name, F.lit(0))
+    point = lambda values: "named_struct(" + ", ".join(f"'f{i}', {v}" for i, v in enumerate(values)) + ")"
+    row = point([f"`{k}`" for k in key])
+    table = "array(" + ", ".join(point([_literal(t, kind) for t, kind in zip(c, kinds)]) for c in cuts) + ")"
+    steps = ", ".join(str(1 << b) for b in range(len(cuts).bit_length() - 1, -1, -1))
+    # A binary search for the number of cut points that are not above the row.
+    below = f"CASE WHEN lo + step > {len(cuts)} THEN lo WHEN element_at({table}, lo + step) <= {row} THEN lo + step ELSE lo END"
+    return df.withColumn(name, F.expr(f"aggregate(array({steps}), 0, (lo, step) -> {below})"))
+
+
+def _ordered(df: DataFrame, keys: list[str], order: list, partitions: int | None) -> tuple[DataFrame, list[str], list[str]]:
+    """The rows with their cell of keys and order; the columns to partition a window by and to order it by."""
+    sort = {f"_o{i}": F.col(o) if isinstance(o, str) else o for i, o in enumerate(order)}
+    cells = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return with_cells(df.withColumns(sort), [*keys, *sort], cells), [*keys, "_cell"], list(sort)
+
+
+def number_rows(df: DataFrame, order: list, name: str = "row_no", partitions: int | None = None) -> DataFrame:
+    """Consecutive numbers 1..n over the whole table without a one-task sort; ``order``: ascending, nulls first."""
+    return number_rows_in_groups(df, [], order, name, "_size", partitions=partitions).drop("_size")
 
 
 def number_rows_in_groups(
@@ -64,12 +101,39 @@ def number_rows_in_groups(
 ) -> DataFrame:
     """Row number in the group and size of the group (``counted``: of its rows where this is not null).
 
-    One range sort numbers the whole table; a group's rows follow each other,
-    so the number in the group is the distance from its first row.
+    Rows are numbered inside the cells of their group; exact counts of the cells
+    before (a row for each group and cell) are added. ``order``: columns,
+    ascending with nulls first. Of rows equal in keys and order any may be the
+    first. ``partitions``: number of cells, default the session's shuffle
+    partitions; a large group is dealt over many, small groups share one.
+    """
+    rows, window, sort = _ordered(df, keys, order, partitions)
+    sizes = rows.groupBy(*window).agg(F.count(F.lit(1)).alias("_rows"), F.count(F.lit(1) if counted is None else counted).alias("_counted"))
+    # Cells of a group: at most the number of cells.
+    group = Window.partitionBy(*keys)
+    before = F.sum("_rows").over(group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    table = sizes.select(*window, F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_counted").over(group).alias(size))
+    numbered = rows.withColumn("_no", F.row_number().over(Window.partitionBy(*window).orderBy(*sort)))
+    return attach_groups(numbered, table, window).select(*df.columns, (F.col("_before") + F.col("_no")).alias(name), size)
+
+
+def framed(df: DataFrame, keys: list[str], order: list, low: int, high: int, result, name: str, partitions: int | None = None) -> DataFrame:
+    """A function of the rows ``low`` .. ``high`` around each row of its group, as one window over the group would give it.
+
+    ``result`` maps a window to a column. Every cell is a window of its own; the
+    rows whose frame reaches over its ends are worked out again, from the ends
+    of all cells of the group, which are few rows.
     """
-    numbered = number_rows(df, [*keys, *order], "_global", partitions)
-    starts = numbered.groupBy(*keys).agg(
-        F.min("_global").alias("_start"), F.count(F.lit(1) if counted is None else counted).alias(size)
-    )
-    joined = attach_groups(numbered, starts, keys) if keys else numbered.join(F.broadcast(starts))
-    return joined.select(*df.columns, (F.col("_global") - F.col("_start") + 1).alias(name), size)
+    rows, window, sort = _ordered(df, keys, order, partitions)
+    inside = Window.partitionBy(*window).orderBy(*sort)
+    width = high - low
+    held = rows.withColumns({
+        name: result(inside.rowsBetween(low, high)),
+        "_no": F.row_number().over(inside),
+        "_first": F.lag(F.lit(1), -low).over(inside).isNull() if low else F.lit(False),
+        "_last": F.lead(F.lit(1), high).over(inside).isNull() if high else F.lit(False),
+        "_end": F.lag(F.lit(1), width).over(inside).isNull() | F.lead(F.lit(1), width).over(inside).isNull(),
+    })
+    across = Window.partitionBy(*keys).orderBy("_cell", "_no").rowsBetween(low, high)
+    ends = held.where("_end").withColumn(name, result(across)).where("_first OR _last")
+    return held.where("NOT (_first OR _last)").unionByName(ends).select(*df.columns, name)

@@ -62,7 +62,8 @@ def numbered_by_levels(df: DataFrame, level: str, levels: list[str], *then: str,
     from .groups import number_rows
 
     rest = [c for c in df.columns if c != level and c not in then]
-    return number_rows(df, [ordinal(level, levels).asc_nulls_last(), *then, level, *rest], name)
+    place = ordinal(level, levels)
+    return number_rows(df, [place.isNull(), place, *then, level, *rest], name)
 
 
 def selection_view(

@@ -8,10 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.arith import ratio
 from ..functions.rounding import round_half_even
 from ..functions.tails import normal_quantile
-from .groups import number_rows_in_groups
-
-BLOCK_ROWS = 200_000
-"""Rows per task of a moving mean."""
+from .groups import framed, number_rows_in_groups
 
 
 def lag_change(
@@ -73,25 +70,16 @@ def moving_mean(
     k: int = 3,
     align: str = "center",
     name: str = "adj",
-    block: int = BLOCK_ROWS,
+    cells: int | None = None,
 ) -> DataFrame:
     """Mean of k neighbouring rows; null at the ends and where a neighbour is null.
 
-    Groups are numbered by a range sort and cut into blocks of rows; each block
-    also receives the k - 1 rows around it, so the result is that of one window
-    over the group, whatever its size.
+    The result is that of one window over the group, whatever its size;
+    ``cells``: into how many parts the whole table is cut, default the
+    session's shuffle partitions.
     """
     low, high = _frame(k, align)
-    block = max(block, k)
-    numbered = number_rows_in_groups(df, keys, order, "_no", "_size")
-    home = F.floor((F.col("_no") - 1) / block)
-    # Row r is needed by the frames of rows r - high .. r - low.
-    reached = [F.floor((F.col("_no") - 1 - offset) / block) for offset in (high, low)]
-    spread = F.array_distinct(F.array(home, *reached))
-    placed = numbered.withColumn("_home", home).withColumn("_block", F.explode(spread))
-    w = Window.partitionBy(*keys, "_block").orderBy("_no").rowsBetween(low, high)
-    means = placed.withColumn(name, _full_frame_mean(value, w, k))
-    return means.where(F.col("_block") == F.col("_home")).select(*df.columns, name)
+    return framed(df, keys, list(order), low, high, lambda w: _full_frame_mean(value, w, k), name, cells)
 
 
 def centred_moving_mean(df: DataFrame, keys: list[str], order: list[str], value: str, k: int = 3, name: str = "adj") -> DataFrame:
@@ -109,9 +97,9 @@ def normal_scores(
 
     ``keys=[]`` ranks the whole frame. Equal values are told apart by
     ``tie_break``. Missing values take no rank and get no quantile; they sort
-    last, so one sort serves all rows.
+    last, so one order serves all rows.
     """
-    ranked = number_rows_in_groups(df, keys, [F.asc_nulls_last(value), *tie_break], "_i", "_n", F.col(value))
+    ranked = number_rows_in_groups(df, keys, [F.col(value).isNull(), value, *tie_break], "_i", "_n", F.col(value))
     a = F.when(F.col("_n") <= 10, 3 / 8).otherwise(0.5)
     placed = ranked.withColumn("_point", (F.col("_i") - a) / (F.col("_n") + 1 - 2 * a))
     score = F.when(F.col(value).isNotNull(), normal_quantile("_point"))

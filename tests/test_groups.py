@@ -89,15 +89,53 @@ def test_numbers_in_groups(spark, rows, partitions):
     assert rows(got) == rows(want)
 
 
+@pytest.fixture
+def small_cells(monkeypatch):
+    monkeypatch.setattr(groups, "SAMPLED", 2)
+
+
+@pytest.mark.parametrize("order", [["x", "i"], ["s", "i"], ["d", "i"], ["b", "x", "i"]])
+def test_numbers_in_many_cells_with_nulls_ties_and_hot_groups(spark, rows, small_cells, order):
+    rnd = random.Random(3)
+    data = [
+        (rnd.choice(["hot", "hot", "a", None]), i, rnd.choice([None, float("nan"), -0.5, 0.1, 1e300, rnd.random()]), rnd.choice([None, "", "it's", "a\\b", "é", "z\n"]), rnd.random() < 0.5)
+        for i in range(500)
+    ]
+    df = spark.createDataFrame(data, "g string, i int, x double, s string, b boolean").withColumn("d", F.expr("timestamp '2020-01-01 00:00:00.123456' + make_interval(0, 0, 0, i % 7)")).repartition(5)
+    cut = groups.with_cells(df, ["g", *order], 40)
+    assert cut.select("_cell").distinct().count() > 20
+    w = Window.partitionBy("g")
+    want = df.withColumns({"no": F.row_number().over(w.orderBy(*order)), "size": F.count("x").over(w)}).drop("d", "x")
+    got = groups.number_rows_in_groups(df, ["g"], order, "no", "size", F.col("x"), partitions=40).drop("d", "x")
+    assert rows(got) == rows(want)
+    numbered = groups.number_rows(df, ["g", *order], partitions=40).drop("d", "x")
+    whole = df.withColumn("row_no", F.row_number().over(Window.orderBy("g", *order))).drop("d", "x")
+    assert rows(numbered) == rows(whole)
+
+
+def test_ordered_operators_write_nothing(spark, tmp_path):
+    df = spark.range(2000).select((F.col("id") % 3).alias("g"), "id", (F.col("id") * 1.0).alias("x"))
+    before = set(groups.__dict__)
+    assert "checkpointed" not in before
+    plan = windows.centred_moving_mean(df, ["g"], ["id"], "x")._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" not in plan and "InMemory" not in plan
+
+
+def test_empty_table_has_no_numbers(spark):
+    none = spark.createDataFrame([], "g string, i int, x double")
+    assert groups.number_rows_in_groups(none, ["g"], ["x", "i"]).collect() == []
+    assert windows.centred_moving_mean(none, ["g"], ["i"], "x").collect() == []
+
+
 @pytest.mark.parametrize("align", ["center", "right"])
 @pytest.mark.parametrize("k", [3, 5])
-def test_moving_mean_in_blocks_equals_one_window(spark, rows, align, k):
+def test_moving_mean_in_cells_equals_one_window(spark, rows, small_cells, align, k):
     data = [(g, i, None if i % 13 == 5 else float(i * i % 17)) for g in "ab" for i in range(60)]
     df = spark.createDataFrame(data, "g string, i int, x double").repartition(6)
     low, high = (-(k // 2), k // 2) if align == "center" else (1 - k, 0)
     w = Window.partitionBy("g").orderBy("i").rowsBetween(low, high)
     plain = df.withColumn("adj", F.when(F.count("x").over(w) == k, F.avg("x").over(w)))
-    assert rows(windows.moving_mean(df, ["g"], ["i"], "x", k, align, block=7)) == rows(plain)
+    assert rows(windows.moving_mean(df, ["g"], ["i"], "x", k, align, cells=7)) == rows(plain)
     assert rows(windows.moving_mean(df, ["g"], ["i"], "x", k, align)) == rows(plain)
 
 
