@@ -78,11 +78,19 @@ def with_cells(df: DataFrame, key: list[str], cells: int, name: str = "_cell") -
     return df.withColumn(name, F.expr(f"aggregate(array({steps}), 0, (lo, step) -> {below})"))
 
 
-def _ordered(df: DataFrame, keys: list[str], order: list, partitions: int | None) -> tuple[DataFrame, list[str], list[str]]:
+def _own(df: DataFrame, *taken: str) -> str:
+    """A beginning that no column has, for columns of passage."""
+    own = "_"
+    while any(c.startswith(own) for c in (*df.columns, *taken)):
+        own += "_"
+    return own
+
+
+def _ordered(df: DataFrame, own: str, keys: list[str], order: list, partitions: int | None) -> tuple[DataFrame, list[str], list[str]]:
     """The rows with their cell of keys and order; the columns to partition a window by and to order it by."""
-    sort = {f"_o{i}": F.col(o) if isinstance(o, str) else o for i, o in enumerate(order)}
+    sort = {f"{own}o{i}": F.col(o) if isinstance(o, str) else o for i, o in enumerate(order)}
     cells = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return with_cells(df.withColumns(sort), [*keys, *sort], cells), [*keys, "_cell"], list(sort)
+    return with_cells(df.withColumns(sort), [*keys, *sort], cells, f"{own}cell"), [*keys, f"{own}cell"], list(sort)
 
 
 def number_rows(df: DataFrame, order: list, name: str = "row_no", partitions: int | None = None) -> DataFrame:
@@ -107,14 +115,16 @@ def number_rows_in_groups(
     first. ``partitions``: number of cells, default the session's shuffle
     partitions; a large group is dealt over many, small groups share one.
     """
-    rows, window, sort = _ordered(df, keys, order, partitions)
-    sizes = rows.groupBy(*window).agg(F.count(F.lit(1)).alias("_rows"), F.count(F.lit(1) if counted is None else counted).alias("_counted"))
+    own = _own(df, name, size)
+    rows, window, sort = _ordered(df, own, keys, order, partitions)
+    cell, rows_, before, no = (f"{own}{c}" for c in ("cell", "rows", "before", "no"))
+    sizes = rows.groupBy(*window).agg(F.count(F.lit(1)).alias(rows_), F.count(F.lit(1) if counted is None else counted).alias(size))
     # Cells of a group: at most the number of cells.
     group = Window.partitionBy(*keys)
-    before = F.sum("_rows").over(group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
-    table = sizes.select(*window, F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_counted").over(group).alias(size))
-    numbered = rows.withColumn("_no", F.row_number().over(Window.partitionBy(*window).orderBy(*sort)))
-    return attach_groups(numbered, table, window).select(*df.columns, (F.col("_before") + F.col("_no")).alias(name), size)
+    sofar = F.sum(rows_).over(group.orderBy(cell).rowsBetween(Window.unboundedPreceding, -1))
+    table = sizes.select(*window, F.coalesce(sofar, F.lit(0)).alias(before), F.sum(size).over(group).alias(size))
+    numbered = rows.withColumn(no, F.row_number().over(Window.partitionBy(*window).orderBy(*sort)))
+    return attach_groups(numbered, table, window).select(*df.columns, (F.col(before) + F.col(no)).alias(name), size)
 
 
 def framed(df: DataFrame, keys: list[str], order: list, low: int, high: int, result, name: str, partitions: int | None = None) -> DataFrame:
@@ -124,16 +134,12 @@ def framed(df: DataFrame, keys: list[str], order: list, low: int, high: int, res
     rows whose frame reaches over its ends are worked out again, from the ends
     of all cells of the group, which are few rows.
     """
-    rows, window, sort = _ordered(df, keys, order, partitions)
+    own = _own(df, name)
+    rows, window, sort = _ordered(df, own, keys, order, partitions)
+    cell, no, cut, end = (f"{own}{c}" for c in ("cell", "no", "cut", "end"))
     inside = Window.partitionBy(*window).orderBy(*sort)
-    width = high - low
-    held = rows.withColumns({
-        name: result(inside.rowsBetween(low, high)),
-        "_no": F.row_number().over(inside),
-        "_first": F.lag(F.lit(1), -low).over(inside).isNull() if low else F.lit(False),
-        "_last": F.lead(F.lit(1), high).over(inside).isNull() if high else F.lit(False),
-        "_end": F.lag(F.lit(1), width).over(inside).isNull() | F.lead(F.lit(1), width).over(inside).isNull(),
-    })
-    across = Window.partitionBy(*keys).orderBy("_cell", "_no").rowsBetween(low, high)
-    ends = held.where("_end").withColumn(name, result(across)).where("_first OR _last")
-    return held.where("NOT (_first OR _last)").unionByName(ends).select(*df.columns, name)
+    alone = lambda back, on: F.lag(F.lit(1), back).over(inside).isNull() | F.lead(F.lit(1), on).over(inside).isNull()
+    held = rows.withColumns({name: result(inside.rowsBetween(low, high)), no: F.row_number().over(inside), cut: alone(-low, high), end: alone(high - low, high - low)})
+    across = Window.partitionBy(*keys).orderBy(cell, no).rowsBetween(low, high)
+    ends = held.where(end).withColumn(name, result(across)).where(cut)
+    return held.where(~F.col(cut)).unionByName(ends).select(*df.columns, name)

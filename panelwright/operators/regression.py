@@ -13,6 +13,7 @@ group's size does not matter. All other functions read the ``fits`` array:
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,7 +28,9 @@ from ..session import hold
 from .groups import attach_groups
 
 SINGULAR = 1e-12
-"""Covariates whose scaled determinant is below this are taken as collinear."""
+"""A covariate of which the ones before it leave less than this share is aliased."""
+FLAT = 1e-14
+"""A covariate whose squares around the mean are below this share of its squares does not vary."""
 
 
 @dataclass(frozen=True)
@@ -38,28 +41,6 @@ class Model:
     covariates: tuple[str, ...]
 
 
-def _determinant(m: list[list[str]]) -> str:
-    """Determinant of a small matrix of SQL terms."""
-    if len(m) == 1:
-        return m[0][0]
-    if len(m) == 2:
-        return f"({m[0][0]} * {m[1][1]} - {m[0][1]} * {m[1][0]})"
-    signed = []
-    for j, head in enumerate(m[0]):
-        minor = [[row[c] for c in range(len(m)) if c != j] for row in m[1:]]
-        signed.append(f"{'-' if j % 2 else '+'} {head} * {_determinant(minor)}")
-    return "(" + " ".join(signed).removeprefix("+ ") + ")"
-
-
-def _cofactor(m: list[list[str]], i: int, j: int) -> str:
-    """Signed cofactor of a symmetric matrix."""
-    k = len(m)
-    if k == 1:
-        return "1D"
-    minor = [[m[r][c] for c in range(k) if c != i] for r in range(k) if r != j]
-    return f"{'-' if (i + j) % 2 else ''}{_determinant(minor)}"
-
-
 def _products(k: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(k) for j in range(i, k)]
 
@@ -89,8 +70,10 @@ def _moments(t: int, model: Model) -> list[Column]:
 def fit_linear(df: DataFrame, keys: list[str], response: str, models: list[Model]) -> DataFrame:
     """One row per group: ``fits``, an array with a struct per model, and ``n_rows``.
 
-    Each model uses the rows that are complete for its own variables. Models
-    without enough rows, or with collinear covariates, have null coefficients.
+    Each model uses the rows that are complete for its own variables. A
+    covariate that the ones before it determine in a group is aliased there: its
+    coefficient is null, the others are those of the model without it. A model
+    without rows has null coefficients.
     """
     cols = [F.count(F.lit(1)).alias("n_rows")]
     for t, model in enumerate(models):
@@ -98,52 +81,74 @@ def fit_linear(df: DataFrame, keys: list[str], response: str, models: list[Model
     return _fits_from_moments(_masked(df, keys, response, models).groupBy(*keys).agg(*cols), keys, models)
 
 
+def _swept(s: str, k: str, n: str, means: str) -> str:
+    """Cholesky steps over the flat matrix ``s`` of centred products of k covariates and the response.
+
+    Each covariate in turn is swept out of all others, unless next to nothing of
+    it is left by those before it: then it is aliased and stays out, as the
+    pivoting of least-squares programs has it. Of the covariates that are in,
+    the matrix ends up with their inverse, their slopes in the last column and
+    what they leave of the response in the last cell. Gives (a: matrix, kept).
+    """
+    row, col, size = f"(c div ({k} + 1))", f"(c % ({k} + 1))", f"({k} + 1)"
+    at = lambda i, j: f"get(acc.a, CAST({i} * {size} + {j} AS INT))"
+    pivot = at("j", "j")
+    cell = (
+        f"CASE WHEN {row} = j AND {col} = j THEN 1D / {pivot} WHEN {row} = j THEN v / {pivot} WHEN {col} = j THEN -v / {pivot} "
+        f"ELSE v - {at(row, 'j')} * {at('j', col)} / {pivot} END"
+    )
+    first = f"get({s}, CAST(j * {size} + j AS INT))"
+    step = (
+        f"CASE WHEN {first} > {FLAT}D * {n} * get({means}, j) * get({means}, j) AND {pivot} > {SINGULAR}D * {first} "
+        f"THEN named_struct('a', transform(acc.a, (v, c) -> {cell}), 'kept', concat(acc.kept, array(true))) "
+        "ELSE named_struct('a', acc.a, 'kept', concat(acc.kept, array(false))) END"
+    )
+    start = f"named_struct('a', {s}, 'kept', CAST(array() AS ARRAY<BOOLEAN>))"
+    return f"aggregate(sequence(0, {k} - 1), {start}, (acc, j) -> {step})"
+
+
 def _fits_from_moments(wide: DataFrame, keys: list[str], models: list[Model]) -> DataFrame:
-    """Solve the normal equations of every model, one step per projection."""
-    determinant, inverse, slopes, rest, quality, adjusted = {}, {}, {}, {}, {}, {}
-    for t, model in enumerate(models):
+    """Solve the normal equations of every model: one formula over arrays, whatever the number of covariates."""
+
+    def moments(t: int, model: Model) -> str:
         k = len(model.covariates)
-        s = [[f"_{t}_s{min(i, j)}_{max(i, j)}" for j in range(k)] for i in range(k)]
-        det, scale = _determinant(s), " * ".join(s[i][i] for i in range(k))
-        determinant[f"_{t}_det"] = f"CASE WHEN {scale} > 0 AND {det} > {SINGULAR}D * {scale} THEN {det} END"
-        for i, j in _products(k):
-            inverse[f"_{t}_v{i}_{j}"] = f"{_cofactor(s, i, j)} / _{t}_det"
-        v = [[f"_{t}_v{min(i, j)}_{max(i, j)}" for j in range(k)] for i in range(k)]
-        for i in range(k):
-            slopes[f"_{t}_b{i}"] = " + ".join(f"{v[i][j]} * _{t}_s{j}y" for j in range(k))
-        rest[f"_{t}_b"] = f"_{t}_my" + "".join(f" - _{t}_b{i} * _{t}_m{i}" for i in range(k))
-        left_over = f"_{t}_syy" + "".join(f" - _{t}_b{i} * _{t}_s{i}y" for i in range(k))
-        rest[f"_{t}_ssr"] = f"CASE WHEN _{t}_b0 IS NOT NULL THEN greatest({left_over}, 0D) END"
-        rest[f"_{t}_df"] = f"_{t}_n - {k + 1}"
-        quality[f"_{t}_sigma"] = f"CASE WHEN _{t}_df > 0 AND _{t}_b IS NOT NULL THEN sqrt(_{t}_ssr / _{t}_df) END"
-        quality[f"_{t}_r2"] = f"CASE WHEN _{t}_b IS NOT NULL THEN 1 - try_divide(_{t}_ssr, _{t}_syy) END"
-        adjusted[f"_{t}_adj"] = f"CASE WHEN _{t}_df > 0 THEN 1 - (1 - _{t}_r2) * (_{t}_n - 1) / _{t}_df END"
-    for step in (determinant, inverse, slopes, rest, quality, adjusted):
-        wide = wide.withColumns({name: F.expr(text) for name, text in step.items()})
-
-    def entry(t: int, model: Model) -> str:
-        k = range(len(model.covariates))
-        rows = ", ".join(f"array({', '.join(f'_{t}_v{min(i, j)}_{max(i, j)}' for j in k)})" for i in k)
-        fields = {
-            "model": f"'{model.name}'",
-            "k": str(len(k)),
-            "covariates": f"array({', '.join(repr(c) for c in model.covariates)})",
-            "n": f"_{t}_n",
-            "df_residual": f"_{t}_df",
-            "coef": f"array(_{t}_b, {', '.join(f'_{t}_b{i}' for i in k)})",
-            "means": f"array({', '.join(f'_{t}_m{i}' for i in k)})",
-            "inverse": f"array({rows})",
-            "syy": f"_{t}_syy",
-            "ssr": f"_{t}_ssr",
-            "sigma": f"_{t}_sigma",
-            "r_squared": f"_{t}_r2",
-            "adj_r_squared": f"_{t}_adj",
-            "criterion": f"_{t}_r2" if len(k) == 1 else f"_{t}_adj",
-        }
+        name = lambda i, j: f"_{t}_syy" if i == j == k else f"_{t}_s{min(i, j)}y" if max(i, j) == k else f"_{t}_s{min(i, j)}_{max(i, j)}"
+        cells = ", ".join(name(i, j) for i in range(k + 1) for j in range(k + 1))
+        return (
+            f"named_struct('model', '{model.name}', 'k', {k}, 'covariates', array({', '.join(repr(c) for c in model.covariates)}), "
+            f"'n', _{t}_n, 'my', _{t}_my, 'syy', _{t}_syy, 'means', array({', '.join(f'_{t}_m{i}' for i in range(k))}), 's', array({cells}))"
+        )
+
+    def struct(**fields: str) -> str:
         return "named_struct(" + ", ".join(f"'{n}', {c}" for n, c in fields.items()) + ")"
 
-    fits = f"array({', '.join(entry(t, m) for t, m in enumerate(models))})"
-    return wide.select(*keys, "n_rows", F.expr(fits).alias("fits"))
+    at = "get(w.a, CAST({0} * (m.k + 1) + {1} AS INT))"
+    slopes = f"transform(w.kept, (x, i) -> CASE WHEN x THEN {at.format('i', 'm.k')} END)"
+    both = f"CASE WHEN x AND z THEN {at.format('i', 'j')} ELSE 0D END"
+    solved = struct(
+        model="m.model", k="m.k", covariates="m.covariates", n="m.n", my="m.my", syy="m.syy", means="m.means", kept="w.kept",
+        rank="size(filter(w.kept, x -> x))", slopes=slopes, inverse=f"transform(w.kept, (x, i) -> transform(w.kept, (z, j) -> {both}))",
+        ssr=f"greatest({at.format('m.k', 'm.k')}, 0D)",
+    )
+    rest = struct(
+        model="m.model", k="m.k", rank="m.rank", covariates="m.covariates", aliased="filter(m.covariates, (c, i) -> NOT get(m.kept, i))", n="m.n",
+        df_residual="m.n - m.rank - 1",
+        coef="concat(array(aggregate(zip_with(m.slopes, m.means, (b, x) -> coalesce(b * x, 0D)), m.my, (a, e) -> a - e)), m.slopes)",
+        means="m.means", inverse="m.inverse", syy="m.syy", ssr="m.ssr", sigma="CASE WHEN m.n - m.rank - 1 > 0 THEN sqrt(m.ssr / (m.n - m.rank - 1)) END",
+        r_squared="1 - try_divide(m.ssr, m.syy)",
+    )
+    adjusted = "CASE WHEN m.df_residual > 0 THEN 1 - (1 - m.r_squared) * (m.n - 1) / m.df_residual END"
+    full = {c: f"m.{c}" for c in re.findall(r"'(\w+)', ", rest) if c != "k"} | {"k": "m.k"}
+    last = struct(**full, adj_r_squared=adjusted, criterion=f"CASE WHEN m.k = 1 THEN m.r_squared ELSE {adjusted} END")
+    steps = {
+        "_m": f"array({', '.join(moments(t, m) for t, m in enumerate(models))})",
+        "_s": f"transform(_m, m -> transform(array({_swept('m.s', 'm.k', 'm.n', 'm.means')}), w -> {solved})[0])",
+        "_r": f"transform(_s, m -> {rest})",
+        "fits": f"transform(_r, m -> {last})",
+    }
+    for name, text in steps.items():
+        wide = wide.withColumn(name, F.expr(text))
+    return wide.select(*keys, "n_rows", "fits")
 
 
 def _keys(fits: DataFrame) -> list[str]:
@@ -156,8 +161,14 @@ def fits_long(fits: DataFrame) -> DataFrame:
     return fits.select(*keys, F.explode("fits").alias("fit")).select(*keys, "fit.*")
 
 
+def aliased_terms(fits: DataFrame) -> DataFrame:
+    """(keys, model, term) of the covariates that the ones before them determine in their group."""
+    keys = _keys(fits)
+    return fits_long(fits).select(*keys, "model", F.explode("aliased").alias("term"))
+
+
 def tidy(fits: DataFrame) -> DataFrame:
-    """Coefficient table: term, estimate, std_error, statistic, p_value."""
+    """Coefficient table: term, estimate, std_error, statistic, p_value; nulls for an aliased term."""
     keys = _keys(fits)
     rows = fits_long(fits)
     # Variance factor of the intercept: the leverage of the origin.
@@ -167,7 +178,7 @@ def tidy(fits: DataFrame) -> DataFrame:
     )
     terms = (
         "transform(coef, (b, i) -> named_struct('term', CASE WHEN i = 0 THEN '(Intercept)' ELSE get(covariates, i - 1) END, "
-        "'estimate', b, 'std_error', sigma * sqrt(CASE WHEN i = 0 THEN origin ELSE get(get(inverse, i - 1), i - 1) END)))"
+        "'estimate', b, 'std_error', CASE WHEN b IS NOT NULL THEN sigma * sqrt(CASE WHEN i = 0 THEN origin ELSE get(get(inverse, i - 1), i - 1) END) END))"
     )
     flat = (
         rows.withColumn("origin", F.expr(origin))
@@ -182,9 +193,9 @@ def glance(fits: DataFrame) -> DataFrame:
     """Fit statistics per (group, model)."""
     keys = _keys(fits)
     rows = fits_long(fits)
-    n, k, df, ssr = F.col("n"), F.col("k"), F.col("df_residual"), F.col("ssr")
-    f = F.when(df > 0, ratio((F.col("syy") - ssr) / k, ssr / df))
-    p = f_upper_p("statistic", "k", "df_residual")
+    n, k, df, ssr = F.col("n"), F.col("rank"), F.col("df_residual"), F.col("ssr")
+    f = F.when((df > 0) & (k > 0), ratio((F.col("syy") - ssr) / F.greatest(k, F.lit(1)), ssr / df))
+    p = f_upper_p("statistic", "rank", "df_residual")
     loglik = F.when(ssr > 0, -n / 2 * (F.log(ssr / n) + math.log(2 * math.pi) + 1))
     return (
         rows.withColumn("statistic", f)
@@ -219,7 +230,7 @@ def _per_model(models: list[Model], formula) -> Column:
 
 
 def _fitted(xs: list[str]) -> str:
-    return " + ".join(["_fit.coef[0]", *[f"_fit.coef[{i}] * {x}" for i, x in enumerate(xs, start=1)]])
+    return " + ".join(["_fit.coef[0]", *[f"coalesce(_fit.coef[{i}], 0D) * {x}" for i, x in enumerate(xs, start=1)]])
 
 
 def _leverage(xs: list[str]) -> str:
@@ -281,7 +292,7 @@ def residuals(rows: DataFrame, fits: DataFrame, models: list[Model], response: s
             "hat": h,
             "std_resid": ratio(e, sigma * F.sqrt(free)),
             "loo_sigma": without,
-            "cooksd": ratio(e * e * h, (F.col("_fit.k") + 1) * sigma * sigma * free * free),
+            "cooksd": ratio(e * e * h, (F.col("_fit.rank") + 1) * sigma * sigma * free * free),
         }
     ).drop("_fit", "_lev")
 

@@ -125,6 +125,58 @@ def ols_tidy_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_columns(tidied, {"estimate": 4, "std_error": 4, "statistic": 4, "p_value": 6})
 
 
+FOUR = Model("four", ("x1", "x2", "x3", "x4"))
+
+
+def _four_sql() -> str:
+    """Least squares by orthogonal columns: each covariate less what the ones before it say of it, on the rows themselves."""
+    g = "PARTITION BY l_returnflag, l_linestatus"
+    whole = lambda term: f"sum({term}) OVER ({g})"
+    steps = [
+        f"""base AS (SELECT l_returnflag, l_linestatus, l_extendedprice AS y, l_quantity AS x1, l_discount AS x2,
+        CASE l_returnflag WHEN 'A' THEN 2 * l_quantity + 3 ELSE l_tax END AS x3, CAST(l_linenumber AS DOUBLE) AS x4 FROM lineitem),
+        z0 AS (SELECT *, {", ".join(f"x{j} - avg(x{j}) OVER ({g}) AS c{j}" for j in range(1, 5))} FROM base)"""
+    ]
+    for j in range(1, 5):
+        shares = [f"CASE WHEN {whole(f'z{i} * z{i}')} > 0 THEN {whole(f'c{j} * z{i}')} / {whole(f'z{i} * z{i}')} ELSE 0 END AS r{i}{j}" for i in range(1, j)]
+        steps.append(f"r{j} AS (SELECT *{''.join(', ' + s for s in shares)} FROM z{j - 1})")
+        steps.append(f"o{j} AS (SELECT *, c{j}{''.join(f' - r{i}{j} * z{i}' for i in range(1, j))} AS e{j} FROM r{j})")
+        steps.append(f"z{j} AS (SELECT *, CASE WHEN {whole(f'e{j} * e{j}')} > 1e-12 * {whole(f'c{j} * c{j}')} THEN e{j} ELSE 0 END AS z{j} FROM o{j})")
+    cells = ["count(*) AS n", "avg(y) AS my", "regr_syy(y, y) AS syy"]
+    cells += [f"avg(x{j}) AS m{j}, sum(z{j} * z{j}) AS s{j}, sum(y * z{j}) AS q{j}" for j in range(1, 5)]
+    cells += [f"max(r{i}{j}) AS r{i}{j}" for j in range(1, 5) for i in range(1, j)]
+    steps.append(f"sums AS (SELECT l_returnflag, l_linestatus, {', '.join(cells)} FROM z4 GROUP BY l_returnflag, l_linestatus)")
+    # w: the inverse of the unit triangle of shares, aliased columns left out.
+    for i in range(4, 0, -1):
+        terms = [f"CASE WHEN s{j} > 0 THEN -(" + " + ".join(f"r{i}{m} * CASE WHEN s{m} > 0 THEN {'1' if m == j else f'w{m}{j}'} ELSE 0 END" for m in range(i + 1, j + 1)) + f") ELSE 0 END AS w{i}{j}" for j in range(i + 1, 5)]
+        steps.append(f"w{i} AS (SELECT *{''.join(', ' + t for t in terms)} FROM {'sums' if i == 4 else f'w{i + 1}'})")
+    w = lambda i, j: "1" if i == j else f"w{i}{j}"
+    gain = lambda j: f"CASE WHEN s{j} > 0 THEN q{j} / s{j} ELSE 0 END"
+    slopes = [f"CASE WHEN s{i} > 0 THEN {' + '.join(f'{w(i, j)} * {gain(j)}' for j in range(i, 5))} END AS b{i}" for i in range(1, 5)]
+    parts = [f"CASE WHEN s{i} > 0 THEN {' + '.join(f'CASE WHEN s{j} > 0 THEN {w(i, j)} * {w(i, j)} / s{j} ELSE 0 END' for j in range(i, 5))} END AS v{i}" for i in range(1, 5)]
+    origin = [f"CASE WHEN s{j} > 0 THEN pow({' + '.join(f'CASE WHEN s{i} > 0 THEN m{i} * {w(i, j)} ELSE 0 END' for i in range(1, j + 1))}, 2) / s{j} ELSE 0 END" for j in range(1, 5)]
+    rank = " + ".join(f"CASE WHEN s{j} > 0 THEN 1 ELSE 0 END" for j in range(1, 5))
+    left = "syy" + "".join(f" - CASE WHEN s{j} > 0 THEN q{j} * q{j} / s{j} ELSE 0 END" for j in range(1, 5))
+    steps.append(f"solved AS (SELECT *, {', '.join(slopes + parts)}, 1.0 / n + {' + '.join(origin)} AS v0, sqrt(({left}) / (n - ({rank}) - 1)) AS sigma FROM w1)")
+    rows = ["SELECT l_returnflag, l_linestatus, '(Intercept)' AS term, my" + "".join(f" - coalesce(b{i} * m{i}, 0)" for i in range(1, 5)) + " AS estimate, sigma * sqrt(v0) AS se FROM solved"]
+    rows += [f"SELECT l_returnflag, l_linestatus, 'x{i}', b{i}, sigma * sqrt(v{i}) FROM solved" for i in range(1, 5)]
+    return (
+        f"WITH {', '.join(steps)}, terms AS ({' UNION ALL '.join(rows)}) SELECT l_returnflag, l_linestatus, term, "
+        f"{rnd('estimate', 3)} AS estimate, {rnd('se', 3)} AS std_error, {rnd('estimate / se', 3)} AS statistic FROM terms"
+    )
+
+
+@query("ols_tidy_aliased", _four_sql())
+def ols_tidy_aliased(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four covariates; in the groups of flag A the third one repeats the first."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        *ROW_KEYS, "l_extendedprice", F.col("l_quantity").alias("x1"), F.col("l_discount").alias("x2"),
+        F.when(F.col("l_returnflag") == "A", 2 * F.col("l_quantity") + 3).otherwise(F.col("l_tax")).alias("x3"), F.col("l_linenumber").alias("x4"),
+    )
+    tidied = regression.tidy(regression.fit_linear(rows, ROW_KEYS, "l_extendedprice", [FOUR]))
+    return round_columns(tidied.select(*ROW_KEYS, "term", "estimate", "std_error", "statistic"), {"estimate": 3, "std_error": 3, "statistic": 3})
+
+
 GLANCE_DIGITS = {
     "r_squared": 6,
     "adj_r_squared": 6,

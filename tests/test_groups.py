@@ -121,6 +121,15 @@ def test_ordered_operators_write_nothing(spark, tmp_path):
     assert "Scan ExistingRDD" not in plan and "InMemory" not in plan
 
 
+def test_columns_of_any_name_pass_through(spark, rows, small_cells):
+    names = ["_cell", "_no", "_first", "_last", "__cut", "_o0", "_size"]
+    data = [("a", i, float(i), *range(len(names))) for i in range(40)]
+    df = spark.createDataFrame(data, ["g", "i", "x", *names]).repartition(4)
+    w = Window.partitionBy("g").orderBy("i")
+    assert rows(windows.right_moving_mean(df, ["g"], ["i"], "x", 2)) == rows(df.withColumn("adj", F.when(F.col("i") > 0, F.avg("x").over(w.rowsBetween(-1, 0)))))
+    assert rows(groups.number_rows_in_groups(df, ["g"], ["i"], "no", "n")) == rows(df.withColumns({"no": F.row_number().over(w), "n": F.lit(40)}))
+
+
 def test_empty_table_has_no_numbers(spark):
     none = spark.createDataFrame([], "g string, i int, x double")
     assert groups.number_rows_in_groups(none, ["g"], ["x", "i"]).collect() == []

@@ -82,9 +82,12 @@ def test_slope_of_one_covariate_has_the_p_value_of_the_correlation(df, fits):
 def test_too_few_rows_and_flat_covariates(fits):
     by = {(r.g, r.model): r for r in reg.glance(fits).collect()}
     assert by["few", "x1"].r_squared == 1.0 and by["few", "x1"].sigma is None
-    assert by["few", "both"].r_squared is None
-    assert by["flat", "x1"].r_squared is None and by["flat", "x1"].deviance is None
-    assert {t.estimate for t in reg.tidy(fits).where("g = 'flat'").collect()} == {None}
+    # Two rows bear one covariate; the second is aliased.
+    assert by["few", "both"].r_squared == 1.0 and by["few", "both"].sigma is None
+    # A covariate that does not vary is aliased and explains nothing.
+    assert by["flat", "x1"].r_squared == 0.0 and by["flat", "x1"].df == 0
+    flat = {t.term: t.estimate for t in reg.tidy(fits).where("g = 'flat' and model = 'x1'").collect()}
+    assert flat == {"(Intercept)": 2.5, "x1": None}
 
 
 def test_diagnostics(data, df, fits):
@@ -122,8 +125,8 @@ def test_best_model_ties_and_gaps(spark, fits):
     by = {(r.g, r.model): r.criterion for r in reg.glance(fits).collect()}
     for g in ("a", "b"):
         assert by[g, got[g]] == max(by[g, m.name] for m in MODELS)
-    # A model without criterion leaves its group without a best one.
-    assert set(got) == {"a", "b"}
+    # A model without criterion ("few" has no adjusted one) leaves its group without a best one.
+    assert set(got) == {"a", "b", "flat"}
     twice = spark.createDataFrame([("t", float(i), float(i), float(i * i)) for i in range(6)], "g string, x1 double, x2 double, y double")
     ties = reg.best_fits(reg.fit_linear(twice, ["g"], "y", MODELS[:2]))
     assert {r.model for r in reg.fits_long(ties).collect()} == {"x1", "x2"}
@@ -176,3 +179,56 @@ def test_folds_against_least_squares(data, df):
         assert got[f].rmse == pytest.approx(math.sqrt((e**2).mean()), rel=1e-7)
         assert got[f].mae == pytest.approx(abs(e).mean(), rel=1e-7)
         assert got[f].r_squared == pytest.approx(np.corrcoef(p, y[fold == f])[0, 1] ** 2, rel=1e-7)
+
+
+def plain_least_squares(y, columns):
+    """Columns taken in order, one that the ones before it determine left out; (kept, coefficients, std errors, sigma)."""
+    kept, x = [], np.ones((len(y), 1))
+    for j, c in enumerate(columns):
+        rest = c - x @ np.linalg.lstsq(x, c, rcond=None)[0]
+        if (rest**2).sum() > max(1e-12 * ((c - c.mean()) ** 2).sum(), 1e-14 * (c**2).sum()):
+            kept.append(j)
+            x = np.column_stack([x, c])
+    b = np.linalg.lstsq(x, y, rcond=None)[0]
+    free = len(y) - x.shape[1]
+    sigma = math.sqrt(((y - x @ b) ** 2).sum() / free) if free > 0 else None
+    errors = sigma * np.sqrt(np.diag(np.linalg.inv(x.T @ x))) if sigma else None
+    return kept, b, errors, sigma
+
+
+def test_aliased_terms_and_four_covariates_agree_with_a_plain_solver(spark):
+    draw = np.random.default_rng(5)
+    cases = {}
+    for name in ("full", "sum", "twice", "constant", "short"):
+        n = 4 if name == "short" else 60
+        x = draw.normal(100, 20, (n, 4)) * np.array([1, 50, 0.01, 3])
+        if name == "sum":
+            x[:, 2] = 2 * x[:, 0] - 0.1 * x[:, 1] + 7
+        if name == "twice":
+            x[:, 1], x[:, 3] = x[:, 0] / 3, 1000 - x[:, 2]
+        if name == "constant":
+            x[:, 0] = 0.1
+        cases[name] = x, x @ np.array([3, 0.2, 400, -1]) + draw.normal(0, 9, n)
+    data = [(g, *map(float, x), float(y)) for g, (xs, ys) in cases.items() for x, y in zip(xs, ys)]
+    df = spark.createDataFrame(data, "g string, x1 double, x2 double, x3 double, x4 double, y double").repartition(6)
+    models = [reg.Model("four", ("x1", "x2", "x3", "x4")), reg.Model("one", ("x1",))]
+    fits = reg.fit_linear(df, ["g"], "y", models)
+    tidied = {(r.g, r.term): r for r in reg.tidy(fits).where("model = 'four'").collect()}
+    glanced = {r.g: r for r in reg.glance(fits).where("model = 'four'").collect()}
+    out = {}
+    for g, (xs, ys) in cases.items():
+        kept, b, errors, sigma = plain_least_squares(ys, list(xs.T))
+        out[g] = {f"x{j + 1}" for j in range(4)} - {f"x{j + 1}" for j in kept}
+        for place, term in enumerate(["(Intercept)", *[f"x{j + 1}" for j in kept]]):
+            r = tidied[g, term]
+            assert r.estimate == pytest.approx(b[place], rel=1e-6, abs=1e-5), (g, term)
+            assert (r.std_error is None) if errors is None else r.std_error == pytest.approx(errors[place], rel=1e-6)
+        for term in out[g]:
+            assert tidied[g, term][3:] == (None, None, None, None)
+        assert (glanced[g].df, glanced[g].df_residual) == (len(kept), len(ys) - len(kept) - 1)
+        fitted = b[0] + xs[:, kept] @ b[1:]
+        got = [r.fitted for r in reg.augment(df.where(F.col("g") == g), fits, models).where("model = 'four'").orderBy("x2", "x1").collect()]
+        assert got == pytest.approx(fitted[np.lexsort((xs[:, 0], xs[:, 1]))].tolist(), rel=1e-7)
+    assert out == {"full": set(), "sum": {"x3"}, "twice": {"x2", "x4"}, "constant": {"x1"}, "short": {"x4"}}
+    named = {(r.g, r.term) for r in reg.aliased_terms(fits).where("model = 'four'").collect()}
+    assert named == {(g, t) for g, terms in out.items() for t in terms}
