@@ -87,7 +87,7 @@ def log_ratios(docs: DataFrame, ratio: np.ndarray, id_col: str, text_col: str) -
         for part, raw, offsets in text_blocks(batches, "t"):
             found, owner = _buckets(raw, offsets, len(shared.value))
             n = len(offsets) - 1
-            total = np.bincount(owner, shared.value[found], n)
+            total = np.bincount(owner, shared.value[found], n).astype(np.float64)  # whole numbers where no text has a word
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total), pa.array(np.bincount(owner, minlength=n))], names=["id", "log_weight", "n_grams"])
 
     kind = docs.schema[id_col].dataType.simpleString()

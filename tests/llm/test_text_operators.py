@@ -383,3 +383,9 @@ def test_squeeze_closes_runs(text, want):
 def test_toxicity_without_labels(spark, odd):
     machine = toxicity.train(odd, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.predicted for r in toxicity.score(odd, machine).collect()} == {0}
+
+
+def test_resampling_of_blocks_without_words(spark):
+    docs = frame(spark, [(k, ("", None, " \n")[k % 3]) for k in range(5)]).coalesce(1)
+    got = importance.resample(docs, frame(spark, [(1,)], "doc_id long"), share=0.4).collect()
+    assert [r.log_weight for r in got] == [0.0] * 5 and sum(r.selected for r in got) == 2
