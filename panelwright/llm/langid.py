@@ -106,11 +106,16 @@ def has_letter(text: Column) -> Column:
 
 
 def _sampled(rows: DataFrame, per_language: int) -> DataFrame:
-    """Rows of a bounded number of each language, picked by a hash of the id: the same rows on every run."""
-    sizes = small(checkpointed(rows.groupBy("lang").agg(F.count("*").alias("n"))))
+    """Rows of a bounded number of each language, picked by a hash of id and text: the same rows on every run.
+
+    The row of the lowest hash is always in, so no language is lost; of rows
+    equal in id and text one is.
+    """
+    hashed = rows.withColumn("_pick", F.pmod(F.xxhash64("id", "t", F.lit("train")), F.lit(1 << 40)))
+    sizes = hashed.groupBy("lang").agg(F.count("*").alias("n"), F.min("_pick").alias("_least"))
     share = F.least(F.lit(1.0), per_language / F.col("n"))
-    picked = F.pmod(F.xxhash64("id", F.lit("train")), F.lit(1_000_000)) < share * 1_000_000
-    return rows.join(sizes, "lang").where(picked)
+    picked = (F.col("_pick") < share * (1 << 40)) | (F.col("_pick") == F.col("_least"))
+    return hashed.join(small(checkpointed(sizes)), "lang").where(picked).dropDuplicates(["lang", "id", "t"])
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -122,7 +127,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     row gives a coder without languages, which answers ``und`` to everything.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("lang"))
-    rows = _sampled(rows.where(F.col("lang").isNotNull()), per_language).where(has_letter(F.col("t"))).select("lang", "t")
+    rows = _sampled(rows.where(F.col("lang").isNotNull() & has_letter(F.col("t"))), per_language).select("lang", "t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}

@@ -389,3 +389,14 @@ def test_resampling_of_blocks_without_words(spark):
     docs = frame(spark, [(k, ("", None, " \n")[k % 3]) for k in range(5)]).coalesce(1)
     got = importance.resample(docs, frame(spark, [(1,)], "doc_id long"), share=0.4).collect()
     assert [r.log_weight for r in got] == [0.0] * 5 and sum(r.selected for r in got) == 2
+
+
+def test_no_language_is_lost_when_ids_are_null(spark):
+    draw = random.Random(4)
+    english, french = "the river ran over green stones".split(), "la rivière coulait sur des pierres vertes".split()
+    rows = [(None, " ".join(draw.choices(words, k=12)), lang) for words, lang in ((english, "en"), (french, "fr")) for _ in range(400)]
+    rows += [(None, "der gleiche Satz steht überall", "de")] * 300
+    coder = langid.train(frame(spark, rows, "doc_id long, text string, lang string").repartition(5), per_language=100)
+    assert coder.languages == ["de", "en", "fr"]
+    probe = frame(spark, [(1, "green stones ran over the river"), (2, "des pierres vertes sur la rivière")])
+    assert {r.doc_id: r.lang_pred for r in langid.predict(probe, coder).collect()} == {1: "en", 2: "fr"}
