@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -307,12 +308,16 @@ def _strongest(rows: DataFrame, machine: Machine, each: int = 3) -> tuple[np.nda
             first = np.flatnonzero(np.append(True, text[order][1:] != text[order][:-1])) if len(order) else order
             rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
             top = order[rank < each]
-            at = np.concatenate((place[top], place[order[first]] // 2))
+            # Somewhere in the text itself, told by its own bytes.
+            tight, cut = squeeze(raw, offsets)
+            begin = np.concatenate(([0], np.cumsum(np.diff(cut) + PAD)))
+            drawn = [begin[k] + crc32(tight[cut[k] : cut[k + 1]].tobytes()) % (cut[k + 1] - cut[k]) for k in text[order[first]]]
+            at = np.concatenate((place[top], np.array(drawn, dtype=np.int64)))
             ranks = np.concatenate((rank[rank < each], np.full(len(first), -1)))
             labels = np.concatenate((y[text[top]], y[text[order[first]]]))
             scores = np.concatenate((best[top], np.full(len(first), -1.0)))
-            cut = [symbols[a : a + WINDOW + SPAN].tobytes() for a in at]
-            yield pa.RecordBatch.from_arrays([pa.array(cut, pa.binary()), pa.array(labels.astype(np.int32)), pa.array(scores), pa.array(ranks.astype(np.int32))], names=["w", "y", "s", "r"])
+            taken = [symbols[a : a + WINDOW + SPAN].tobytes() for a in at]
+            yield pa.RecordBatch.from_arrays([pa.array(taken, pa.binary()), pa.array(labels.astype(np.int32)), pa.array(scores), pa.array(ranks.astype(np.int32))], names=["w", "y", "s", "r"])
 
     found = rows.mapInArrow(task, "w binary, y int, s double, r int").toPandas()
     windows = np.frombuffer(b"".join(found["w"]), np.uint8).reshape(-1, WINDOW + SPAN)

@@ -400,3 +400,15 @@ def test_no_language_is_lost_when_ids_are_null(spark):
     assert coder.languages == ["de", "en", "fr"]
     probe = frame(spark, [(1, "green stones ran over the river"), (2, "des pierres vertes sur la rivière")])
     assert {r.doc_id: r.lang_pred for r in langid.predict(probe, coder).collect()} == {1: "en", 2: "fr"}
+
+
+def test_windows_of_a_text_are_taken_inside_it(spark):
+    """Each text uses letters of its own, so a window from another one would show."""
+    texts = [(chr(97 + k) * 3 + " ") * (5 + 40 * (k % 3)) + "." for k in range(9)]
+    rows = spark.createDataFrame([(t, k % 2) for k, t in enumerate(texts)], "t string, y int").coalesce(1)
+    machine = toxicity.Machine(np.random.default_rng(2).standard_normal(toxicity.TRIPLES).astype(np.float32), 0.0, np.ones(4))
+    windows, y, _, rank = toxicity._strongest(rows, machine)
+    anywhere = windows[rank == -1]
+    assert len(anywhere) == len(texts)
+    assert all(set(w[w > 0].tolist()) <= {k + 1} for k, w in enumerate(anywhere)) and (anywhere > 0).any(axis=1).sum() >= 7
+    assert y[rank == -1].tolist() == [k % 2 for k in range(len(texts))]
