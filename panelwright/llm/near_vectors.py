@@ -111,12 +111,12 @@ def _roots(a: np.ndarray, b: np.ndarray, count: int) -> np.ndarray:
         root = new
 
 
-def _valid(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """Labelled rows whose vector has finite, non-null components that are not all zero."""
+def _checked(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
+    """(id, v, label, fine); fine: labelled, with an id, and a vector of finite, non-null components that are not all zero."""
     v = F.col("v")
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    return rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(fine, F.lit(False)))
+    whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
+    return rows.withColumn("fine", F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(whole, F.lit(False)))
 
 
 def _met(rows: DataFrame, plan: Plan, cosine: float, count: int) -> DataFrame:
@@ -155,25 +155,31 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     Vectors link when their labels are equal and their cosine is at least
     ``cosine``. Rows with null id or label, and vectors that are null, empty,
     zero or hold null or non-finite components, link with nothing: no links,
-    their own component. Equal vectors are one row until the end. Vectors of
-    different lengths link with nothing. A repeated id gives a row each.
+    their own component. Equal vectors of a label are one class until the end;
+    classes, not ids, are linked, so rows that share an id stand each for their
+    own label and vector. Vectors of different lengths link with nothing.
+    component_id is the smallest id of the component; equal ids in it are all
+    kept or none. An empty table gives no rows, other columns are ignored.
 
     The work of a label grows with the pairs whose first projections are close:
     collision counting prunes verification, not the count itself.
     """
     plan = calibrate(cosine, count)
-    valid = _valid(vectors, id_col, vector_col, label_col)
+    rows = _checked(vectors, id_col, vector_col, label_col)
+    valid = rows.where("fine").drop("fine")
     # Equal vectors: 128 bits of hash stand for the vector.
     keyed = valid.withColumn("key", F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(7), "v").alias("b"), F.size("v").alias("dims")))
-    reps = checkpointed(keyed.groupBy("label", "key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")))
+    classes = keyed.groupBy("label", "key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    # The checkpoint fixes the number that each class gets.
+    reps = checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))
 
-    placed = reps.select(F.col("key.dims").alias("dims"), "label", F.col("rep").alias("id"), "copies", "v", _first_projection(F.col("v")).alias("first"))
+    placed = reps.select(F.col("key.dims").alias("dims"), "label", F.col("node").alias("id"), "copies", "v", _first_projection(F.col("v")).alias("first"))
     placed = placed.withColumn("cell", F.floor(F.col("first") / plan.first))
     sizes = checkpointed(placed.groupBy("dims", "label", "cell").agg(F.ceil(F.count("*") / block_rows).alias("blocks")))
     after = sizes.select("dims", "label", (F.col("cell") - 1).alias("cell"), F.col("blocks").alias("next_blocks"))
     before = sizes.select("dims", "label", (F.col("cell") + 1).alias("cell"), F.col("blocks").alias("prev_blocks"))
     around = sizes.join(after, ["dims", "label", "cell"], "left").join(before, ["dims", "label", "cell"], "left")
-    rows = placed.join(around, ["dims", "label", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    spread = placed.join(around, ["dims", "label", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     name = lambda cell, block: F.struct(cell.alias("cell"), block.alias("block"))
     me, cell = F.col("block"), F.col("cell")
     up_to = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
@@ -183,18 +189,19 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         F.transform(up_to(F.coalesce("next_blocks", F.lit(0))), lambda o: F.struct(name(cell, me).alias("one"), name(cell + 1, o).alias("two"), F.lit(0).alias("side"))),
         F.transform(up_to(F.coalesce("prev_blocks", F.lit(0))), lambda o: F.struct(name(cell - 1, o).alias("one"), name(cell, me).alias("two"), F.lit(1).alias("side"))),
     )
-    dealt = rows.select("dims", "label", "id", "copies", "v", "first", F.inline(meets))
+    dealt = spread.select("dims", "label", "id", "copies", "v", "first", F.inline(meets))
     met = checkpointed(_met(dealt, plan, cosine, count))
 
     parts = components(met.select(F.col("id").alias("a"), F.col("root").alias("b")))
     links = met.groupBy("id").agg(F.sum("links").alias("others"))
-    classes = reps.select("label", "key", "rep", "copies").join(links, F.col("rep") == F.col("id"), "left").drop("id")
-    classes = classes.join(parts, F.col("rep") == F.col("node"), "left").select(
-        "label", "key", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")
+    linked = reps.select("label", "key", "rep", "copies", F.col("node").alias("me")).join(links, F.col("me") == F.col("id"), "left").drop("id")
+    linked = linked.join(parts, F.col("me") == F.col("node"), "left").select(
+        "label", "key", "rep", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "me").alias("root")
     )
-    found = keyed.select("id", "label", "key").join(classes, ["label", "key"]).select("id", "n_links", "component")
-    lone = vectors.select(F.col(id_col).alias("id")).join(valid.select("id").distinct(), "id", "left_anti")
-    lone = lone.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
+    linked = checkpointed(linked)
+    lowest = linked.groupBy("root").agg(F.min("rep").alias("component"))
+    found = keyed.select("id", "label", "key").join(linked.join(lowest, "root").drop("root", "rep"), ["label", "key"]).select("id", "n_links", "component")
+    lone = rows.where("NOT fine").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     return found.union(lone).select(
-        F.col("id").alias(id_col), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept")
+        F.col("id").alias(id_col), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept")
     )

@@ -176,3 +176,24 @@ def test_pipeline_decides_per_row(spark):
 def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, str(TABLES)).count() > 0
     assert langid.remainder and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_repeated_ids_stand_each_for_their_own_row(spark):
+    """Ids shared across labels, vectors and validity, against brute force by row."""
+    draw = np.random.default_rng(3)
+    centres = draw.standard_normal((6, 8))
+    rows = [(int(draw.integers(0, 12)), (centres[k % 6] + draw.standard_normal(8) * 0.05).tolist(), int(draw.integers(0, 3))) for k in range(60)]
+    rows += [(5, None, 0), (5, None, 0), (1, [0.0] * 8, 1), (None, rows[0][1], rows[0][2]), (3, rows[0][1], None), rows[0], rows[0]]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    fine = [k for k, (i, v, a) in enumerate(rows) if i is not None and a is not None and good(v)]
+    unit = {k: np.array(rows[k][1]) / np.linalg.norm(rows[k][1]) for k in fine}
+    links = [(j, k) for j in fine for k in fine if j < k and rows[j][2] == rows[k][2] and float(unit[j] @ unit[k]) >= 0.93]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for j, k in links:
+            root[j] = root[k] = min(root[j], root[k])
+    low = {r: min((rows[k][0] for k in range(len(rows)) if root[k] == r and rows[k][0] is not None), default=None) for r in set(root)}
+    want = sorted((i is None, i or 0, sum(k in p for p in links), low[root[k]] is None, low[root[k]] or 0, i == low[root[k]]) for k, (i, _, _) in enumerate(rows))
+    got = near_vectors.near_vectors(table, block_rows=8).collect()
+    assert sorted((r.vec_id is None, r.vec_id or 0, r.n_links, r.component_id is None, r.component_id or 0, r.kept) for r in got) == want
+    assert len(links) > 40
