@@ -1,4 +1,4 @@
-"""The three batches end to end: input tables -> named result tables.
+"""The batches end to end: input tables -> named result tables.
 
 Each batch holds the panels that several steps read, so the observations and
 counts are scanned once. Write the results with ``write_panel_tables``.
@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.arith import percent
 from ..functions.rounding import round_half_even
 from ..levels import AGE_STEPS, NO_SCENARIO, REGION_LABELS
-from ..operators import adjust, aggregates, cohort, enrolment, ratios, regression, scenario, windows
+from ..operators import adjust, aggregates, cohort, enrolment, ratios, regression, scenario, select, windows
 from ..operators.joins import left_join
 from ..operators.regression import Model
-from ..operators.reshape import clone_member, pivot_longer
+from ..operators.reshape import clone_member, melt_cast, pivot_longer
 from ..operators.scenario import Horizon
 from ..session import checkpointed
 
@@ -180,3 +180,69 @@ def report_batch(
         "series": ratios.stacked_ratios(rounded, numerators),
         "ranges": scenario.member_sum_projection(ranged, total_label),
     }
+
+
+def denominator_batch(
+    assembled: DataFrame,
+    obs: DataFrame,
+    overseas: DataFrame,
+    interstate: DataFrame,
+    members: dict[str, str],
+    items: dict[str, str],
+    school: str,
+    numerator: str,
+    regions: dict[str, str] = REGION_LABELS,
+    age: int = 5,
+    sex: str = "3",
+    quarter: str = "Q2",
+    max_age: int = 9,
+) -> dict[str, DataFrame]:
+    """Assembled sheet, population and migration feeds -> school series less the migration of their age, and ratios to it.
+
+    assembled: (yr, data_item, a column for each member). ``members``: column ->
+    member, ``items``: data item -> column; ``school`` and ``numerator``: two of
+    these columns. Migration of an age band is split over single years by
+    population; what came in the year before is taken out of the school series.
+    """
+    wide = melt_cast(assembled, ["yr"], members, "state", "data_item", items)
+    kept = obs.where((F.col("sex") == sex) & (F.substring("time_period", 6, 2) == quarter)).select(
+        F.substring("time_period", 1, 4).try_cast("int").alias("yr"), F.col("region").alias("state_code"),
+        F.col("age").try_cast("int").alias("age"), F.col("obs_value").try_cast("double").alias("erp_sya"),
+    )
+    migration = adjust.migration_merge(overseas, interstate)
+    apportioned = checkpointed(adjust.apportion_by_share(kept.where(F.col("age") <= max_age), migration))
+    named = wide.withColumnRenamed(school, "first_yr_sch")
+    revised = checkpointed(adjust.revise_denominator(named, apportioned, regions, age).withColumnsRenamed({"first_yr_sch": school, "first_yr_sch_revised": f"{school}_revised"}))
+    series = [*items.values(), f"{school}_revised"]
+    typed = revised.select("yr", "state", *[F.col(c).cast("double").alias(c) for c in series])
+    return {
+        "migration": migration,
+        "apportioned": apportioned,
+        "revised": revised,
+        "ratios": ratios.wide_ratio(typed, ["yr", "state"], series, numerator),
+    }
+
+
+def ratio_report(assembled: DataFrame, members: dict[str, str], numerators: list[str]) -> dict[str, DataFrame]:
+    """Assembled sheet (yr, data_item, a column for each member) -> rounded series, and every numerator over every series."""
+    tall = pivot_longer(assembled.withColumnRenamed("data_item", "series"), ["yr", "series"], members, "state", "value")
+    series = checkpointed(tall.select("yr", "state", "series", round_half_even("value", 0).alias("value")))
+    return {"series": series, "ratios": ratios.numerator_denominator_ratio(series, numerators)}
+
+
+def report_slices(
+    stacked: DataFrame, members: list[str], periods: list[int], series: list[str], shown: list[str]
+) -> dict[str, DataFrame]:
+    """What the report shows of :func:`ratio_report` ratios for a choice: two chart frames, two tables without gaps.
+
+    ``series``: the chosen series, ``shown``: the chosen ratios.
+    """
+    chosen = stacked.where(F.col("state").isin(members) & F.col("yr").isin(periods))
+    counts = {"yr": "yr", "state": "state", "series": "series", "value": "value"}
+    cells = {"yr": "yr", "state": "state", "numerator": "numerator", "n": "num_value", "series": "denominator", "value": "denom_value", "percent": "percent"}
+    return {
+        "count_chart": chosen.where(F.col("series").isin(series)),
+        "ratio_chart": chosen.where(F.col("ratio").isin(shown)),
+        "count_table": select.selection_view(chosen, series=series, columns=counts),
+        "ratio_table": select.selection_view(chosen, ratios=shown, columns=cells, distinct=False),
+    }
