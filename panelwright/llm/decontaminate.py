@@ -8,13 +8,18 @@ weighted similarity of its shingles (each weighs as often as it occurs).
 
 Only windows that can pass are made. A window at or above the threshold shares
 shingles with its item, and sliding it until it begins or ends with a shared
-one does not lower the overlap: so windows begin, or end, where a document has
-a shingle of an item of that length. Nothing that passes is lost by this.
+one does not lower the overlap: so the windows of an item begin, or end, where
+a document has one of its shingles. Nothing that passes is lost by this.
+
+No window is written out. Fingerprints come from running bit counts along a
+document, taken at the begin and the end of each window; overlaps from running
+sums of what each shingle adds to the windows that hold it. Both grow with the
+length of a document, not with windows times length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
@@ -42,23 +47,66 @@ def shingle_hashes(text: Column, words: int = SHINGLE_WORDS) -> Column:
     return F.get(F.transform(F.array(tokens), of), 0)
 
 
-def _fingerprint(hashes: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, fp, n): SimHash of the ``h`` of each key: a bit is one if set in over half of them.
+LANES = (1 << 32) + 1
 
-    Four 16-bit counters share a long, 16 sums instead of 64; a window holds
-    fewer than 32,768 shingles.
-    """
-    lanes = 0x0001000100010001
-    sums = [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(lanes))).alias(f"s{b}") for b in range(16)]
-    counted = hashes.groupBy(*keys).agg(F.count("*").alias("n"), *sums)
+
+def _bit_counts(h: Column) -> list[Column]:
+    """Two counters to a long, 32 longs for the 64 bits of a hash: ``s0`` .. ``s31``, for sums of fewer than 2^31 hashes."""
+    return [F.shiftrightunsigned(h, b).bitwiseAND(F.lit(LANES)).alias(f"s{b}") for b in range(32)]
+
+
+SUMS = [f"s{b}" for b in range(32)]
+
+
+def _simhash(counts: list[Column], n: Column) -> Column:
+    """A bit is one if set in over half of n hashes."""
     fp = F.lit(0).cast("long")
-    for b in range(16):
-        for lane in range(4):
-            count = F.shiftrightunsigned(f"s{b}", 16 * lane).bitwiseAND(F.lit(0xFFFF))
-            at = 16 * lane + b
+    for b in range(32):
+        for lane in (0, 1):
+            count = F.shiftrightunsigned(counts[b], 32 * lane).bitwiseAND(F.lit(0xFFFFFFFF))
+            at = 32 * lane + b
             bit = F.lit((1 << at) - (1 << 64) if at == 63 else 1 << at).cast("long")
-            fp = fp.bitwiseOR(F.when(2 * count > F.col("n"), bit).otherwise(F.lit(0).cast("long")))
-    return counted.select(*keys, fp.alias("fp"), "n")
+            fp = fp.bitwiseOR(F.when(2 * count > n, bit).otherwise(F.lit(0).cast("long")))
+    return fp
+
+
+def _window_prints(bodies: DataFrame, windows: DataFrame) -> DataFrame:
+    """``windows`` (key, start, stop, ..) with ``fp``, the SimHash of the shingles from start to before stop."""
+    ends = windows.select("key", F.explode(F.array("start", "stop")).alias("at")).distinct()
+    marks = ends.select("key", "at", F.lit(True).alias("mark"), *[F.lit(0).cast("long").alias(s) for s in SUMS])
+    needed = bodies.join(ends.select("key").distinct(), "key", "left_semi").select("key", F.posexplode("g").alias("pos", "h"))
+    steps = needed.select("key", (F.col("pos") + 1).alias("at"), F.lit(False).alias("mark"), *_bit_counts(F.col("h")))
+    before = Window.partitionBy("key").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = steps.unionByName(marks).select("key", "at", "mark", *[F.sum(s).over(before).alias(s) for s in SUMS])
+    sums = sums.where("mark").select("key", "at", F.array(*SUMS).alias("sums"))
+    low = sums.select("key", F.col("at").alias("start"), F.col("sums").alias("low"))
+    high = sums.select("key", F.col("at").alias("stop"), F.col("sums").alias("high"))
+    met = windows.join(low, ["key", "start"]).join(high, ["key", "stop"])
+    counts = [F.get("high", F.lit(b)) - F.get("low", F.lit(b)) for b in range(32)]
+    return met.select(*windows.columns, _simhash(counts, F.col("stop") - F.col("start")).alias("fp"))
+
+
+def _overlaps(hits: DataFrame, windows: DataFrame) -> DataFrame:
+    """``windows`` (key, item_id, start) with ``common``, the size of the multiset intersection of window and item.
+
+    hits: (key, item_id, len, h, times, pos), the places where a document has a
+    shingle that its item holds ``times`` times. A place counts in the windows
+    that hold it unless they hold ``times`` earlier ones: these are the windows
+    from behind that earlier place, or a window's length before it, up to it.
+    """
+    places = hits.groupBy("key", "item_id", "len", "h", "times").agg(F.sort_array(F.collect_list("pos")).alias("ps"))
+    spans = F.transform("ps", lambda p, i: F.struct(
+        F.greatest(F.lit(0), p - F.col("len") + 1, F.when(i >= F.col("times"), F.get("ps", (i - F.col("times")).cast("int")) + 1).otherwise(0)).alias("first"), p.alias("last")
+    ))
+    each = places.select("key", "item_id", F.inline(spans)).where("first <= last")
+    changes = each.select("key", "item_id", F.inline(F.array(
+        F.struct(F.col("first").alias("start"), F.lit(1).alias("change")), F.struct((F.col("last") + 1).alias("start"), F.lit(-1).alias("change"))
+    )))
+    asked = windows.select("key", "item_id", "start", F.lit(0).alias("change")).distinct()
+    steps = changes.withColumn("asked", F.lit(False)).unionByName(asked.withColumn("asked", F.lit(True)))
+    steps = steps.groupBy("key", "item_id", "start").agg(F.sum("change").alias("change"), F.max("asked").alias("asked"))
+    upto = Window.partitionBy("key", "item_id").orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return steps.withColumn("common", F.sum("change").over(upto)).where("asked").select("key", "item_id", "start", "common")
 
 
 def _blocks(fp: Column, radius: int) -> Column:
@@ -71,12 +119,6 @@ def _blocks(fp: Column, radius: int) -> Column:
     ])
 
 
-def _common(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
-    times = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, x: n + F.least(times(a, x), times(b, x)))
-
-
 def contaminated(
     docs: DataFrame,
     items: DataFrame,
@@ -92,17 +134,19 @@ def contaminated(
     Similarity is the weighted Jaccard of window and item shingles. Ties take
     the earliest window. A window at the end of a document is as long as the
     document allows. Null and empty texts contain nothing; items without words
-    are ignored; documents with a null id are reported under null. Repeated
-    documents are fingerprinted once, by the hash of their text.
+    are ignored; documents with a null id are reported under null. Items and
+    documents may have any length. Repeated documents are compared once, by 128
+    bits of hash of their text.
     """
     wanted = items.select(F.col(item_id).alias("item_id"), shingle_hashes(F.col(item_text)).alias("g"))
-    wanted = checkpointed(wanted.where(F.size("g") > 0).dropDuplicates().withColumn("len", F.size("g")))
-    known = small(checkpointed(wanted.select(F.explode("g").alias("h"), "len").distinct()))
-    single = known.select("h").distinct()
-    single = small(checkpointed(single))
+    # A repeated id with another text is an item of its own until the end.
+    wanted = wanted.where(F.size("g") > 0).dropDuplicates().withColumn("item", F.struct("item_id", F.xxhash64("g").alias("a"), F.xxhash64(F.lit(7), "g").alias("b")))
+    wanted = checkpointed(wanted.withColumn("len", F.size("g")))
+    known = checkpointed(wanted.select(F.col("item").alias("item_id"), "len", F.explode("g").alias("h")).groupBy("item_id", "len", "h").agg(F.count("*").alias("times")))
+    single = small(checkpointed(known.select("h").distinct()))
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
-    texts = texts.withColumn("key", F.xxhash64("t"))
+    texts = texts.withColumn("key", F.struct(F.xxhash64("t").alias("a"), F.xxhash64(F.lit(7), "t").alias("b")))
     shingled = texts.select("id", "key", F.explode(shingle_hashes(F.col("t"))).alias("h"))
     touched = checkpointed(shingled.join(single, "h", "left_semi").select("id", "key").distinct())
 
@@ -110,35 +154,29 @@ def contaminated(
     keys = small(checkpointed(touched.select("key").distinct()))
     bodies = texts.join(keys, "key", "left_semi").select("key", "t").dropDuplicates(["key"])
     bodies = checkpointed(bodies.select("key", shingle_hashes(F.col("t")).alias("g")))
-    hits = bodies.select("key", F.size("g").alias("size"), F.posexplode("g").alias("pos", "h")).join(known, "h")
-    starts = hits.select("key", "len", F.explode(F.array("pos", F.greatest(F.lit(0), F.col("pos") - F.col("len") + 1))).alias("start"))
-    spots = starts.distinct().groupBy("key").agg(F.collect_list(F.struct("len", "start")).alias("spots"))
-    windows = bodies.join(spots, "key").select(
-        "key",
-        F.explode(F.transform("spots", lambda s: F.struct(s["len"].alias("len"), s["start"].alias("start"), F.slice(F.col("g"), s["start"] + 1, s["len"]).alias("w")))).alias("s"),
-    ).select("key", "s.len", "s.start", "s.w")
-    # Equal windows are one window: its fingerprint depends on its shingles alone.
-    windows = windows.withColumn("window", F.xxhash64("w", "len"))
-    prints = _fingerprint(
-        windows.dropDuplicates(["window"]).select("window", "len", F.explode("w").alias("h")), ["window", "len"]
-    )
-
-    item_prints = _fingerprint(wanted.select("item_id", "len", F.explode("g").alias("h")), ["item_id", "len"])
-    item_blocks = checkpointed(item_prints.select("item_id", "len", F.col("fp").alias("ifp"), F.inline(_blocks(F.col("fp"), radius))))
+    placed = bodies.select("key", F.size("g").alias("size"), F.posexplode("g").alias("pos", "h"))
+    hits = checkpointed(placed.join(small(known), "h"))
+    starts = hits.select("key", "item_id", "len", "size", F.explode(F.array("pos", F.greatest(F.lit(0), F.col("pos") - F.col("len") + 1))).alias("start")).distinct()
+    windows = starts.withColumn("stop", F.least(F.col("start") + F.col("len"), F.col("size"))).drop("size")
+    prints = _window_prints(bodies, windows)
+
+    item_sums = wanted.select(F.col("item").alias("item_id"), "len", F.explode("g").alias("h")).select("item_id", "len", *_bit_counts(F.col("h")))
+    item_sums = item_sums.groupBy("item_id", "len").agg(*[F.sum(s).alias(s) for s in SUMS])
+    item_prints = item_sums.select("item_id", _simhash([F.col(s) for s in SUMS], F.col("len")).alias("ifp"))
+    item_blocks = checkpointed(item_prints.select("item_id", "ifp", F.inline(_blocks(F.col("ifp"), radius))))
     near = (
-        prints.select("window", "len", "fp", F.inline(_blocks(F.col("fp"), radius)))
-        .join(small(item_blocks), ["len", "block", "bits"])
+        prints.select("key", "item_id", "len", "start", "stop", "fp", F.inline(_blocks(F.col("fp"), radius)))
+        .join(small(item_blocks), ["item_id", "block", "bits"])
         .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius)
-        .select("window", "item_id")
+        .select("key", "item_id", "len", "start", "stop")
         .distinct()
     )
-    pairs = windows.dropDuplicates(["window"]).select("window", "w").join(near, "window").join(wanted.select("item_id", "g"), "item_id")
-    both = _common(F.col("w"), F.col("g"))
-    scored = pairs.select("window", "item_id", (both / (F.size("w") + F.size("g") - both)).alias("similarity"))
-    found = windows.select("window", "key", "start").join(scored.where(F.col("similarity") >= similarity), "window")
-    best = found.groupBy("key", "item_id").agg(
-        F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("b")
-    )
+    near = checkpointed(near)
+    met = hits.join(near.select("key", "item_id").distinct(), ["key", "item_id"], "left_semi")
+    verified = near.join(_overlaps(met.select("key", "item_id", "len", "h", "times", "pos"), near), ["key", "item_id", "start"])
+    alike = F.col("common") / (F.col("stop") - F.col("start") + F.col("len") - F.col("common"))
+    found = verified.select("key", F.col("item_id.item_id").alias("item_id"), "start", alike.alias("similarity")).where(F.col("similarity") >= similarity)
+    best = found.groupBy("key", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("b"))
     return touched.join(best, "key").groupBy(F.col("id").alias(id_col), "item_id").agg(F.max("b").alias("b")).select(
         id_col, "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b.back")).alias("first_shingle")
     )

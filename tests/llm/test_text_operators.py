@@ -120,6 +120,33 @@ def test_decontamination_matches_brute_force(spark):
     assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_decontamination_of_repeated_words_and_ids(spark):
+    """Few words, so shingles repeat inside items and windows; item ids repeat and are null."""
+    draw = random.Random(9)
+    items = [(k % 5 if k < 8 else None, " ".join(draw.choices("ab", k=draw.randrange(3, 30)))) for k in range(10)]
+    docs = [(k, " ".join(draw.choices("ab", k=draw.randrange(0, 90)))) for k in range(40)]
+    got = decontaminate.contaminated(frame(spark, docs).withColumn("key", F.lit(1)), frame(spark, items, "item_id long, text string"), radius=63)
+    got = {(r.doc_id, r.item_id): r.similarity for r in got.collect()}
+    want = {}
+    for d, t in docs:
+        for i, x in items:
+            if (s := plain_best(t, x)) >= 0.8:
+                want[d, i] = max(s, want.get((d, i), 0))
+    assert set(got) == set(want) and len(want) > 15
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_decontamination_of_very_long_items(spark):
+    draw = random.Random(6)
+    words = [f"w{k}" for k in range(5000)]
+    item = draw.choices(words, k=70_000)
+    other = draw.choices(words, k=30_000)
+    docs = [(1, " ".join(item)), (2, " ".join(other + item)), (3, " ".join(other)), (4, " ".join(item[:50_000])), (5, " ".join(item[3:] + other))]
+    items = frame(spark, [(7, " ".join(item)), (8, " ".join(other[100:200]))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 3), r.first_shingle) for r in decontaminate.contaminated(frame(spark, docs), items).collect()}
+    assert got == {(1, 7): (1.0, 0), (2, 7): (1.0, 30_000), (5, 7): (1.0, 0), (2, 8): (1.0, 100), (3, 8): (1.0, 100), (5, 8): (1.0, 70_097)}
+
+
 def test_decontamination_of_nothing(spark, odd):
     items = frame(spark, [(1, "a b c d e f")], "item_id long, text string")
     assert decontaminate.contaminated(odd.limit(0), items).count() == 0
