@@ -76,6 +76,12 @@ def test_simhash_links_chains_and_top_bit(spark):
     assert ball_simhash.ball_size(2) == 65
 
 
+def test_variants_are_made_in_all_tasks(spark):
+    prints = spark.range(0, 5000, 1, 3).select(F.xxhash64("id").alias("fp")).groupBy("fp").count().select("fp")
+    plan = ball_simhash.fingerprint_links(prints)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+
+
 def test_simhash_odd_rows_and_empty_table(spark, odd):
     got = ball_simhash.near_duplicates(odd.withColumn("fp", F.lit("own")))
     assert got.count() == len(ODD)
