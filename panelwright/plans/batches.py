@@ -59,6 +59,8 @@ def preparation_batch(
     rebased: tuple[str, str] = ("SA", "SA (adj)"),
     split: int = 2013,
     before: int = 2021,
+    long_after: int = 2006,
+    total_label: str = "Aust",
     windows_: dict[str, tuple[int, int]] | None = None,
 ) -> dict[str, DataFrame]:
     """School counts, observations and projection -> adjusted measure, correlations, models, bands."""
@@ -70,7 +72,8 @@ def preparation_batch(
     ]
     cube = checkpointed(cohort.population_cube(obs, regions, first_cohort=first_cohort))
     lagged = checkpointed(enrolment.age_fraction(enrolment.enrolment_by_age(counts)))
-    derived = checkpointed(enrolment.migration_adjusted_denominator(lagged, cohort.inverse_change_factors(cube)))
+    factors = cohort.inverse_change_factors(cube)
+    derived = checkpointed(enrolment.migration_adjusted_denominator(lagged, factors))
     plain = checkpointed(enrolment.measure_panel(derived, cube, lagged, skip_years))
     panel = checkpointed(adjust.append_rebased_member(plain, *rebased, split=split, before=before))
 
@@ -96,8 +99,11 @@ def preparation_batch(
         diagnostics.select("state", "yr", "assumption", "model", "resid", "std_resid"), ["state"], "std_resid", ["yr", "assumption"]
     )
     return {
+        "change_report": cohort.cohort_change_report(factors, younger=before - 5, older=before - 6),
         "derived_measure": derived,
         "measure_panel": panel,
+        "measure_long": enrolment.measure_panel_long(plain, long_after),
+        "measured_on_fitted": regression.fit_r2_by_group(known.where(F.col("state") != total_label), ["state"], "measure", "fitted"),
         "correlations": aggregates.corr_table(
             training, ["state"], "measure", {"erp_4": "4yrs", "erp_5": "5yrs"}, "yr", windows_
         ),

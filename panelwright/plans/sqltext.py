@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ..functions.rounding import GUARD_DIGITS
 from ..functions.tails import CENTRAL, FAR, MIDDLE
 
 
 def rnd(x: str, digits: int = 0) -> str:
-    """Half-even rounding after removal of summation noise."""
-    return f"CAST(round_even(CAST({x} AS DECIMAL(38,{digits + GUARD_DIGITS})), {digits}) AS DOUBLE)"
+    """Half-even rounding of whole and fraction: a fraction of one half, but for summation noise, goes to the even neighbour."""
+    half = "abs(abs(v) - trunc(abs(v)) - 0.5) <= 1e-11 * greatest(abs(v), 1)"
+    even = "sign(v) * (trunc(abs(v)) + CASE WHEN trunc(abs(v)) % 2 = 1 THEN 1 ELSE 0 END)"
+    return f"(list_transform([CAST({x} AS DOUBLE) * 1e{digits}], lambda v: CASE WHEN {half} THEN {even} ELSE round(v) END)[1] / 1e{digits} + 0.0)"
 
 
 def strict_sum(c: str) -> str:

@@ -110,6 +110,7 @@ def _preparation(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         skip_years=(1994,),
         split=1998,
         before=2001,
+        long_after=1995,
         windows_=_PREPARED_WINDOWS,
     )
 
@@ -226,6 +227,37 @@ def preparation_residual_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_columns(_preparation(spark, sf_dir)["residual_scores"], {"resid": 4, "std_resid": 4, "theoretical": 6})
 
 
+@query(
+    "preparation_batch_change_report",
+    f"""WITH {sqltext.FACTORS} SELECT state, cohort, age_4, age_5, age_6, inv_chg_4_5, inv_chg_5_6,
+    CASE WHEN cohort = 1996 THEN age_5 - age_4 ELSE 0.0::DOUBLE END AS chg_4_5, CASE WHEN cohort = 1995 THEN age_6 - age_5 ELSE 0.0::DOUBLE END AS chg_5_6
+    FROM factors WHERE cohort IN (1995, 1996)""",
+)
+def preparation_change_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _preparation(spark, sf_dir)["change_report"]
+
+
+@query(
+    "preparation_batch_measure_long",
+    f"""WITH {sqltext.PANEL} SELECT yr, state, series, "number", make_date(yr, 6, 30) AS "date" FROM (
+      SELECT yr, state, enrol_lagged, measure, erp_4, erp_5 FROM panel WHERE yr > 1995)
+      UNPIVOT INCLUDE NULLS ("number" FOR series IN (enrol_lagged, measure, erp_4, erp_5))""",
+)
+def preparation_measure_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _preparation(spark, sf_dir)["measure_long"]
+
+
+@query(
+    "preparation_batch_measured_on_fitted",
+    f"""WITH {_preparation_ctes()}, pairs AS (SELECT state, measure AS y, fitted AS x FROM applied WHERE yr < 2001 AND measure IS NOT NULL AND state <> 'Aust'),
+    sums AS (SELECT state, count(*) AS n, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(y, x) AS c, avg(x) AS mx, avg(y) AS my FROM pairs GROUP BY state)
+    SELECT state, n, CASE WHEN vx > 0 THEN {rnd("c / vx", 4)} END AS slope, CASE WHEN vx > 0 THEN {rnd("my - c / vx * mx", 3)} END AS intercept,
+           CASE WHEN vx > 0 THEN CASE WHEN vy > 0 THEN {rnd("c * c / (vx * vy)", 6)} ELSE 1.0 END END AS r_squared FROM sums""",
+)
+def preparation_measured_on_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_columns(_preparation(spark, sf_dir)["measured_on_fitted"], {"slope": 4, "intercept": 3, "r_squared": 6})
+
+
 _REPORT_MODELS = [
     Model("ERP 4yrs", ("erp_4yr",)),
     Model("ERP 5yrs", ("erp_5yr",)),

@@ -25,6 +25,12 @@ def test_rounding_ignores_summation_noise(spark):
     assert one(spark, rounding.round_half_even(F.lit(0.125 - 1e-12), 2)) == 0.12
 
 
+@pytest.mark.parametrize("value,digits,want", [(1.49999996, 0, 1.0), (1.50000004, 0, 2.0), (2.4999999, 0, 2.0), (2.5000001, 0, 3.0), (1e8 + 0.45, 0, 1e8), (0.12499996, 2, 0.12), (-0.4, 0, 0.0), (None, 1, None)])
+def test_values_beside_a_tie_are_rounded_once(spark, value, digits, want):
+    got = spark.createDataFrame([(value,)], "x double").select(rounding.round_half_even("x", digits), rounding.round_half_even(F.col("x"), digits)).first()
+    assert tuple(got) == (want, want) and (want != 0 or math.copysign(1, got[0]) == 1)
+
+
 def test_truncation_goes_to_zero_and_overflow_raises(spark):
     assert one(spark, rounding.truncate_int(F.lit(-2.7))) == -2
     assert one(spark, rounding.truncate_int(F.lit(2.7))) == 2
