@@ -144,7 +144,8 @@ def preparation_measure_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _correlations_sql(source: str, y: str, x4: str, x5: str, windows_: dict[str, tuple[int, int]]) -> str:
     """r and stars of y against two covariates in windows of years, from a CTE."""
     parts = [
-        f"""SELECT state, '{name}' AS "window", count(*) AS n, corr({x4}, {y}) AS r4, corr({x5}, {y}) AS r5 FROM {source}
+        f"""SELECT state, '{name}' AS "window", count(*) AS n, CASE WHEN var_pop({x4}) > 0 AND var_pop({y}) > 0 THEN corr({x4}, {y}) END AS r4,
+        CASE WHEN var_pop({x5}) > 0 AND var_pop({y}) > 0 THEN corr({x5}, {y}) END AS r5 FROM {source}
         WHERE {y} IS NOT NULL AND {x4} IS NOT NULL AND {x5} IS NOT NULL AND yr BETWEEN {lo} AND {hi} GROUP BY state"""
         for name, (lo, hi) in windows_.items()
     ]
