@@ -73,11 +73,13 @@ def _simhash(counts: list[Column], n: Column) -> Column:
 def _window_prints(bodies: DataFrame, windows: DataFrame) -> DataFrame:
     """``windows`` (key, start, stop, ..) with ``fp``, the SimHash of the shingles from start to before stop."""
     ends = windows.select("key", F.explode(F.array("start", "stop")).alias("at")).distinct()
-    marks = ends.select("key", "at", F.lit(True).alias("mark"), *[F.lit(0).cast("long").alias(s) for s in SUMS])
+    marks = ends.select("key", "at", F.lit(None).cast("long").alias("h"))
     needed = bodies.join(ends.select("key").distinct(), "key", "left_semi").select("key", F.posexplode("g").alias("pos", "h"))
-    steps = needed.select("key", (F.col("pos") + 1).alias("at"), F.lit(False).alias("mark"), *_bit_counts(F.col("h")))
+    steps = needed.select("key", (F.col("pos") + 1).alias("at"), "h").unionByName(marks)
+    # One hash a row is moved and sorted, not its 32 counters: they are made behind both.
+    steps = steps.repartition("key").sortWithinPartitions("key", "at").select("key", "at", F.col("h").isNull().alias("mark"), *_bit_counts(F.coalesce("h", F.lit(0).cast("long"))))
     before = Window.partitionBy("key").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = steps.unionByName(marks).select("key", "at", "mark", *[F.sum(s).over(before).alias(s) for s in SUMS])
+    sums = steps.select("key", "at", "mark", *[F.sum(s).over(before).alias(s) for s in SUMS])
     sums = sums.where("mark").select("key", "at", F.array(*SUMS).alias("sums"))
     low = sums.select("key", F.col("at").alias("start"), F.col("sums").alias("low"))
     high = sums.select("key", F.col("at").alias("stop"), F.col("sums").alias("high"))
