@@ -1,9 +1,11 @@
 import math
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelwright.functions.rounding import round_columns
 from panelwright.operators import regression as reg
 from panelwright.operators.regression import Model
 
@@ -232,3 +234,25 @@ def test_aliased_terms_and_four_covariates_agree_with_a_plain_solver(spark):
     assert out == {"full": set(), "sum": {"x3"}, "twice": {"x2", "x4"}, "constant": {"x1"}, "short": {"x4"}}
     named = {(r.g, r.term) for r in reg.aliased_terms(fits).where("model = 'four'").collect()}
     assert named == {(g, t) for g, terms in out.items() for t in terms}
+
+
+def test_applied_models_move_no_rows_and_compile(spark):
+    """Few groups: the models are broadcast although Spark takes their source for large, and the row formulas stay below 8,000 bytes."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(200_000).select(
+            F.when(F.col("id") % 4 > 0, (F.col("id") % 4).cast("string")).alias("g"), F.col("id").alias("i"), (F.col("id") % 101).cast("double").alias("x1"),
+            (F.col("id") % 37).cast("double").alias("x2"), (F.col("id") % 101 * 3 + F.col("id") % 11).cast("double").alias("y"),
+        )
+        out = reg.residuals(rows, reg.fit_linear(rows, ["g"], "y", MODELS), MODELS, "y")
+        digits = {"resid": 2, "hat": 7, "std_resid": 5, "loo_sigma": 2, "cooksd": 7}
+        plan = round_columns(out.select("i", "model", *digits), digits)._jdf.queryExecution().executedPlan()
+        assert "BroadcastHashJoin" in plan.toString() and "SortMergeJoin" not in plan.toString()
+        code = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package").codegenString(plan)
+        assert 0 < max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)) < 8000
+        assert out.count() == 3 * 200_000  # a null group has models as well
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
