@@ -27,6 +27,8 @@ ORDERS = (2, 3)
 ROWS_PER_LANGUAGE = 4000
 #: A text is ambiguous below this difference of its two best scores.
 AMBIGUOUS = 0.05
+#: Bytes of text worked on at once. A byte takes some 150 bytes for a while: its n-grams and their weights for every bit.
+BLOCK_BYTES = 1 << 18
 #: From this many n-grams on, more text makes a score no surer.
 SURE_AT = 100
 
@@ -131,7 +133,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
-        for part, raw, offsets in text_blocks(batches, "t"):
+        for part, raw, offsets in text_blocks(batches, "t", BLOCK_BYTES):
             names = np.array(part.column(0).to_pylist(), dtype=object)
             owner = np.repeat(np.arange(len(names)), np.diff(offsets))
             for buckets, counted in zip(*_grams(raw, offsets)):
@@ -171,7 +173,7 @@ def _trust(rows: DataFrame, coder: Coder) -> np.ndarray:
     shared = rows.sparkSession.sparkContext.broadcast(vars(coder))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, raw, offsets in text_blocks(batches, "t"):
+        for part, raw, offsets in text_blocks(batches, "t", BLOCK_BYTES):
             own = Coder(**shared.value)
             langs = part.column(0).to_pylist()
             truth = own.code[[own.languages.index(x) for x in langs]]
@@ -200,7 +202,7 @@ def with_language(docs: DataFrame, coder: Coder, text_col: str = "text", ambiguo
     sent = plain if text_col in plain else [*plain, text_col]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, raw, offsets in text_blocks(batches, text_col):
+        for part, raw, offsets in text_blocks(batches, text_col, BLOCK_BYTES):
             own = Coder(**shared.value)
             lettered = part.column(part.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
             if not own.languages:
