@@ -44,22 +44,66 @@ def _times(k: int, odd: np.uint64) -> np.uint64:
 
 @dataclass
 class Lexicon:
-    """A model's pieces as arrays: a trie over code points, weights, and each piece's bytes."""
+    """A model's pieces as arrays: a trie over code points, weights, and each piece's bytes.
+
+    The trie's root is node 0; the child of a node by a letter is jump[node] + letter, if owner there is the node.
+    """
 
     alpha: np.ndarray  # code point -> letter of the trie, 0 if in no piece
-    letters: int
-    root: np.ndarray  # letter -> node or -1
-    keys: np.ndarray  # node * letters + letter, sorted
-    child: np.ndarray
+    jump: np.ndarray
+    owner: np.ndarray  # node -> its parent, -1 if there is no such node
     piece: np.ndarray  # node -> piece id or -1
     weight: np.ndarray  # piece id -> log weight
     byte_id: np.ndarray
-    longest: int
     flat: np.ndarray  # bytes of all pieces
     start: np.ndarray
     size: np.ndarray
 
 
+def _trie(words: dict[str, int], alpha: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(jump, owner, piece) of the words: children of different nodes interleave where they leave room."""
+    kids: list[dict[int, int]] = [{}]
+    ends = {}
+    for text, i in words.items():
+        node = 0
+        for c in text:
+            node = kids[node].setdefault(int(alpha[ord(c)]), len(kids))
+            if node == len(kids):
+                kids.append({})
+        ends[node] = i
+    letters, window = int(alpha.max()) + 1, 1 << 11
+    free = np.zeros(letters, dtype=bool)  # so that no jump is negative
+    place = np.zeros(len(kids), dtype=np.int32)
+    base = np.zeros(len(kids), dtype=np.int32)
+    last = letters
+    for node in sorted((n for n, own in enumerate(kids) if len(own) > 1), key=lambda n: -len(kids[n])):
+        own = np.array([*kids[node]])
+        fits, start = [], max(letters, last - 2 * window)  # nodes with one child fill the room left before
+        while not len(fits):
+            if len(free) < start + window + letters:
+                free = np.concatenate((free, np.ones(len(free) + window, dtype=bool)))
+            fits = start + np.flatnonzero(free[start : start + window]) - own.min()
+            for letter in own.tolist():
+                fits = fits[free[fits + letter]]
+            start += window
+        base[node] = fits[0]
+        free[fits[0] + own] = False
+        place[[*kids[node].values()]] = fits[0] + own
+        last = max(last, int(fits[0]) + int(own.max()))
+    single = [(n, *next(iter(own.items()))) for n, own in enumerate(kids) if len(own) == 1]
+    free = np.concatenate((free, np.ones(len(single) + 1, dtype=bool)))
+    for (node, letter, kid), gap in zip(single, np.flatnonzero(free).tolist()):
+        base[node], place[kid] = gap - letter, gap
+    jump = np.zeros(len(free), dtype=np.int32)
+    jump[place] = base
+    owner = np.full(len(free) + letters, -1, dtype=np.int32)
+    for node, own in enumerate(kids):
+        owner[place[[*own.values()]]] = place[node]
+    piece = np.full(len(free), -1, dtype=np.int32)
+    piece[place[[*ends]]] = [*ends.values()]
+    return jump, owner, piece
+
+
 def load_lexicon(model: str = MODEL, temperature: float = 1.0) -> Lexicon:
     """Read a SentencePiece model with byte fallback. Higher temperature: flatter samples."""
     import sentencepiece
@@ -88,125 +132,147 @@ def load_lexicon(model: str = MODEL, temperature: float = 1.0) -> Lexicon:
     alpha = np.zeros(0x110001, dtype=np.int32)
     for k, c in enumerate(sorted({c for w in words for c in w}), start=1):
         alpha[ord(c)] = k
-    letters = int(alpha.max()) + 1
-    edges: dict[tuple[int, int], int] = {}
-    piece = [-1]
-    for text, i in words.items():
-        node = 0
-        for c in text:
-            node = edges.setdefault((node, int(alpha[ord(c)])), len(piece))
-            if node == len(piece):
-                piece.append(-1)
-        piece[node] = i
-    root = np.full(letters, -1, dtype=np.int32)
-    for (node, letter), to in edges.items():
-        if node == 0:
-            root[letter] = to
-    keys = np.array([n * letters + a for n, a in edges], dtype=np.int64)
-    order = np.argsort(keys)
     size = np.array([len(b) for b in content], dtype=np.int64)
-    return Lexicon(
-        alpha, letters, root, keys[order], np.array(list(edges.values()), np.int32)[order], np.array(piece, np.int32), weight,
-        byte_id, max(map(len, words)), np.frombuffer(b"".join(content), np.uint8), np.cumsum(size) - size, size,
-    )
+    return Lexicon(alpha, *_trie(words, alpha), weight, byte_id, np.frombuffer(b"".join(content), np.uint8), np.cumsum(size) - size, size)
 
 
 class Lattices:
     """The lattices of distinct chunks: the edges of a position are neighbours, longest first.
 
+    What can follow a position hangs on the rest of its chunk alone, so chunks
+    share the positions of a common end. Positions are numbered by falling distance
+    to the end; those of one distance are a slice, and so are their edges.
     prob: of an edge among those of its position, by the backward pass; upto:
     running sum of prob; end: the position it leads to, ``stop`` at a chunk's end.
     An edge with a negative piece is the bytes of code point -piece - 1.
     """
 
-    def __init__(self, lexicon: Lexicon, chunks: list[str]):
-        lengths = np.array([len(c) + 1 for c in chunks], dtype=np.int64)
-        self.base = np.cumsum(lengths) - lengths
-        total = self.stop = int(lengths.sum())
-        points = np.full(total, _BLANK, dtype=np.uint32)
-        body = np.ones(total, dtype=bool)
-        body[self.base] = False
-        own = np.frombuffer("".join(chunks).encode("utf-32-le"), dtype="<u4")
-        points[body] = np.where(own == _BLANK, _OWN_SIGN, own)
-        letter = lexicon.alpha[points]
-        left = np.repeat(self.base + lengths, lengths) - np.arange(total)
+    def __init__(self, lexicon: Lexicon, chunks: list[str] | pa.LargeStringArray):
+        texts = chunks if isinstance(chunks, pa.LargeStringArray) else pa.array(chunks, pa.large_string())
+        points, after, level = self._positions(texts)
+        total = self.stop = len(points)
+        letter = np.zeros(total + 1, dtype=np.int32)  # none at ``stop``
+        letter[:-1] = lexicon.alpha[points]
 
         found = []
-        at = np.arange(total, dtype=np.int32)
-        node = lexicon.root[letter]
-        for length in range(1, lexicon.longest + 1):
-            alive = node >= 0
-            at, node = at[alive], node[alive]
+        at = here = np.arange(total, dtype=np.int32)
+        node = np.zeros(total, dtype=np.int32)
+        while len(at):
+            to = lexicon.jump[node]
+            to += letter[here]
+            on = np.flatnonzero(lexicon.owner[to] == node)
+            at, node, here = at[on], to[on], after[here[on]]
             piece = lexicon.piece[node]
-            hit = piece >= 0
-            starts, ids = at[hit], piece[hit]
-            if length == 1:
+            hit = np.flatnonzero(piece >= 0)
+            starts, ids, ends = at[hit], piece[hit], here[hit]
+            if not found:
                 lost = np.ones(total, dtype=bool)
                 lost[starts] = False
                 lost = np.flatnonzero(lost).astype(np.int32)
-                starts = np.concatenate((starts, lost))
+                starts, ends = np.concatenate((starts, lost)), np.concatenate((ends, after[lost]))
                 ids = np.concatenate((ids, -(np.where(points[lost] == _OWN_SIGN, _BLANK, points[lost]).astype(np.int32)) - 1))
-            found.append((length, starts, ids))
-            more = left[at] > length
-            at, node = at[more], node[more]
-            if not len(at):
-                break
-            key = node.astype(np.int64) * lexicon.letters + letter[at + length]
-            slot = np.minimum(np.searchsorted(lexicon.keys, key), len(lexicon.keys) - 1)
-            node = np.where(lexicon.keys[slot] == key, lexicon.child[slot], -1)
-
-        degree = np.zeros(total, dtype=np.int32)
-        for _, starts, _ in found:
+            found.append((starts, ids, ends))
+
+        degree = self.degree = np.zeros(total, dtype=np.int32)
+        for starts, _, _ in found:
             degree[starts] += 1
-        order = np.argsort(left.astype(np.int16) if left.size and left.max() < 32768 else left, kind="stable")
-        self.first = np.empty(total, dtype=np.int32)
-        ends = np.cumsum(degree[order])
-        self.first[order] = ends - degree[order]
-        edges = int(ends[-1]) if total else 0
+        bounds = np.zeros(total + 1, dtype=np.int32)
+        np.cumsum(degree, out=bounds[1:])
+        self.first = bounds[:-1]
+        edges = int(bounds[-1])
         self.piece = np.empty(edges, dtype=np.int32)
         self.end = np.empty(edges, dtype=np.int32)
         used = self.first.copy()
-        for length, starts, ids in reversed(found):
+        while found:
+            starts, ids, ends = found.pop()
             slot = used[starts]
-            used[starts] += 1
+            used[starts] = slot + 1
             self.piece[slot] = ids
-            self.end[slot] = np.where(left[starts] == length, total, starts + length)
-        del found, used, letter, points, own, body
-        fallback = np.maximum(-self.piece - 1, 0)
-        n_bytes = (1 + (fallback > 0x7F) + (fallback > 0x7FF) + (fallback > 0xFFFF)).astype(np.int8)
-        weight = np.where(self.piece >= 0, lexicon.weight[self.piece], n_bytes * lexicon.weight[lexicon.byte_id[0]])
-        del fallback, n_bytes
-
-        # Backward over the distance to the chunk's end: the edges of one distance are one slice.
+            self.end[slot] = ends
+        del used, letter, points, after
+        weight = lexicon.weight[np.maximum(self.piece, 0)]
+        lost = np.flatnonzero(self.piece < 0)
+        point = -self.piece[lost] - 1
+        weight[lost] = (1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF)) * lexicon.weight[lexicon.byte_id[0]]
+
         back = np.zeros(total + 1)
         self.prob = np.empty(edges)
-        levels = np.searchsorted(left[order], np.arange(1, (left.max() if total else 0) + 2))
-        for low, high in zip(levels[:-1], levels[1:]):
-            if low == high:
-                continue
-            here = order[low:high]
-            a, b = self.first[here[0]], ends[high - 1]
-            x = weight[a:b] + back[self.end[a:b]]
-            cut = self.first[here] - a
+        cuts, level = bounds[level].tolist(), level.tolist()
+        for low, high, a, b in zip(level[1:], level[:-1], cuts[1:], cuts[:-1]):
+            x = weight[a:b]
+            x += back[self.end[a:b]]
+            cut, many = bounds[low:high] - a, degree[low:high]
             top = np.maximum.reduceat(x, cut)
-            part = np.exp(x - np.repeat(top, degree[here]))
-            mass = np.add.reduceat(part, cut)
-            back[here] = top + np.log(mass)
-            self.prob[a:b] = part / np.repeat(mass, degree[here])
-        running = np.cumsum(self.prob)
-        running -= np.repeat(running[self.first[order]] - self.prob[self.first[order]], degree[order])
-        self.upto = running
-        if edges:
-            self.upto[ends - 1] = 2.0  # the last edge takes what rounding leaves
+            x -= np.repeat(top, many)
+            np.exp(x, out=x)
+            mass = np.add.reduceat(x, cut)
+            back[low:high] = top + np.log(mass)
+            np.divide(x, np.repeat(mass, many), out=self.prob[a:b])
+        del weight, back
+        self.upto = self.prob.copy()
+        step, at = 1, np.flatnonzero(degree > 1)
+        while len(at):
+            edge = self.first[at] + step
+            self.upto[edge] += self.upto[edge - 1]
+            step += 1
+            at = at[degree[at] > step]
+        self.upto[bounds[1:] - 1] = 2.0  # the last edge takes what rounding leaves
         self.log_prob = np.log(self.prob)
-        self.degree = degree
+
+    def _positions(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The code point of each position, the position after it, and the falling bounds of each distance; sets ``base``."""
+        lengths = pc.utf8_length(texts).to_numpy(zero_copy_only=False) + 1
+        ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else [0, 0]
+        data = texts.buffers()[2]
+        own = np.frombuffer((data[ends[0] : ends[-1]].to_pybytes() if data else b"").decode().encode("utf-32-le"), dtype="<u4")
+        over = np.cumsum(lengths)
+        body = np.ones(int(lengths.sum()), dtype=bool)
+        body[over - lengths] = False
+        all_points = np.full(len(body), _BLANK, dtype=np.int64)
+        all_points[body] = np.where(own == _BLANK, _OWN_SIGN, own)
+
+        order = np.argsort(-lengths, kind="stable")
+        over = over[order]
+        width = np.cumsum(np.bincount(lengths)[::-1])[::-1]  # distance -> chunks that have it, the first so many in order
+        base = np.zeros(len(lengths), dtype=np.int64)
+        points, after, level = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [0]
+        rest = np.zeros(len(lengths), dtype=np.int64)  # of each chunk: which of the positions one nearer to the end
+        bits, nearer, distance, apart = 1, 0, 1, len(lengths) < 2
+        while distance < len(width) and not apart:
+            n = int(width[distance])
+            coded = pa.array(all_points[over[:n] - distance] << bits | rest[:n]).dictionary_encode()
+            distinct, rest = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+            points.append(distinct >> bits)
+            after.append((distinct & (1 << bits) - 1) + nearer)
+            nearer = level[-1]
+            level.append(nearer + len(distinct))
+            base[:n] = nearer + rest  # stands for those that begin here
+            bits, apart = len(distinct).bit_length(), len(distinct) == n
+            distance += 1
+        if distance < len(width):  # no two chunks have their rests in common any more
+            many = width[distance:]
+            start = level[-1] + np.cumsum(many) - many
+            chunk = np.arange(int(many.sum())) - np.repeat(start - level[-1], many)
+            points.append(all_points[over[chunk] - np.repeat(np.arange(distance, len(width)), many)])
+            after.append(level[-1] + np.arange(len(chunk)) - np.repeat(width[distance - 1 : -1], many))
+            after[-1][: many[0]] = nearer + rest[: many[0]]
+            base[: many[0]] = start[lengths[order[: many[0]]] - distance] + np.arange(many[0])
+            level += (start + many).tolist()
+        # So far the nearest positions have the lowest numbers; from here on the farthest, where the longest chunk begins.
+        points = np.concatenate(points)[::-1]
+        top = len(points) - 1
+        self.base = np.empty_like(base)
+        self.base[order] = top - base
+        after = (top - np.concatenate(after)[::-1]).astype(np.int32)
+        bounds = top + 1 - np.array(level)
+        after[bounds[min(1, len(level) - 1)] :] = top + 1
+        return points, after, bounds
 
     def walk(self, at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Draw a path from each position to its chunk's end: (pool of edges, first and number of each path's, log-prob)."""
-        n = len(at)
-        total = np.zeros(n)
-        live, pos, steps = np.arange(n), at, []
-        count = np.zeros(n, dtype=np.int32)
+        total = np.zeros(len(at))
+        count = np.zeros(len(at), dtype=np.int32)
+        live, pos, steps = np.arange(len(at)), at, []
         step = 0
         while len(live):
             step += 1
@@ -220,7 +286,7 @@ class Lattices:
             count[live] = step
             steps.append((live, edge))
             pos = self.end[edge]
-            going = pos != self.stop
+            going = np.flatnonzero(pos != self.stop)
             live, pos = live[going], pos[going]
         first = np.cumsum(count, dtype=np.int64) - count
         pool = np.empty(int(count.sum()), dtype=np.int32)
@@ -243,15 +309,14 @@ class _Draws:
         return ((z ^ z >> 31) >> 12) * 2.0**-52 + 2.0**-53
 
 
-def _below(top: float, mass: float, u: float) -> float:
-    """A Gumbel at location ``mass``, given that it lies below ``top``."""
-    return -float(np.logaddexp(-top, np.log(-np.log(u)) - mass))
+def _below(top: float, mass: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Gumbels at locations ``mass``, given that they lie below ``top``."""
+    return -np.logaddexp(-top, np.log(-np.log(u)) - mass)
 
 
-def _gone(log_prob: float) -> float:
-    """log(1 - exp(x))."""
-    rest = -np.expm1(log_prob)
-    return float(np.log(rest)) if rest > 0 else -np.inf
+def _gone(log_prob: np.ndarray) -> np.ndarray:
+    """log(1 - exp(x)), also for an x that rounding left at 0 or above."""
+    return np.log(np.maximum(-np.expm1(log_prob), 0.0))
 
 
 class Search:
@@ -340,7 +405,8 @@ class Search:
                     mark[low:high] = theirs[low:high]
             lead = float(self.samples[parent][2][low:c].sum())
             path = self.pool[first[c] : first[c] + count[c]].tolist()
-            path = self._leave(path, base, but, lead, float(score[d]), draw, mine, parent, c, sample)
+            with np.errstate(divide="ignore"):
+                path = self._leave(path, base, but, lead, float(score[d]), draw, mine, parent, c, sample)
             first[c], count[c] = at_extra + len(extra), len(path)
             log_prob[c] = self.l.log_prob[path].sum()
             extra += path
@@ -359,12 +425,13 @@ class Search:
         lp = l.log_prob[path]
         before = np.cumsum(lp) - lp
         if but is None:
-            mass = np.array([before[t] + _gone(lp[t]) for t in range(base, len(path))])
+            mass = before[base:] + _gone(lp[base:])
             odds = np.exp(mass - mass.max())
             pick = min(int(np.searchsorted(np.cumsum(odds), draw() * odds.sum(), side="right")), len(odds) - 1)
-            for t, m in enumerate(mass, start=base):
-                if t != base + pick and m > -np.inf:
-                    nodes.append((_below(score, lead + m, draw()), parent, chunk, t, (path[t],)))
+            others = [t for t, m in enumerate(mass.tolist()) if t != pick and m > -np.inf]
+            if others:
+                scores = _below(score, lead + mass[others], np.array([draw() for _ in others])).tolist()
+                nodes += [(x, parent, chunk, base + t, (path[base + t],)) for x, t in zip(scores, others)]
             at, barred = base + pick, (path[base + pick],)
         else:
             at, barred = base, but
@@ -374,7 +441,7 @@ class Search:
         pick = edges[min(int(np.searchsorted(np.cumsum(odds), draw() * odds.sum(), side="right")), len(edges) - 1)]
         if len(edges) > 1:
             left = float(np.log(l.prob[[e for e in edges if e != pick]].sum()))
-            nodes.append((_below(score, lead + before[at] + left, draw()), parent, chunk, at, (*barred, pick)))
+            nodes.append((float(_below(score, lead + before[at] + left, draw())), parent, chunk, at, (*barred, pick)))
         new = [*path[:at], pick]
         pos = int(l.end[pick])
         while pos != l.stop:
@@ -383,9 +450,9 @@ class Search:
                 edge += 1
             new.append(edge)
             pos = int(l.end[edge])
-        tail = _gone(float(l.log_prob[new[at + 1 :]].sum())) if len(new) > at + 1 else -np.inf
+        tail = float(_gone(l.log_prob[new[at + 1 :]].sum())) if len(new) > at + 1 else -np.inf
         if tail > -np.inf:
-            nodes.append((_below(score, lead + float(l.log_prob[new[: at + 1]].sum()) + tail, draw()), sample, chunk, at + 1, None))
+            nodes.append((float(_below(score, lead + float(l.log_prob[new[: at + 1]].sum()) + tail, draw())), sample, chunk, at + 1, None))
         return new
 
     def _position(self, path, at, chunk) -> int:
@@ -425,19 +492,21 @@ class Search:
 
 def decode_block(lexicon: Lexicon, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and their offsets; the blank before a text goes."""
-    size = lexicon.size[ids]
-    begin = np.cumsum(size) - size
-    out = lexicon.flat[np.repeat(lexicon.start[ids] - begin, size) + np.arange(int(size.sum()))]
-    at = np.concatenate((begin, [len(out)]))[offsets]
-    full = np.diff(offsets) > 0
+    ends = np.concatenate((lexicon.start, [len(lexicon.flat)]))
+    content = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lexicon.start), [None, pa.py_buffer(ends), pa.py_buffer(lexicon.flat)])
+    taken = content.take(pa.array(ids))
+    at = np.frombuffer(taken.buffers()[1], dtype=np.int64)[taken.offset + offsets]
+    data = taken.buffers()[2]
+    out = np.frombuffer(data, dtype=np.uint8)[: at[-1]] if data else np.zeros(0, dtype=np.uint8)
+    blank = np.diff(offsets) > 0
+    blank[blank] = out[at[:-1][blank]] == 32
     keep = np.ones(len(out), dtype=bool)
-    lead = at[:-1][full]
-    keep[lead[out[lead] == 32]] = False
-    kept = np.concatenate(([0], np.cumsum(keep)))
-    return out[keep], kept[at]
+    keep[at[:-1][blank]] = False
+    at[1:] -= np.cumsum(blank)
+    return out[keep], at
 
 
-def _chunks(raw: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _chunks(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.LargeStringArray, np.ndarray, np.ndarray]:
     """Distinct chunks of a block, the number of each chunk, and the first chunk of each text."""
     texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(raw))
     lists = pc.split_pattern(texts, " ")
@@ -449,7 +518,7 @@ def _chunks(raw: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray
     keep = np.ones(len(types), dtype=bool)
     keep[bounds[:-1][empty]] = False
     kept = np.concatenate(([0], np.cumsum(keep)))
-    return coded.dictionary.to_pylist(), types[keep], kept[bounds]
+    return coded.dictionary, types[keep], kept[bounds]
 
 
 def encode(docs: DataFrame, lexicon: Lexicon, k: int = 2, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

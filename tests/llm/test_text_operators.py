@@ -295,6 +295,30 @@ def test_all_segmentations_come_out_once(lexicon):
     assert len(got) == len(every) and set(got) == every and left[0] == -np.inf
 
 
+def test_chunks_share_the_positions_of_a_common_end(lexicon):
+    words = [f"{a}{b}ation" for a in "bcdfglmnprst" for b in "aeiou"]
+    assert pieces.Lattices(lexicon, words).stop == 5 + 5 + 60 + 60  # and not 480
+    words += ["日本ation", "本ation", "▁ation", "ation", "", "x" * 300, "x" * 299 + "y", "y" * 200 + "x" * 100, "日" * 40 + "\U0001f600"]
+    together = pieces.Lattices(lexicon, words)
+
+    def drawn(lattices, at):
+        pool, _, count, log_prob = lattices.walk(np.full(20, at, np.int32), pieces.mix(np.arange(20, dtype=np.uint64)))
+        return lattices.piece[pool].tolist(), count.tolist(), log_prob.tolist()
+
+    for word, at in zip(words, together.base):
+        alone = pieces.Lattices(lexicon, [word])
+        assert drawn(together, at) == drawn(alone, alone.base[0])
+    assert pieces.Lattices(lexicon, []).stop == 0
+
+
+def test_every_piece_is_on_its_lattice(lexicon):
+    content = [lexicon.flat[a : a + n].tobytes() for a, n in zip(lexicon.start, lexicon.size)]
+    bare = set(lexicon.byte_id.tolist())
+    found = {i: c[1:].decode() for i, c in enumerate(content) if c[:1] == b" " and b" " not in c[1:] and i not in bare}
+    lattices = pieces.Lattices(lexicon, [*found.values()])
+    assert len(found) > 1000 and lattices.piece[lattices.first[lattices.base]].tolist() == [*found]
+
+
 def test_encoding_round_trip(spark, sf_docs, lexicon):
     rows = [*ODD[:5], (7, "ab " * 3000), (11, "▁ own  sign ▁▁\n"), (12, "日本語 😀 é́ "), (13, " lead"), (14, "a")]
     docs = frame(spark, rows).union(sf_docs.select("doc_id", "text").where("doc_id > 14").limit(40)).withColumn("ids", F.lit(0))
