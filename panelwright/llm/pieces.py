@@ -30,6 +30,8 @@ from .blocks import mix, text_blocks, uniform
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK_BYTES = 1_000_000
+#: Chunks too few to be worth the search for common ends.
+_FEW = 64
 _BLANK = 0x2581
 #: Stands for a blank sign that is in the text itself: it has no piece, its bytes encode it.
 _OWN_SIGN = 0x110000
@@ -237,8 +239,8 @@ class Lattices:
         base = np.zeros(len(lengths), dtype=np.int64)
         points, after, level = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [0]
         rest = np.zeros(len(lengths), dtype=np.int64)  # of each chunk: which of the positions one nearer to the end
-        bits, nearer, distance, apart = 1, 0, 1, len(lengths) < 2
-        while distance < len(width) and not apart:
+        bits, nearer, distance, apart = 1, 0, 1, False
+        while distance < len(width) and width[distance] >= _FEW and not apart:
             n = int(width[distance])
             coded = pa.array(all_points[over[:n] - distance] << bits | rest[:n]).dictionary_encode()
             distinct, rest = coded.dictionary.to_numpy(), coded.indices.to_numpy()
@@ -249,7 +251,7 @@ class Lattices:
             base[:n] = nearer + rest  # stands for those that begin here
             bits, apart = len(distinct).bit_length(), len(distinct) == n
             distance += 1
-        if distance < len(width):  # no two chunks have their rests in common any more
+        if distance < len(width):  # the rests of the chunks differ from here on, or the chunks are few: all of theirs at once
             many = width[distance:]
             start = level[-1] + np.cumsum(many) - many
             chunk = np.arange(int(many.sum())) - np.repeat(start - level[-1], many)
